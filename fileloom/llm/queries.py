@@ -6,15 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules
-from .common import table
+from . import decontam, jaccard, mixing, quality, rules, urls, warc
+from .common import UPPER, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_url_filter": op8_url_filter,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -50,6 +80,62 @@ FROM b
 """
 
 
+#: A-Z alone are lower-cased; the windows of each item meet the documents' windows of the same length.
+OP5_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{decontam.ITEM_WORD}') AS ws
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{decontam.ITEM_WORD}') AS ws
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[s:s + least(len(ws), 13) - 1], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS s FROM i WHERE len(ws) > 0)
+), dw AS (
+  SELECT rid, s, n, array_to_string(ws[s:s + n - 1], ' ') AS g
+  FROM (SELECT rid, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s
+        FROM w, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)
+), occ AS (
+  SELECT rid, s, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM occ) GROUP BY rid
+), ids AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id ) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM occ) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
+"""
+
+#: All pairs by shared shingles; the closure by recursion.
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sh AS (
+  SELECT rid, i, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 2),
+                                      lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) END) AS g
+  FROM (SELECT rid, ws, 0 AS i FROM w)
+), n AS (
+  SELECT rid, count(*) AS n FROM sh GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reach(a, b) AS (
+  SELECT rid, rid FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM w LEFT JOIN n USING (rid)
+JOIN (SELECT a, min(doc_id) AS component_id FROM reach JOIN w ON w.rid = reach.b GROUP BY a) r ON r.a = w.rid
+"""
+
+
 def _verdict_sql() -> str:
     measure = {
         "mean_word_chars": "(word_chars / n_words::DOUBLE)",
@@ -63,5 +149,7 @@ def _verdict_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": OP5_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
     "op10_quality_rules": OP10_SQL.replace("{verdict}", _verdict_sql()),
 }
