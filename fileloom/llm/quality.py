@@ -12,9 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bound of the labelled sample: whole texts of so many rows of each class, those with the smallest hashes.
@@ -126,29 +126,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     return QualityModel(model.good, model.bad, tuple(map(float, w)))
 
 
-def _scorer(model: QualityModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors, w = _compressors(model), np.array(model.weights)
-        for batch in batches:
-            x = np.array([_features(t.as_py(), compressors) for t in batch.column("_text")]).reshape(-1, 3)
-            scores = pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), pa.float64())
-            rest = [(n, batch.column(n)) for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in rest), scores], names=[*(n for n, _ in rest), "_score"]
-            )
+def _score(spark: SparkSession, model: QualityModel, text: Column) -> Column:
+    """Only texts go to Python, and only scores come back."""
+    shared = spark.sparkContext.broadcast(model)
 
-    return run
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressors, w = _compressors(shared.value), np.array(shared.value.weights)
+        for texts in batches:
+            x = np.array([_features(t, compressors) for t in texts]).reshape(-1, 3)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-
-def _scored(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """rows without `_text`, with `_score`."""
-    kept = rows.drop("_text").schema
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        return _scorer(shared.value)(batches)
-
-    return rows.mapInArrow(run, kept.add("_score", "double"))
+    return score(text)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -159,8 +148,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     ids count as held out or not by the hash of the empty text. Empty tables: no rows, or the scores of fit_quality.
     """
     model = fit_quality(docs, labels, sample)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"))
-    return _scored(rows, model).select(
+    rows = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(docs.sparkSession, model, F.col("text")).alias("_score")
+    )
+    return rows.select(
         "doc_id",
         "held_out",
         F.col("_score").alias("score"),
@@ -168,8 +159,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, with all their columns."""
-    model = fit_quality(docs, labels, sample)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    return _scored(rows, model).where(F.col("_score") >= THRESHOLD).select("_row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that score THRESHOLD or more, with all their columns. train: the documents of the labels, if
+    they are not docs."""
+    model = fit_quality(docs if train is None else train, labels, sample)
+    rows = docs.select(F.struct("*").alias("_row"), _score(docs.sparkSession, model, F.col("text")).alias("_score"))
+    return rows.where(F.col("_score") >= THRESHOLD).select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, quality, rules, urls, warc
+from . import decontam, html, jaccard, licenses, mixing, quality, rules, tokens, urls, warc
 from .common import UPPER, table
 
 
@@ -14,6 +14,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,10 +26,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_edited(tokens.derived_edits(table(spark, sf_dir, "documents")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_similar(table(spark, sf_dir, "documents"))
 
@@ -39,9 +51,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
+    "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_extraction": op6_html_extraction,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
@@ -80,6 +95,28 @@ FROM b
 """
 
 
+OP1_SQL = rf"""
+WITH known AS (
+  SELECT * FROM (VALUES {{known}}) AS t(digest, kind, license)
+), l AS (
+  SELECT rid, doc_id, list_filter(list_transform(
+           list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower(x)),
+                       lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')),
+           lambda x: array_to_string(list_transform(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+'),
+             lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.EQUIVALENT.items())} ELSE w END), ' ')),
+         lambda x: x <> '') AS ls
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), d AS (
+  SELECT rid, doc_id, sha256(array_to_string(ls, ' ')) AS digest, list_distinct(list_transform(ls, lambda x: sha256(x))) AS ds FROM l
+), n AS (
+  SELECT rid, string_agg(license, ',' ORDER BY license) AS notices
+  FROM (SELECT DISTINCT u.rid, k.license FROM (SELECT rid, unnest(ds) AS h FROM d) u JOIN known k ON k.kind = 'line' AND k.digest = u.h)
+  GROUP BY rid
+)
+SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN n USING (rid) LEFT JOIN known k ON k.kind = 'text' AND k.digest = d.digest
+"""
+
 #: A-Z alone are lower-cased; the windows of each item meet the documents' windows of the same length.
 OP5_SQL = rf"""
 WITH w AS (
@@ -148,7 +185,14 @@ def _verdict_sql() -> str:
     return "(" + " AND ".join(found) + ")"
 
 
+def _known_sql() -> str:
+    rows = {(licenses.text_digest(t), "text", n) for t, n in licenses.LICENSES.items()}
+    rows |= {(licenses.text_digest(t), "line", n) for t, n in licenses.NOTICES.items()}
+    return ", ".join(str(r) for r in sorted(rows))
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL.replace("{known}", _known_sql()),
     "op5_decontaminate": OP5_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op10_quality_rules": OP10_SQL.replace("{verdict}", _verdict_sql()),
