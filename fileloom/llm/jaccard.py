@@ -31,9 +31,11 @@ from .common import materialise
 PERCENT = 90
 SHINGLE = 3
 #: Frequencies are counted, and prefixes taken first, among the shingles whose hash is in this part of the hash space.
-LOW = np.uint64(int(0.2 * 2**64))
+LOW = np.uint64(int(0.14 * 2**64))
 #: Sets up to this size are kept whole beside their low shingles, so that their subsets can be enumerated.
 SMALL_MOST = 40
+#: In place of a position: the key is of a subset.
+SUBSET = (1 << 31) - 1
 #: A shingle in more sets than this is heavy. At most so many (1.6 MB) are known by name; the most frequent first.
 HEAVY, HEAVY_MOST = 24, 200_000
 #: Rows of (id, hash) that may be broadcast to pick the texts that are verified, some 40 MB; more are shuffled.
@@ -88,8 +90,8 @@ def partner_sizes(n: int) -> range:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """256 bits; each shingle flips one, so two sets differ in at least as many shingles as bits."""
-    bits = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    """1024 bits; each shingle flips one, so two sets differ in at least as many shingles as bits."""
+    bits = np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -109,27 +111,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low.append(s)
                 ends.append(ends[-1] + len(s))
             flat = np.concatenate([*low, np.empty(0, np.uint64)]).view(np.int64)
-            parity = np.array(parity, np.int64).reshape(-1, 4)
+            parity = np.concatenate([*parity, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("row", "doc_id", "th")),
                     pa.array(n, pa.int32()),
                     *(pa.array(x, pa.int64()) for x in sums),
-                    *(pa.array(parity[:, j]) for j in range(4)),
+                    pa.ListArray.from_arrays(pa.array(range(0, 16 * len(n) + 1, 16), pa.int32()), pa.array(parity)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["row", "doc_id", "th", "n", "h1", "h2", "b0", "b1", "b2", "b3", "low"],
+                names=["row", "doc_id", "th", "n", "h1", "h2", "bits", "low"],
             )
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, th, n, h1, h2, b0 to b3, low. th: a hash of the text."""
+    """row, doc_id, th, n, h1, h2, bits, low. th: a hash of the text."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
         _sets,
-        f"row long, doc_id {kind}, th long, n int, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, "
+        f"row long, doc_id {kind}, th long, n int, h1 long, h2 long, bits array<long>, "
         "low array<long>",
     )
 
@@ -163,14 +165,15 @@ def _subset_keys(s: np.ndarray, below: int) -> list[int]:
 
 
 def _postings(heavy, below: int):
-    """key, pos, index (may be the smaller of a pair), row, n for each set."""
+    """key, row, meta for each set: meta is the set's size, the shingle's position in the set's order (all ones for a
+    subset) and whether the set may be the smaller of a pair here, packed (32, 31 and 1 bits) to keep postings narrow."""
     most = -(-PERCENT * below // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = heavy.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys, pos, index, rows, sizes = [], [], [], [], []
+                keys, metas, rows = [], [], []
                 lows = batch.column("low")
                 values, ends = lows.values.to_numpy().view(np.uint64), lows.offsets.to_numpy()
                 for i, (row, n) in enumerate(zip(batch.column("row").to_numpy(), batch.column("n").to_numpy())):
@@ -178,49 +181,51 @@ def _postings(heavy, below: int):
                     if n < below:
                         found = np.array(_subset_keys(s, below), np.uint64)
                         keys.append(found)
-                        pos.append(np.full(len(found), -1, np.int32))
-                        index.append(np.ones(len(found), bool))
-                        rows.append(np.full(len(found), row))
-                        sizes.append(np.full(len(found), n, np.int32))
+                        metas.append(np.full(len(found), n << 32 | SUBSET << 1 | 1, np.int64))
+                        rows.append(np.full(len(found), row, np.int64))
                     if n >= most:
                         at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                         is_heavy = (known[at] == s) if len(known) else np.zeros(len(s), bool)
                         p = probe_length(n)
-                        order = np.lexsort((s, is_heavy, s >= LOW))[:p]
-                        keys.append(s[order])
-                        pos.append(np.arange(p, dtype=np.int32))
-                        index.append(np.arange(p) < index_length(n))
-                        rows.append(np.full(p, row))
-                        sizes.append(np.full(p, n, np.int32))
+                        pos = np.arange(p, dtype=np.int64)
+                        keys.append(s[np.lexsort((s, is_heavy, s >= LOW))[:p]])
+                        metas.append(n << 32 | pos << 1 | (pos < index_length(n)))
+                        rows.append(np.full(p, row, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(keys).view(np.int64)),
-                            pa.array(np.concatenate(pos)),
-                            pa.array(np.concatenate(index)),
-                            pa.array(np.concatenate(rows).astype(np.int64)),
-                            pa.array(np.concatenate(sizes)),
-                        ],
-                        names=["key", "pos", "index", "row", "n"],
+                        [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (rows, metas))],
+                        names=["key", "row", "meta"],
                     )
 
     return run
 
 
+def _unpacked(row: str, meta: str) -> Column:
+    return F.expr(
+        f"struct({row} as row, cast(shiftright({meta}, 32) as int) as n, "
+        f"cast(shiftright({meta}, 1) & {SUBSET} as int) as pos, ({meta} & 1) = 1 as index)"
+    )
+
+
 def _may_link(a: str, b: str) -> Column:
     """Bounds on two postings of one key: size, position, and that the smaller set has the index role."""
     need = f"ceil({PERCENT} * ({a}.n + {b}.n) / {100 + PERCENT}.0)"
     return F.expr(
         f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and "
         f"(({a}.index and {a}.n <= {b}.n) or ({b}.index and {b}.n <= {a}.n)) and "
-        f"({a}.pos < 0) = ({b}.pos < 0) and "
-        f"({a}.pos < 0 or least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need})"
+        f"({a}.pos = {SUBSET}) = ({b}.pos = {SUBSET}) and "
+        f"({a}.pos = {SUBSET} or least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need})"
     )
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. sets: one row per representative."""
-    slim = sets.select("row", "n", F.array("b0", "b1", "b2", "b3").alias("bits"))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the structs x and y."""
+    return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. sets: one row per representative of rows."""
+    slim = sets.select("row", "n", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(slim.select([F.col(c).alias(f"{side}{'' if c == 'row' else '_' + c}") for c in slim.columns]), side)
     far = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
@@ -232,9 +237,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> Da
     wanted = wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
     if wanted.count() <= PICK_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(
-        wanted, (F.xxhash64("text") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
-    )
+    own = F.col("doc_id").eqNullSafe(F.col("w_id"))
+    texts = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("w_th")) & own)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WordIds()
@@ -246,7 +250,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> Da
                 )
 
     whole_sets = texts.select("w_row", "text").mapInArrow(whole, "row long, s array<long>")
-    whole_sets = materialise(whole_sets.groupBy("row").agg(F.first("s").alias("s")), f"{name}-sets")
+    # Only rows that repeat both id and text are found twice; they are seldom there.
+    if not rows.join(wanted, (F.col("th") == F.col("w_th")) & own).groupBy("w_row").count().where("count > 1").isEmpty():
+        whole_sets = whole_sets.dropDuplicates(["row"])
+    whole_sets = materialise(whole_sets, f"{name}-sets")
     for side in ("a", "b"):
         pairs = pairs.join(whole_sets.select(F.col("row").alias(side), F.col("s").alias(f"{side}_s")), side)
     common = F.size(F.array_intersect("a_s", "b_s"))
@@ -300,43 +307,34 @@ def group_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     below = choose_boundary(sizes, (stats.sq or 0) / max(stats.s or 0, 1))
 
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    postings = materialise(
-        sets.select("row", "n", "low").mapInArrow(
-            _postings(shared, below), "key long, pos int, index boolean, row long, n int"
-        ),
-        "postings",
-    )
-    lists = postings.groupBy("key").agg(
-        F.count("*").alias("many"), F.min(F.struct(~F.col("index"), "row", "n", "pos", "index")).alias("hub")
-    )
-    lists = lists.where("many > 1").select("key", "hub.row", "hub.n", "hub.pos", "hub.index")
-    members = materialise(postings.alias("p").join(
-        lists.select("key", *[F.col(c).alias(f"h_{c}") for c in ("row", "n", "pos", "index")]), "key"
-    ), "members")
-    hub = F.struct(*[F.col(f"h_{c}").alias(c) for c in ("row", "n", "pos", "index")])
-    own = F.struct("row", "n", "pos", "index")
-    pairs = (
-        members.select(own.alias("x"), hub.alias("y")).where("x.row != y.row").where(_may_link("x", "y"))
-        .select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    )
-    links = _verify(pairs, sets, docs, "hub")
+    postings = sets.select("row", "n", "low").mapInArrow(_postings(shared, below), "key long, row long, meta long")
+    postings = materialise(postings, "postings")
+    # A list's hub: of the members that may be the smaller of a pair the first, else the first.
+    order = F.expr(f"if((meta & 1) = 1, row, row | {1 << 62})")
+    lists = postings.groupBy("key").agg(F.count("*").alias("many"), F.min(order).alias("hub"), F.min_by("meta", order).alias("h_meta"))
+    lists = lists.where("many > 1").withColumn("h_row", F.expr(f"hub & {(1 << 62) - 1}"))
+    members = postings.join(lists.select("key", "h_row", "h_meta"), "key")
+    members = materialise(members, "members")
+    pairs = members.where("row != h_row").select(
+        _unpacked("row", "meta").alias("x"), _unpacked("h_row", "h_meta").alias("y")
+    ).where(_may_link("x", "y"))
+    links = _verify(_ordered(pairs), rows, sets, docs, "hub")
 
     # Members outside the component of their list's hub, with the rest of the list.
     comps = components(links)
-    by_row = members.join(comps, F.col("row") == F.col("node"), "left").withColumn("c", F.coalesce("comp", "row"))
-    by_row = by_row.drop("node", "comp").join(
-        comps.select(F.col("node").alias("h_node"), F.col("comp").alias("h_comp")), F.col("h_row") == F.col("h_node"), "left"
-    ).withColumn("h_c", F.coalesce("h_comp", "h_row"))
-    by_row = materialise(by_row.select("key", "row", "n", "pos", "index", "c", "h_row", (F.col("c") != F.col("h_c")).alias("out")), "by-row")
-    mixed = by_row.where("out").select("key").distinct()
-    rest = by_row.join(mixed, "key", "left_semi")
-    x = by_row.where("out").select("key", F.struct("row", "n", "pos", "index", "c").alias("x"))
-    y = rest.where("row != h_row").select("key", F.struct("row", "n", "pos", "index", "c", "out").alias("y"))
-    pairs = (
-        x.join(y, "key").where("x.c != y.c and (not y.out or x.row < y.row)").where(_may_link("x", "y"))
-        .select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    )
-    more = _verify(pairs, sets, docs, "rest")
+    by_row = members.select("key", "row", "meta", "h_row")
+    for row, name in (("row", "c"), ("h_row", "h_c")):
+        own = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+        by_row = by_row.join(own, F.col(row) == F.col("_node"), "left")
+        by_row = by_row.withColumn(name, F.coalesce("_comp", row)).drop("_node", "_comp")
+    by_row = by_row.withColumn("out", F.col("c") != F.col("h_c")).drop("h_c")
+    by_row = materialise(by_row, "by-row")
+    outside = by_row.where("out")
+    rest = by_row.where("row != h_row").join(outside.select("key").distinct(), "key", "left_semi")
+    x = outside.select("key", F.col("c").alias("x_c"), _unpacked("row", "meta").alias("x"))
+    y = rest.select("key", F.col("c").alias("y_c"), "out", _unpacked("row", "meta").alias("y"))
+    pairs = x.join(y, "key").where("x_c != y_c and (not out or x.row < y.row)").where(_may_link("x", "y"))
+    more = _verify(_ordered(pairs), rows, sets, docs, "rest")
     comps = components(links.union(more))
 
     keys = by_set.select(*[F.col(c).alias(f"g_{c}") for c in ("n", "h1", "h2")], "group")
