@@ -17,9 +17,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bound of the labelled sample: whole texts of so many rows of each class, those with the smallest hashes.
-SAMPLE = 800
-DICT_BYTES = 96 * 1024
+#: The bound of the labelled sample: whole texts of at most so many rows of each class, those with the smallest hashes,
+#: and of so many bytes each.
+SAMPLE, SAMPLE_TEXT_BYTES = 2000, 64 * 1024
+#: Size of a dictionary, and of the segments and matches that it is chosen by.
+DICT_BYTES, SEGMENT, MATCH = 96 * 1024, 200, 8
 LEVEL = 3
 #: Texts are compressed in blocks of so many bytes, so that a dictionary counts as much in the end of a long text as
 #: in its beginning; the sizes of all blocks are added.
@@ -60,7 +62,8 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def _features(text: str | None, compressors) -> tuple[float, float, float]:
-    """1, the normalised difference (above 0: nearer to the good texts), how far the text compresses at all."""
+    """1, the normalised difference (above 0: nearer to the good texts), how far a text is repetition beyond what prose
+    compresses to; both shrink towards 0 as a text gets too short to tell."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return 1.0, 0.0, 0.0
@@ -69,7 +72,8 @@ def _features(text: str | None, compressors) -> tuple[float, float, float]:
         block = data[at : at + BLOCK]
         good += len(compressors[0].compress(block))
         bad += len(compressors[1].compress(block))
-    return 1.0, (bad - good) / (bad + good), min(good, bad) / (len(data) + 64.0) - 0.5
+    known = len(data) / (len(data) + 100.0)
+    return 1.0, known * (bad - good) / (bad + good), known * max(0.0, 1.0 - 4.0 * min(good, bad) / len(data))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -90,7 +94,7 @@ def _train_dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; where there is too little text for that, the text itself."""
     blocks = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, blocks, k=SEGMENT, d=MATCH, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(blocks)[:DICT_BYTES] or b" " * 8
 
@@ -107,7 +111,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.union(part)
     # At most 2 * sample rows of two numbers: bounded by the parameter.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).collect()
     rows = sorted((r.doc_id, r.quality, r.text) for r in rows)
     texts = {q: [t.encode("utf-8", "surrogatepass") for _, k, t in rows if k == q] for q in (0, 1)}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)

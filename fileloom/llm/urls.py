@@ -115,12 +115,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
         ),
         "suffixes",
     )
+    # A suffix that no rule has labelled counts as the labelled URLs do on the whole.
+    overall = labelled.agg(F.avg("label")).first()[0]
+    overall = 0.5 if overall is None else overall
     if suffixes.count() <= SUFFIX_ROWS:
         suffixes = F.broadcast(suffixes)
 
     def with_suffix(df: DataFrame) -> DataFrame:
         return df.join(suffixes, F.col("suffix") == F.col("s_suffix"), "left").fillna(
-            {"f_suffix_rate": 0.5, "f_suffix_count": 0.0}
+            {"f_suffix_rate": overall, "f_suffix_count": 0.0}
         )
 
     sample = labelled.orderBy(F.xxhash64("url"), "url", "page_id").limit(train_rows)
