@@ -9,7 +9,10 @@ that these links form. A size-aware heavy-light join, exact (no sketches decide)
    smaller of two similar sets has a common shingle in its first (n - o + 1), so most shingles have no posting.
 4. A list is not expanded into pairs. Its members are first compared with one hub each; the links found are contracted
    to components; only members outside the hub's component are then compared with the rest of their list.
-5. A pair must pass bounds on size, position and parity signature, and is then verified on the whole sets.
+5. In a long list that has such members, the sets are put into lists anew, in the order of their shingles' frequencies
+   among them, over all their shingles and not the low ones alone: what sets a member apart then comes first, and the
+   positional bound leaves out pairs that have too much of it.
+6. A pair must pass bounds on size, position and parity signature, and is then verified on the whole sets.
 
 A shingle is a 64-bit hash of its words. Python (numpy, in Arrow batches) makes sets out of texts; all joining, counting
 and contraction is done by DataFrame operations on slim rows.
@@ -38,6 +41,8 @@ SMALL_MOST = 40
 SUBSET = (1 << 31) - 1
 #: A shingle in more sets than this is heavy. At most so many (1.6 MB) are known by name; the most frequent first.
 HEAVY, HEAVY_MOST = 24, 200_000
+#: Lists of more members are refined before members outside the hub's component are compared with them.
+LONG = 64
 #: Rows of (id, hash) that may be broadcast to pick the texts that are verified, some 40 MB; more are shuffled.
 PICK_ROWS = 500_000
 
@@ -164,8 +169,11 @@ def _subset_keys(s: np.ndarray, below: int) -> list[int]:
     return keys
 
 
-def _postings(heavy, below: int):
-    """key, row, meta for each set: meta is the set's size, the shingle's position in the set's order (all ones for a
+POSTING = "key long, row long, meta long"
+
+
+def _postings(heavy, below: int, whole: bool = False):
+    """POSTING rows for each set (row, n, low; whole: low is the whole set): meta is the set's size, the shingle's position in the set's order (all ones for a
     subset) and whether the set may be the smaller of a pair here, packed (32, 31 and 1 bits) to keep postings narrow."""
     most = -(-PERCENT * below // 100)
 
@@ -188,7 +196,7 @@ def _postings(heavy, below: int):
                         is_heavy = (known[at] == s) if len(known) else np.zeros(len(s), bool)
                         p = probe_length(n)
                         pos = np.arange(p, dtype=np.int64)
-                        keys.append(s[np.lexsort((s, is_heavy, s >= LOW))[:p]])
+                        keys.append(s[np.lexsort((s, is_heavy, s >= LOW) if not whole else (s, is_heavy))[:p]])
                         metas.append(n << 32 | pos << 1 | (pos < index_length(n)))
                         rows.append(np.full(p, row, np.int64))
                 if keys:
@@ -223,17 +231,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. sets: one row per representative of rows."""
-    slim = sets.select("row", "n", "bits")
-    for side in ("a", "b"):
-        pairs = pairs.join(slim.select([F.col(c).alias(f"{side}{'' if c == 'row' else '_' + c}") for c in slim.columns]), side)
-    far = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    differ = F.col("a_n") + F.col("b_n") - 2 * F.ceil(PERCENT * (F.col("a_n") + F.col("b_n")) / (100.0 + PERCENT))
-    pairs = materialise(pairs.where(far <= differ).select("a", "b", "a_n", "b_n"), f"{name}-pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = materialise(wanted.join(sets.select("row", "doc_id", "th"), "row"), f"{name}-wanted")
+def _whole_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """row, s: the whole sets of wanted(row, doc_id, th), made again from their texts."""
     wanted = wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
     if wanted.count() <= PICK_ROWS:
         wanted = F.broadcast(wanted)
@@ -249,11 +248,25 @@ def _verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame, docs: DataFrame,
                     [batch.column("w_row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "s"]
                 )
 
-    whole_sets = texts.select("w_row", "text").mapInArrow(whole, "row long, s array<long>")
+    found = texts.select("w_row", "text").mapInArrow(whole, "row long, s array<long>")
     # Only rows that repeat both id and text are found twice; they are seldom there.
     if not rows.join(wanted, (F.col("th") == F.col("w_th")) & own).groupBy("w_row").count().where("count > 1").isEmpty():
-        whole_sets = whole_sets.dropDuplicates(["row"])
-    whole_sets = materialise(whole_sets, f"{name}-sets")
+        found = found.dropDuplicates(["row"])
+    return materialise(found, f"{name}-sets")
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. sets: one row per representative of rows."""
+    slim = sets.select("row", "n", "bits")
+    for side in ("a", "b"):
+        pairs = pairs.join(slim.select([F.col(c).alias(f"{side}{'' if c == 'row' else '_' + c}") for c in slim.columns]), side)
+    far = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    differ = F.col("a_n") + F.col("b_n") - 2 * F.ceil(PERCENT * (F.col("a_n") + F.col("b_n")) / (100.0 + PERCENT))
+    pairs = materialise(pairs.where(far <= differ).select("a", "b", "a_n", "b_n"), f"{name}-pairs")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = materialise(wanted.join(sets.select("row", "doc_id", "th"), "row"), f"{name}-wanted")
+    whole_sets = _whole_sets(wanted, rows, docs, name)
     for side in ("a", "b"):
         pairs = pairs.join(whole_sets.select(F.col("row").alias(side), F.col("s").alias(f"{side}_s")), side)
     common = F.size(F.array_intersect("a_s", "b_s"))
@@ -289,6 +302,48 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _heaviest(counts: DataFrame) -> np.ndarray:
+    """The sorted shingles of counts(t, count) that are heavy: at most HEAVY_MOST numbers."""
+    found = counts.where(F.col("count") > HEAVY).orderBy(F.desc("count"), "t").limit(HEAVY_MOST).select("t")
+    return np.sort(np.array([r.t for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _members(postings: DataFrame, name: str) -> DataFrame:
+    """key, row, meta, h_row, h_meta, many of the lists of two members or more. The hub: of the members that may be the
+    smaller of a pair, else of all, the one with the fewest shingles before this, then the first."""
+    pos = f"least(shiftright(meta, 1) & {SUBSET}, 255L)"
+    order = F.expr(f"shiftleft(1L - (meta & 1), 62) | shiftleft({pos}, 54) | row")
+    lists = postings.groupBy("key").agg(
+        F.count("*").alias("many"), F.min(order).alias("hub"), F.min_by("meta", order).alias("h_meta")
+    )
+    lists = lists.where("many > 1").withColumn("h_row", F.expr(f"hub & {(1 << 54) - 1}"))
+    return materialise(postings.join(lists.select("key", "h_row", "h_meta", "many"), "key"), name)
+
+
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its list's hub."""
+    x, y = _unpacked("row", "meta").alias("x"), _unpacked("h_row", "h_meta").alias("y")
+    return _ordered(members.where("row != h_row").select(x, y).where(_may_link("x", "y")))
+
+
+def _outside(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+    """Members with c and h_c, their own and their hub's component, and whether these differ."""
+    for row, c in (("row", "c"), ("h_row", "h_c")):
+        own = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+        members = members.join(own, F.col(row) == F.col("_node"), "left")
+        members = members.withColumn(c, F.coalesce("_comp", row)).drop("_node", "_comp")
+    return materialise(members.withColumn("out", F.col("c") != F.col("h_c")), name)
+
+
+def _rest_pairs(split: DataFrame) -> DataFrame:
+    """Members outside their hub's component with the others of the list that are in another component."""
+    outside = split.where("out")
+    rest = split.where("row != h_row").join(outside.select("key").distinct(), "key", "left_semi")
+    x = outside.select("key", F.col("c").alias("x_c"), _unpacked("row", "meta").alias("x"))
+    y = rest.select("key", F.col("c").alias("y_c"), "out", _unpacked("row", "meta").alias("y"))
+    return _ordered(x.join(y, "key").where("x_c != y_c and (not out or x.row < y.row)").where(_may_link("x", "y")))
+
+
 def group_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, comps): rows has row, doc_id, th, n, group (its representative's row) for every row of docs; comps has
     node, comp for the representatives that are linked to a smaller one."""
@@ -301,41 +356,33 @@ def group_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = sets.select(F.explode("low").alias("t")).where(F.expr(f"t >= 0 and t < {int(LOW)}"))
     counts = materialise(tokens.groupBy("t").count().where("count > 1"), "frequent")
     stats = counts.agg(F.sum(F.col("count") * F.col("count")).alias("sq"), F.sum("count").alias("s")).first()
-    heavy = counts.where(F.col("count") > HEAVY).orderBy(F.desc("count"), "t").limit(HEAVY_MOST).select("t")
-    heavy = np.sort(np.array([r.t for r in heavy.collect()], np.int64).view(np.uint64))
     sizes = {r.n: r["count"] for r in sets.where(F.col("n") <= SMALL_MOST).groupBy("n").count().collect()}
     below = choose_boundary(sizes, (stats.sq or 0) / max(stats.s or 0, 1))
 
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    postings = sets.select("row", "n", "low").mapInArrow(_postings(shared, below), "key long, row long, meta long")
+    shared = docs.sparkSession.sparkContext.broadcast(_heaviest(counts))
+    postings = sets.select("row", "n", "low").mapInArrow(_postings(shared, below), POSTING)
     postings = materialise(postings, "postings")
-    # A list's hub: of the members that may be the smaller of a pair the first, else the first.
-    order = F.expr(f"if((meta & 1) = 1, row, row | {1 << 62})")
-    lists = postings.groupBy("key").agg(F.count("*").alias("many"), F.min(order).alias("hub"), F.min_by("meta", order).alias("h_meta"))
-    lists = lists.where("many > 1").withColumn("h_row", F.expr(f"hub & {(1 << 62) - 1}"))
-    members = postings.join(lists.select("key", "h_row", "h_meta"), "key")
-    members = materialise(members, "members")
-    pairs = members.where("row != h_row").select(
-        _unpacked("row", "meta").alias("x"), _unpacked("h_row", "h_meta").alias("y")
-    ).where(_may_link("x", "y"))
-    links = _verify(_ordered(pairs), rows, sets, docs, "hub")
-
-    # Members outside the component of their list's hub, with the rest of the list.
+    members = _members(postings, "members")
+    links = _verify(_star_pairs(members), rows, sets, docs, "hub")
+    comps = components(links)
+    split = _outside(members, comps, "outside")
+    links = links.union(_verify(_rest_pairs(split.where(f"many <= {LONG}")), rows, sets, docs, "rest"))
+
+    far = split.where(f"many > {LONG}")
+    far = far.join(far.where("out").select("key").distinct(), "key", "left_semi").select("row").distinct()
+    far = materialise(sets.select("row", "doc_id", "th", "n").join(far, "row", "left_semi"), "far")
+    if not far.isEmpty():
+        whole = _whole_sets(far, rows, docs, "far").join(far.select("row", "n"), "row").withColumnRenamed("s", "low")
+        counts = whole.select(F.explode("low").alias("t")).groupBy("t").count().where(F.col("count") > HEAVY)
+        shared = docs.sparkSession.sparkContext.broadcast(_heaviest(counts))
+        postings = whole.select("row", "n", "low").mapInArrow(_postings(shared, 1, True), POSTING)
+        members = _members(materialise(postings, "far-postings"), "far-members")
+        comps = components(links)
+        split = _outside(members, comps, "far-outside")
+        links = links.union(_verify(_star_pairs(split.where("c != h_c")), rows, sets, docs, "far-hub"))
+        split = _outside(members, components(links), "far-rest")
+        links = links.union(_verify(_rest_pairs(split), rows, sets, docs, "far-rest"))
     comps = components(links)
-    by_row = members.select("key", "row", "meta", "h_row")
-    for row, name in (("row", "c"), ("h_row", "h_c")):
-        own = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-        by_row = by_row.join(own, F.col(row) == F.col("_node"), "left")
-        by_row = by_row.withColumn(name, F.coalesce("_comp", row)).drop("_node", "_comp")
-    by_row = by_row.withColumn("out", F.col("c") != F.col("h_c")).drop("h_c")
-    by_row = materialise(by_row, "by-row")
-    outside = by_row.where("out")
-    rest = by_row.where("row != h_row").join(outside.select("key").distinct(), "key", "left_semi")
-    x = outside.select("key", F.col("c").alias("x_c"), _unpacked("row", "meta").alias("x"))
-    y = rest.select("key", F.col("c").alias("y_c"), "out", _unpacked("row", "meta").alias("y"))
-    pairs = x.join(y, "key").where("x_c != y_c and (not out or x.row < y.row)").where(_may_link("x", "y"))
-    more = _verify(_ordered(pairs), rows, sets, docs, "rest")
-    comps = components(links.union(more))
 
     keys = by_set.select(*[F.col(c).alias(f"g_{c}") for c in ("n", "h1", "h2")], "group")
     same = (F.col("n") == F.col("g_n")) & (F.col("h1") == F.col("g_h1")) & (F.col("h2") == F.col("g_h2"))
