@@ -206,12 +206,12 @@ SEARCHES = {k: v[:3] for k, v in _SEARCHES.items()}
 
 _SNIPPET = r"""
 , cut AS (
-  SELECT *, CASE {first} END AS at, CASE {size} END AS size_at FROM chosen
+  SELECT *, CASE {first} END AS place, CASE {size} END AS size_at FROM chosen
 ), sides AS (
-  SELECT *, substring(body, 1, (at - 1)::INT) AS bef, substring(body, (at + size_at)::INT) AS aft FROM cut
+  SELECT *, substring(body, 1, (place - 1)::INT) AS bef, substring(body, (place + size_at)::INT) AS aft FROM cut
 ), text_of AS (
   SELECT *, right(bef, coalesce(list_filter(range(1, 81), lambda k: strlen(right(bef, k::INT)) >= 80)[1], length(bef))::INT)
-      || substring(body, at::INT, size_at::INT)
+      || substring(body, place::INT, size_at::INT)
       || left(aft, coalesce(list_filter(range(1, 81), lambda k: strlen(left(aft, k::INT)) >= 80)[1], length(aft))::INT) AS snippet
   FROM sides
 )

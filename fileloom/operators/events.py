@@ -52,7 +52,7 @@ def _below(path: str, folder: str) -> bool:
     return path.startswith((folder + "\\", folder + "/"))
 
 
-def _timeline(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _timeline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """The renames of one volume's directories in order, each with the directory's path just before it. Rows: seq (0:
     the catalog), kind, id, path."""
     paths: dict[int, str] = {}

@@ -51,7 +51,7 @@ def upsert_postings(postings: DataFrame, changes: DataFrame) -> DataFrame:
     """Postings of changed paths are dropped and made again from the latest bodies."""
     latest = changes.groupBy("path").agg(F.max_by("body", "seq").alias("body"))
     kept = postings.join(latest.select("path"), "path", "left_anti")
-    return kept.unionByName(build_postings(latest.where(F.col("body").isNotNull())))
+    return kept.select("word", "path").union(build_postings(latest.where(F.col("body").isNotNull())))
 
 
 def next_id(catalog: DataFrame) -> DataFrame:

@@ -32,6 +32,21 @@ def journal_changes(rows: DataFrame) -> DataFrame:
     )
 
 
+def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
+    """For each delete and rename what is at its path then: `from`, the row that put it there, or id, by the catalog."""
+    # What a row does to a path: puts there (the row's own seq), or takes away (null); -1 asks what is there.
+    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("path", "seq", "-1 as turn", "cast(null as bigint) as put")
+    deeds = deeds.union(deeds.selectExpr("path", "seq", "0", "put"))
+    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_path", "seq", "1", "seq"))
+    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("path", "seq", "1", "seq"))
+    earlier = Window.partitionBy("path").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    deed = F.when(F.col("turn") >= 0, F.struct("put"))
+    asked = deeds.withColumn("last", F.last(deed, ignorenulls=True).over(earlier)).where("turn = -1")
+    return asked.join(here, "path", "left").select(
+        "seq", F.col("last.put").alias("from"), F.when(F.col("last").isNull(), F.col("old_id")).alias("id")
+    )
+
+
 def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataFrame:
     """Changes of a watcher batch without renames of directories (events.split_at_renames): creations get the ids from
     first_id on in the order of seq; deletes and renames the id that is at their path then, or are dropped.
@@ -44,17 +59,14 @@ def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataF
     in_order = F.row_number().over(Window.orderBy("seq"))
     ids = rows.where("kind = 'create'").select("seq").withColumn("new_id", F.lit(int(first_id) - 1) + in_order)
     here = catalog.groupBy("path").agg(F.min("id").alias("old_id"))
-    # What a row does to a path: puts there (the row's own seq), or takes away (null); -1 asks what is there.
-    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("path", "seq", "-1 as turn", "cast(null as bigint) as put")
-    deeds = deeds.union(deeds.selectExpr("path", "seq", "0", "put"))
-    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_path", "seq", "1", "seq"))
-    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("path", "seq", "1", "seq"))
-    earlier = Window.partitionBy("path").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    deed = F.when(F.col("turn") >= 0, F.struct("put"))
-    asked = deeds.withColumn("last", F.last(deed, ignorenulls=True).over(earlier)).where("turn = -1")
-    asked = asked.join(here, "path", "left").select(
-        "seq", F.col("last.put").alias("from"), F.when(F.col("last").isNull(), F.col("old_id")).alias("id")
-    )
+    # A row that asks for a path where nothing is does nothing, and what it would have put elsewhere is not there.
+    rows = cut(rows)
+    while True:
+        asked = cut(_asked(rows, here))
+        void = asked.where("`from` is null and id is null").select("seq")
+        if void.isEmpty():
+            break
+        rows = cut(rows.join(void, "seq", "left_anti"))
     # from: the row whose file this is; a creation is its own.
     links = asked.unionByName(ids.select("seq", F.lit(None).cast("long").alias("from"), F.col("new_id").alias("id")))
     while not links.where("id is null and `from` is not null").isEmpty():
