@@ -12,7 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, whole_row
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = """
@@ -128,7 +128,9 @@ def measure_rules(docs: DataFrame, thresholds=None) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame, thresholds=None) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns and in one pass over the text."""
-    from .common import whole_row
+    """The rows of docs that the rules keep, with all their columns and in one pass over the text.
 
-    return judge(whole_row(docs), thresholds).where("kept").select("_row.*")
+    The row's number is part of the condition because a condition on deterministic columns alone would be moved below
+    the projections of the counts, and each count written out in it again and again."""
+    rows = judge(whole_row(docs), thresholds).withColumn("_at", F.monotonically_increasing_id())
+    return rows.where("kept and _at >= 0").select("_row.*")
