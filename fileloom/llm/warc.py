@@ -131,14 +131,17 @@ def _headers(stream: BinaryIO, buffer: bytearray) -> tuple[dict[str, str], int]:
 
 
 def _pieces(stream: BinaryIO, buffer: bytearray, size: int) -> Iterator[bytes]:
+    """The next size bytes in chunks of CHUNK, the last one smaller."""
     while size:
-        if not buffer:
-            buffer += stream.read(min(CHUNK, max(size, 65536)))
-            if not buffer:
+        n = min(size, CHUNK)
+        while len(buffer) < n:
+            more = stream.read(n - len(buffer))
+            if not more:
                 raise ValueError("the archive ends within a record")
-        piece = bytes(buffer[: min(size, CHUNK)])
-        del buffer[: len(piece)]
-        size -= len(piece)
+            buffer += more
+        piece = bytes(buffer[:n])
+        del buffer[:n]
+        size -= n
         yield piece
 
 
