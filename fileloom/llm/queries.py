@@ -173,6 +173,26 @@ JOIN (SELECT a, min(doc_id) AS component_id FROM reach JOIN w ON w.rid = reach.b
 """
 
 
+_BITS = ", ".join(f"'{k:04b}'" for k in range(16))
+OP9_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id,
+         array_to_string(list_transform(string_split(hex, ''),
+           lambda c: [{_BITS}][strpos('0123456789abcdef', c)::INT]), '') AS bits
+  FROM p
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(generate_series(1, 5),
+           lambda j: substr(bits, (5 * i + j)::INT, 1)::INT * (1 << (5 - j)::INT)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
 def _verdict_sql() -> str:
     measure = {
         "mean_word_chars": "(word_chars / n_words::DOUBLE)",
@@ -195,5 +215,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL.replace("{known}", _known_sql()),
     "op5_decontaminate": OP5_SQL,
     "op7_ngram_jaccard": OP7_SQL,
+    "op9_warc": OP9_SQL,
     "op10_quality_rules": OP10_SQL.replace("{verdict}", _verdict_sql()),
 }
