@@ -30,6 +30,12 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 - 4.0 * F.coalesce(share, F.lit(0.0)))
 
 
+def _uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """In (0, 1): 52 bits of a hash that any engine has, moved off 0."""
+    known = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return (F.conv(F.substring(F.md5(known), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
 def _source_targets(slim: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
     """source, source_size, target: one row per source. Water filling without a loop: with the sources in the order of
     cap / weight, the level that serves all but the first k is (budget - caps of the k) / (weights of the rest); the
@@ -83,8 +89,7 @@ def mix_sources(
             "source",
             F.coalesce(F.expr(rf"size(regexp_extract_all(text, r'{WORD}', 0))"), F.lit(0)).cast("long").alias("size"),
             quality_weight(text).alias("weight"),
-            # 53 bits of the hash, moved off 0
-            ((F.xxhash64(F.lit(seed), "doc_id", text).bitwiseAND((1 << 53) - 1) + 0.5) / float(1 << 53)).alias("u"),
+            _uniform(seed, F.col("doc_id"), text).alias("u"),
         ),
         "mix",
     ).withColumn("key", -F.log("u") / F.col("weight"))

@@ -117,6 +117,45 @@ SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
 FROM d LEFT JOIN n USING (rid) LEFT JOIN known k ON k.kind = 'text' AND k.digest = d.digest
 """
 
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         greatest(0.1, 1.0::DOUBLE - 4.0::DOUBLE * (length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>!]+', '', 'g'))::DOUBLE
+           / greatest(length(coalesce(text, '')), 1)::DOUBLE)) AS weight,
+         md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS hex
+  FROM documents
+), k AS (
+  SELECT *, -ln((list_sum(list_transform(generate_series(1, 13), lambda i:
+              (strpos('0123456789abcdef', substr(hex, i::INT, 1)) - 1)::BIGINT * (1::BIGINT << (4 * (13 - i))::INT)))::BIGINT + 0.5::DOUBLE)
+              / 4503599627370496.0::DOUBLE) / weight AS key
+  FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  FROM k GROUP BY source
+), c AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM s
+), lv AS (
+  SELECT *, (least(1.5::DOUBLE * (SELECT sum(source_size) FROM c)::DOUBLE, (SELECT sum(cap) FROM c))
+             - coalesce((SELECT sum(cap) FROM c b WHERE b.ratio < c.ratio), 0.0::DOUBLE))
+            / (SELECT sum(w) FROM c b WHERE b.ratio >= c.ratio) AS level
+  FROM c
+), t AS (
+  SELECT source, source_size, w, cap,
+         least(cap, coalesce((SELECT min_by(level, ratio) FROM lv WHERE level <= ratio) * w, cap)) AS target
+  FROM lv
+), r AS (
+  SELECT k.doc_id, k.size, k.weight, t.source_size, t.target,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + least(size, greatest(0, round(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken, weight
+FROM r
+"""
+
 #: A-Z alone are lower-cased; the windows of each item meet the documents' windows of the same length.
 OP5_SQL = rf"""
 WITH w AS (
@@ -213,6 +252,7 @@ def _known_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL.replace("{known}", _known_sql()),
+    "op3_mix_sources": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op9_warc": OP9_SQL,
