@@ -265,7 +265,7 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
         depth::INT AS depth, path_norm, parent_norm, eff AS eff_attributes FROM cat""",
     "D10_wants_preview": _CATALOG + """SELECT id, coalesce(ext IN ('pdf','docx','xlsx','pptx','png','jpg','jpeg','gif','bmp'), false)
         AS wants_preview FROM cat""",
-    "D11_filetime": """SELECT o_orderkey, TIMESTAMPTZ '1970-01-01 00:00:00+00' + to_microseconds(greatest(0,
+    "D11_filetime": """SELECT o_orderkey, TIMESTAMP '1970-01-01' + to_microseconds(greatest(0,
         (o_orderkey * 10000000000 + 116444000000000000 - 116444736000000000) // 10)) AS modified FROM orders""",
     "S2_skip_directories": """WITH p AS (SELECT doc_id AS id, doc_id % 6 AS k, '/data/target/' ||
         ['.git','node_modules','Node_Modules','target','src','.GIT'][(doc_id % 6)::INT + 1] ||
@@ -286,7 +286,7 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
           CASE WHEN c_custkey % 50 = 0 THEN 'C:\' || c_name ELSE 'C:\' || r_name || '\' || n_name || '\' || c_name END, false
           FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
         UNION ALL SELECT 5, NULL, 'C:\', true)
-        SELECT id, parent_id, path, 0 AS size, TIMESTAMPTZ '1970-01-01 00:00:00+00' + to_seconds(id) AS modified, is_dir FROM n""",
+        SELECT id, parent_id, path, 0 AS size, TIMESTAMP '1970-01-01' + to_seconds(id) AS modified, is_dir FROM n""",
     "S6_journal_feed": r"""SELECT event_id AS seq,
         CASE event_type WHEN 'click' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind, user_id AS id,
         CASE WHEN event_type <> 'error' THEN user_id || '-' || event_id || '.txt' END AS name,
