@@ -34,7 +34,7 @@ from .common import materialise
 PERCENT = 90
 SHINGLE = 3
 #: Frequencies are counted, and prefixes taken first, among the shingles whose hash is in this part of the hash space.
-LOW = np.uint64(int(0.14 * 2**64))
+LOW = np.uint64(int(0.18 * 2**64))
 #: Sets up to this size are kept whole beside their low shingles, so that their subsets can be enumerated.
 SMALL_MOST = 40
 #: In place of a position: the key is of a subset.
@@ -43,7 +43,8 @@ SUBSET = (1 << 31) - 1
 HEAVY, HEAVY_MOST = 24, 200_000
 #: Lists of more members are refined before members outside the hub's component are compared with them.
 LONG = 64
-#: Rows of (id, hash) that may be broadcast to pick the texts that are verified, some 40 MB; more are shuffled.
+#: Counted rows of a few numbers (members of components; texts that are verified) that may be broadcast, some 40 MB at
+#: most; more are shuffled.
 PICK_ROWS = 500_000
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -233,9 +234,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _whole_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """row, s: the whole sets of wanted(row, doc_id, th), made again from their texts."""
-    wanted = wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
-    if wanted.count() <= PICK_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
     own = F.col("doc_id").eqNullSafe(F.col("w_id"))
     texts = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("w_th")) & own)
 
@@ -326,10 +325,15 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return _ordered(members.where("row != h_row").select(x, y).where(_may_link("x", "y")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast side only if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= PICK_ROWS else df
+
+
 def _outside(members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     """Members with c and h_c, their own and their hub's component, and whether these differ."""
+    own = _small(comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")))
     for row, c in (("row", "c"), ("h_row", "h_c")):
-        own = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
         members = members.join(own, F.col(row) == F.col("_node"), "left")
         members = members.withColumn(c, F.coalesce("_comp", row)).drop("_node", "_comp")
     return materialise(members.withColumn("out", F.col("c") != F.col("h_c")), name)
@@ -393,7 +397,7 @@ def group_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _labelled(docs: DataFrame) -> DataFrame:
     """row, doc_id, th, n, c: c names the component."""
     rows, comps = group_documents(docs)
-    rows = rows.join(comps, F.col("group") == F.col("node"), "left")
+    rows = rows.join(_small(comps), F.col("group") == F.col("node"), "left")
     return materialise(rows.select("row", "doc_id", "th", "n", F.coalesce("comp", "group").alias("c")), "labelled")
 
 
