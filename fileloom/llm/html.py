@@ -55,6 +55,8 @@ ENDS_BEFORE = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
 }
+#: Blocks that hold text, not articles.
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr".split())
 SALTS = 64
 #: Rules of hosts that may be broadcast: their summed bytes; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -285,7 +287,7 @@ def content_rule(wrapper: list, pages: int) -> dict:
     total, found = walk(wrapper, ())
     if has_article or not total:
         return {"root": [], "same": same}
-    holds = [(len(p), p) for p, chars in found if 10 * chars >= 7 * total and not p[-1].startswith(("p", "h", "li"))]
+    holds = [(len(p), p) for p, chars in found if 10 * chars >= 7 * total and p[-1].split(".")[0] not in TEXT_BLOCKS]
     return {"root": list(max(holds, default=(0, ()))[1]), "same": same}
 
 
@@ -372,12 +374,12 @@ def _merged(pdf: pd.DataFrame) -> tuple[int, list]:
     return int(pdf["pages"].sum()), wrapper
 
 
-def _merge_salted(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_salted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pages, wrapper = _merged(pdf)
     return pd.DataFrame({"host": [key[0]], "pages": [pages], "wrapper": [json.dumps(wrapper)]})
 
 
-def _merge_rule(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_rule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pages, wrapper = _merged(pdf)
     return pd.DataFrame({"host": [key[0]], "pages": [pages], "rule": [json.dumps(content_rule(wrapper, pages))]})
 
