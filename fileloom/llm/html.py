@@ -31,7 +31,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style title textarea noscript iframe xmp noembed noframes".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr".split()
 )
 SKIP = set(
     "head nav footer aside form script style noscript template iframe svg math button select textarea object canvas "
@@ -61,12 +61,18 @@ SALTS = 64
 #: Rules of hosts that may be broadcast: their summed bytes; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations, tags (their quotes may hold a `>`; if they are not closed, the first `>` ends the tag), and a
+#: tag that the page breaks off in.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
+    r"<(?:/?)(?:[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Element:
-    __slots__ = ("tag", "key", "skip", "parts", "parent", "href")
+    __slots__ = ("tag", "key", "skip", "parts", "parent")
 
     def __init__(self, tag: str, key: str, skip: bool, parent: Element | None):
         self.tag, self.key, self.skip, self.parent, self.parts = tag, key, skip, parent, []
@@ -101,7 +107,8 @@ def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool]:
 
 
 def parse(html: str) -> Element:
-    """The tree of block elements; a part is an element or a pair (text, is it in a link). Inline elements are text."""
+    """The tree of block elements; a part is an element or a pair (text, is it in a link). Inline elements are text, but
+    for spans, which may be of a kind that is skipped."""
     root = top = Element("#root", "#root", False, None)
     at, links = 0, 0
 
@@ -117,17 +124,23 @@ def parse(html: str) -> Element:
             break
         text(m.start())
         at = m.end()
-        if m[2] is None:
-            continue
+        name = m[2]
+        if name is None:
+            broken = re.match(r"<(/?)([a-zA-Z][^\s/>]*)(.*)>\Z", m[0], re.S)
+            if broken is None:
+                continue
+            m = broken
         tag, closing = m[2].lower(), m[1] == "/"
         if tag in RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
-        elif tag in INLINE and not (tag == "span" and not closing and "class" in m[3]):
+        elif tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
             elif tag == "br":
                 top.parts.append((" ", links > 0))
+        elif tag == "span" and closing:
+            top = top.parent if top.tag == "span" else top
         elif closing:
             up = top
             while up.parent is not None and up.tag != tag:
@@ -176,8 +189,8 @@ def page_wrapper(element: Element) -> list:
     for part in element.parts:
         if isinstance(part, tuple):
             texts.append(part)
-        elif part.tag == "span" and not part.skip:
-            texts.append((_span_text(part), False))
+        elif part.tag == "span":
+            texts.append(("" if part.skip else _span_text(part), False))
         else:
             slot()
             nodes.append(["!" + part.key, 1, 1, []] if part.skip else [part.key, 1, 1, page_wrapper(part)])
@@ -325,8 +338,9 @@ def extract_text(html: str | None, rule: dict | None = None) -> str:
         for part in element.parts:
             if isinstance(part, tuple):
                 texts.append(part[0])
-            elif part.tag == "span" and not part.skip:
-                walk(part)
+            elif part.tag == "span":
+                if not part.skip:
+                    walk(part)
             else:
                 block()
                 if not part.skip:

@@ -152,6 +152,20 @@ def test_pages(spark):
     assert html.extract_pages(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ('<article><p>a <span class="ad">Buy</span> b <span>c</span>d</p></article>', "a b cd"),
+        ("<article><p>a</p><p>b</p><foot", "a\n\nb"), ("<article><p title='it's>a</p>", "a"), ('<article>1 < 2 & 3<p title="x>y">z</p></article>', "1 < 2 & 3\n\nz"),
+        ("<body><header><p>top</p></header><main><p>m</p><nav>n</nav></main><p>rest</p>", "m"), ("<article><header><h1>t</h1></header><p>x</article>", "t\n\nx"),
+        ("<div><p>only &lt;p&gt;</p><div hidden>h</div><div style='display: none'>n</div><div role=banner>b</div></div>", "only <p>"),
+        ("<article><p>a</p><article class='comment'><p>c</p></article><!-- x --><script>if (a < b) {}</script></article>", "a"),
+    ],
+)
+def test_extraction_of_single_pages(markup, text):
+    assert html.extract_text(markup) == text
+
+
 def test_wrappers_align_in_any_order():
     pages = [html.page_wrapper(html.parse(page(k, "<p>more</p>" * (k % 3) + "<table></table>" * (k % 2)))) for k in range(8)]
 
