@@ -112,7 +112,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
         picked = part if picked is None else picked.union(part)
     # At most 2 * sample rows of two numbers: bounded by the parameter.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).collect()
+    # However often a document is there, it counts once.
+    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.collect()
     rows = sorted((r.doc_id, r.quality, r.text) for r in rows)
     texts = {q: [t.encode("utf-8", "surrogatepass") for _, k, t in rows if k == q] for q in (0, 1)}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
