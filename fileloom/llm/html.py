@@ -6,8 +6,10 @@ options; two wrappers are aligned, and what does not match becomes optional, wha
 differ a slot. Alignment is applied page by page within a task, then to the tasks' wrappers of a host in two rounds, so
 every page counts, and no task gathers a host's pages: a wrapper stays as small as the pages' structure.
 
-A host's wrapper says where its articles are if the markup does not (the deepest element that holds most of the text
-that varies and is not in links), and which texts outside articles are the same on all pages.
+A host has a wrapper for each kind of its pages (with <article>, with <main>, with neither), from all its pages. The
+wrapper says where the articles are: in the deepest element that holds most of the text that varies and is not in links.
+Text within <article> or <main> counts twice there, and if such an element lies around or in the one found, it is the
+root. Where no element but the body holds the articles, the wrapper says which texts are the same on all pages.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ MARKS = set(
     "newsletter subscribe signup login popup modal overlay pagination pager toolbar widget".split()
 )
 NEVER_SKIPPED = {"html", "body", "main", "article"}
+#: What markup says of a page, the surest first: its kind.
+KINDS = ("article", "main")
+#: A text that this many pages share, and all of the host, is fixed.
+LEAST_PAGES = 3
 P_ENDS_BEFORE = set(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
     "pre section table ul".split()
@@ -86,7 +92,9 @@ def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool]:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(re.split(r"[^a-z]+", names))
-    key = f"{tag}.{'.'.join(sorted(found['class'].split()))}" if found.get("class") else tag
+    key = tag
+    if found.get("class") and tag not in NEVER_SKIPPED:
+        key = f"{tag}.{'.'.join(sorted(found['class'].split()))}"
     if tag in NEVER_SKIPPED and not (tag == "article" and words & {"comment", "comments", "reply"}):
         return key, False
     in_article = False
@@ -269,39 +277,58 @@ def align(a: list, b: list) -> list:
     return folded
 
 
-def content_rule(wrapper: list, pages: int) -> dict:
-    """root: keys from the page's top to the element that holds the articles, [] if the markup says it; same: hashes of
-    the texts outside articles that all pages of the host share (of three pages at least)."""
-    same, has_article = [], False
+def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
+    """mark: the kind if the elements of that tag hold the articles, else null; root: keys from the page's top to the
+    element that holds them, [] for the whole page; same: _place of texts that all pages share, if the root is no narrower
+    than the body (within a narrower one all texts are kept)."""
+    slots: list[tuple[tuple, int, bool, int, str | None]] = []
 
-    def walk(nodes: list, path: tuple) -> tuple[int, list]:
-        """Characters of text that varies outside links, and for each element below: (path, characters)."""
-        nonlocal has_article
-        total, found = 0, []
+    def walk(nodes: list, path: tuple, marked: bool) -> None:
         for key, _, _, body in nodes:
             if key == "#":
                 n, chars, linked, text = body
-                if text is not None and pages >= 3 and n >= pages:
-                    same.append(text)
-                else:
-                    total += max(chars - linked, 0)
+                slots.append((path, max(chars - linked, 0), marked, n, text))
             elif key[0] == "+":
-                below, more = walk(body, path)
-                total, found = total + below, found + more
+                walk(body, path, marked)
             elif key[0] != "!":
-                if key.split(".")[0] in ("article", "main"):
-                    has_article = True
-                    continue
-                below, more = walk(body, (*path, key))
-                total += below
-                found += [((*path, key), below), *more]
-        return total, found
-
-    total, found = walk(wrapper, ())
-    if has_article or not total:
-        return {"root": [], "same": same}
-    holds = [(len(p), p) for p, chars in found if 10 * chars >= 7 * total and p[-1].split(".")[0] not in TEXT_BLOCKS]
-    return {"root": list(max(holds, default=(0, ()))[1]), "same": same}
+                walk(body, (*path, key), marked or key == kind)
+
+    walk(wrapper, (), False)
+    fixed = [not marked and text is not None and pages >= LEAST_PAGES and n >= pages for _, _, marked, n, text in slots]
+    holds: dict[tuple, int] = {}
+    total = 0
+    for (path, chars, marked, *_), f in zip(slots, fixed):
+        if not f:
+            chars *= 1 + marked
+            total += chars
+            for k in range(1, len(path) + 1):
+                holds[path[:k]] = holds.get(path[:k], 0) + chars
+    roots = [
+        (len(p), p)
+        for p, chars in holds.items()
+        if total and 10 * chars >= 7 * total and p[-1].split(".")[0] not in TEXT_BLOCKS
+    ]
+    root = max(roots, default=(0, ()))[1]
+    whole = not root or root[-1] in ("html", "body")
+    if kind and (
+        whole
+        or kind in root
+        or not any(marked for _, _, marked, *_ in slots)
+        or any(marked and path[: len(root)] == root for path, _, marked, *_ in slots)
+    ):
+        return {"mark": kind, "root": [], "same": []}
+    same = {_place(path, text) for (path, _, _, _, text), f in zip(slots, fixed) if f} if whole else ()
+    return {"mark": None, "root": list(root), "same": sorted(same)}
+
+
+def _place(path: tuple, text: str) -> str:
+    """A text (its hash) in its place."""
+    return _hash(f"{' '.join(path)} {text}")
+
+
+def kind_of(root: Element) -> str:
+    """Which of KINDS the page has; "": none."""
+    return next((kind for kind in KINDS if _find(root, lambda e: e.tag == kind)), "")
 
 
 def _find(element: Element, wanted) -> list[Element]:
@@ -313,68 +340,86 @@ def _find(element: Element, wanted) -> list[Element]:
     return found
 
 
-def extract_text(html: str | None, rule: dict | None = None) -> str:
-    """The page's blocks of main text, joined by an empty line."""
+def extract_text(html: str | None, rules: dict | None = None) -> str:
+    """The page's blocks of main text, joined by an empty line; rules: those of its host, by the kind of page. Without
+    them, or if the page lacks the rule's root, markup decides."""
     if not html:
         return ""
-    root = parse(html)
-    found, same = _find(root, lambda e: e.tag == "article"), set()
-    found = found or _find(root, lambda e: e.tag == "main")
-    if not found:
-        rule = rule or {"root": [], "same": []}
-        found, same = [root], set(rule["same"])
+    page = parse(html)
+    kind = kind_of(page)
+    rule = (rules or {}).get(kind) or {"mark": kind or None, "root": [], "same": []}
+    found: list[tuple[Element, tuple]] = []
+    if not rule["mark"]:
+        found = [(page, ())]
         for key in rule["root"]:
-            found = [p for e in found for p in e.parts if isinstance(p, Element) and p.key == key and not p.skip]
-        found = found or [root]
+            found = [(p, (*path, key)) for e, path in found for p in e.parts if isinstance(p, Element) and p.key == key and not p.skip]
+    if not found and kind:
+        found = [(e, ()) for e in _find(page, lambda e: e.tag == kind)]
+    found, same = found or [(page, ())], set(rule["same"])
     blocks, texts = [], []
 
-    def block() -> None:
+    def block(path: tuple) -> None:
         text = _squeeze(texts)
-        if text and not (same and _hash(text) in same):
+        if text and not (same and _place(path, _hash(text)) in same):
             blocks.append(text)
         texts.clear()
 
-    def walk(element: Element) -> None:
+    def walk(element: Element, path: tuple) -> None:
         for part in element.parts:
             if isinstance(part, tuple):
                 texts.append(part[0])
             elif part.tag == "span":
                 if not part.skip:
-                    walk(part)
+                    walk(part, path)
             else:
-                block()
+                block(path)
                 if not part.skip:
-                    walk(part)
-                    block()
+                    walk(part, (*path, part.key))
+                    block((*path, part.key))
 
-    for element in found:
-        walk(element)
-        block()
+    for element, path in found:
+        walk(element, path)
+        block(path)
     return "\n\n".join(blocks)
 
 
 def _page_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host of a task (or of some thousand hosts, whichever is less)."""
-    known: dict[str, list] = {}
+    """Each page's kind, digest and wrapper."""
+    for batch in batches:
+        rows = []
+        for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
+            html = html.as_py()
+            if html:
+                page = parse(html)
+                digest = hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((host.as_py(), kind_of(page), digest, json.dumps(page_wrapper(page))))
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "kind", "digest", "wrapper"]
+        )
+
+
+def _host_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for each host and kind of a task (or of some thousand of them, whichever is less)."""
+    known: dict[tuple, list] = {}
 
     def flush() -> pa.RecordBatch:
         rows = list(known.items())
         known.clear()
         return pa.RecordBatch.from_pydict(
             {
-                "host": pa.array([h for h, _ in rows], pa.string()),
+                "host": pa.array([h for (h, _), _ in rows], pa.string()),
+                "kind": pa.array([k for (_, k), _ in rows], pa.string()),
                 "pages": pa.array([n for _, (n, _) in rows], pa.int64()),
                 "wrapper": pa.array([json.dumps(w) for _, (_, w) in rows], pa.string()),
             }
         )
 
     for batch in batches:
-        for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
-            host, html = host.as_py(), html.as_py()
-            if html:
-                found = page_wrapper(parse(html))
-                old = known.get(host)
-                known[host] = [old[0] + 1, align(old[1], found)] if old else [1, found]
+        for host, kind, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "kind", "wrapper")), strict=True):
+            found, old = json.loads(wrapper), known.get((host, kind))
+            known[host, kind] = [old[0] + 1, align(old[1], found)] if old else [1, found]
         if len(known) > 4096:
             yield flush()
     if known:
@@ -390,21 +435,26 @@ def _merged(pdf: pd.DataFrame) -> tuple[int, list]:
 
 def _merge_salted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pages, wrapper = _merged(pdf)
-    return pd.DataFrame({"host": [key[0]], "pages": [pages], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [key[0]], "kind": [key[1]], "pages": [pages], "wrapper": [json.dumps(wrapper)]})
 
 
-def _merge_rule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pages, wrapper = _merged(pdf)
-    return pd.DataFrame({"host": [key[0]], "pages": [pages], "rule": [json.dumps(content_rule(wrapper, pages))]})
+def _merge_rules(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    total, rules = 0, {}
+    for kind, part in pdf.groupby("kind"):
+        pages, wrapper = _merged(part)
+        total, rules[kind] = total + pages, content_rule(wrapper, pages, kind)
+    return pd.DataFrame({"host": [key[0]], "pages": [total], "rule": [json.dumps(rules)]})
 
 
 def infer_rules(pages: DataFrame) -> DataFrame:
-    """host, pages, rule (JSON of content_rule) from all pages(url, html)."""
+    """host, pages, rule (JSON: content_rule by kind of page) from all pages(url, html)."""
     rows = pages.select(host_of(F.col("url")).alias("host"), "html")
-    kind = "host string, pages long, wrapper string"
-    parts = rows.mapInArrow(_page_wrappers, kind).withColumn("salt", F.spark_partition_id() % SALTS)
-    parts = parts.groupBy("host", "salt").applyInPandas(_merge_salted, kind)
-    return parts.groupBy("host").applyInPandas(_merge_rule, "host string, pages long, rule string")
+    kind = "host string, kind string, pages long, wrapper string"
+    parts = rows.mapInArrow(_page_wrappers, "host string, kind string, digest binary, wrapper string")
+    parts = parts.select("host", "kind", "wrapper")
+    parts = parts.mapInArrow(_host_wrappers, kind).withColumn("salt", F.spark_partition_id() % SALTS)
+    parts = parts.groupBy("host", "kind", "salt").applyInPandas(_merge_salted, kind)
+    return parts.groupBy("host").applyInPandas(_merge_rules, "host string, pages long, rule string")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
