@@ -6,7 +6,7 @@ options; two wrappers are aligned, and what does not match becomes optional, wha
 differ a slot. Alignment is applied page by page within a task, then to the tasks' wrappers of a host in two rounds, so
 every page counts, and no task gathers a host's pages: a wrapper stays as small as the pages' structure.
 
-A host has a wrapper for each kind of its pages (with <article>, with <main>, with neither), from all its pages. The
+A host has a wrapper for each kind of its pages (with <article>, with <main>, with neither), from its distinct pages. The
 wrapper says where the articles are: in the deepest element that holds most of the text that varies and is not in links.
 Text within <article> or <main> counts twice there, and if such an element lies around or in the one found, it is the
 root. Where no element but the body holds the articles, the wrapper says which texts are the same on all pages.
@@ -50,8 +50,9 @@ MARKS = set(
 NEVER_SKIPPED = {"html", "body", "main", "article"}
 #: What markup says of a page, the surest first: its kind.
 KINDS = ("article", "main")
-#: A text that this many pages share, and all of the host, is fixed.
-LEAST_PAGES = 3
+#: A text that this many distinct pages share, and all of the host, is fixed; if less than one part in VARIES of all text
+#: varies, the pages are copies and nothing is fixed.
+LEAST_PAGES, VARIES = 3, 10
 P_ENDS_BEFORE = set(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
     "pre section table ul".split()
@@ -295,6 +296,9 @@ def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
 
     walk(wrapper, (), False)
     fixed = [not marked and text is not None and pages >= LEAST_PAGES and n >= pages for _, _, marked, n, text in slots]
+    varied = sum(chars for (_, chars, *_), f in zip(slots, fixed) if not f)
+    if VARIES * varied < sum(chars for _, chars, *_ in slots):
+        return {"mark": kind or None, "root": [], "same": []}
     holds: dict[tuple, int] = {}
     total = 0
     for (path, chars, marked, *_), f in zip(slots, fixed):
@@ -447,11 +451,11 @@ def _merge_rules(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_rules(pages: DataFrame) -> DataFrame:
-    """host, pages, rule (JSON: content_rule by kind of page) from all pages(url, html)."""
+    """host, pages (distinct ones), rule (JSON: content_rule by kind of page) from all pages(url, html)."""
     rows = pages.select(host_of(F.col("url")).alias("host"), "html")
     kind = "host string, kind string, pages long, wrapper string"
     parts = rows.mapInArrow(_page_wrappers, "host string, kind string, digest binary, wrapper string")
-    parts = parts.select("host", "kind", "wrapper")
+    parts = parts.dropDuplicates(["host", "kind", "digest"]).select("host", "kind", "wrapper")
     parts = parts.mapInArrow(_host_wrappers, kind).withColumn("salt", F.spark_partition_id() % SALTS)
     parts = parts.groupBy("host", "kind", "salt").applyInPandas(_merge_salted, kind)
     return parts.groupBy("host").applyInPandas(_merge_rules, "host string, pages long, rule string")
@@ -477,8 +481,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
-    Null, empty and textless html: an empty text. Null URLs share the host "". Repeated rows give repeated rows; a page
-    counts in its host's wrapper as often as it is there. Pages are processed whole, whatever their length. Other
+    Null, empty and textless html: an empty text. Null URLs share the host "". Repeated rows give repeated rows; equal
+    pages of a host count once in its wrapper. Pages are processed whole, whatever their length. Other
     columns are not read. Empty table: empty result.
     """
     rules = materialise(infer_rules(pages).select(F.col("host").alias("r_host"), "rule"), "wrappers")

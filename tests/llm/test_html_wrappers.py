@@ -17,6 +17,18 @@ def story(k, lead="", tail=""):
     return f"<html><body><div>We use tokens</div><div class=x>{lead}<p>Story {k} begins here, long enough.</p><p>It ends, {k * 7}.</p></div>{tail}<p>Imprint</p></body></html>"
 
 
+def test_hosts_whose_pages_are_equal_keep_their_texts(spark):
+    flat = f"<html><body><div>{LONG}</div><p>Last</p></body></html>"
+    rows = [(k, f"http://copies.example.org/{k}", flat) for k in range(4)]
+    rows += [(10, "http://once.example.org/", flat)] * 3
+    rows += [(20 + k, None, flat) for k in range(3)]
+    rows += [(30 + k, f"http://near.example.org/{k}", flat.replace("<p>", f"<i>{k} views</i><p>")) for k in range(4)]
+    rows += [(40 + k, f"http://hidden.example.org/{k}", flat.replace("<p>", f"<script>{k}</script><p>")) for k in range(4)]
+    got = extract(spark, rows)
+    assert len(got) == 16 and all(LONG in t for t in got.values())
+    assert got[40] == f"{LONG}\n\nLast" and got[31] == f"{LONG}\n\n1 views\n\nLast"
+
+
 def test_a_shared_text_within_the_root_stays(spark):
     lead = "<h1>Daily column</h1>"
     got = extract(spark, [(k, f"http://col.example.org/{k}", story(k, lead)) for k in range(5)])
@@ -26,6 +38,14 @@ def test_a_shared_text_within_the_root_stays(spark):
     assert extract(spark, rows)[2] == "Day 2 of many\n\nNote"
 
 
+def test_repeated_rows_are_no_evidence(spark):
+    rows = [(1, "http://two.example.org/1", "<body><div>Both</div><p>First of two</p><h2>a</h2></body>")] * 5
+    rows += [(2, "http://two.example.org/2", "<body><div>Both</div><h2>Second of two</h2></body>")]
+    assert extract(spark, rows)[1] == "Both\n\nFirst of two\n\na"
+    pages = {r.host: r.pages for r in html.infer_rules(spark.createDataFrame(rows, PAGES)).collect()}
+    assert pages == {"two.example.org": 2}
+
+
 def test_mixed_hosts_have_a_root_for_each_kind(spark):
     rows = [(k, f"http://mix.example.org/{k}", story(k)) for k in range(5)]
     rows += [(10 + k, f"http://mix.example.org/a{k}", f"<body><div>We use tokens</div><article><h1>Same title</h1><p>Article {k}</p></article></body>") for k in range(5)]
