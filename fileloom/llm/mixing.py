@@ -2,8 +2,9 @@
 
 Each document draws an exponential key, -ln(u) / weight, with u from a hash of its id and text, so reruns agree. Within its
 source documents are taken in the order of their keys until the source's token budget is met. The order is never
-gathered in one task: keys fall into a fixed number of ranges by a monotone map, the ranges' sums are prefix-summed (one
-row per source and range), and only the rows of one range of one source meet in a window.
+gathered in one task: keys fall into a fixed number of ranges by a monotone map (the distribution of keys that the
+source's own weights give, so that ranges are even), the ranges' sums are prefix-summed (one row per source and range),
+and only the rows of one range of one source meet in a window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: Ranges of keys within a source. A source with a third of 10^10 documents has some 10^6 of them in each.
 RANGES = 2048
+#: Weights of a source are known by classes, each narrower than one part in so many of its weight.
+WEIGHT_CLASSES = 32
+#: Sources whose weights may be broadcast (some 1.2 KB each); more are joined by a shuffle, each in SALTS parts.
+SOURCE_ROWS, SALTS = 10_000, 64
 SEED = 20240131
 
 
@@ -63,6 +68,27 @@ def _source_targets(slim: DataFrame, weights: tuple[int, ...], share: float, max
     return found.select("source", "source_size", F.least(F.col("cap"), filled).alias("target"))
 
 
+def _in_ranges(slim: DataFrame, ranges: int) -> DataFrame:
+    """slim with range: keys in their order, about as many of a source in each. A key of weight w is above x with
+    probability exp(-w x), so the source's keys up to x are the mean of 1 - exp(-w x) over its weights. Any monotone map
+    gives right results; the classes are written down, so that all readers of the ranges have the same map."""
+    in_class = F.floor(F.log("weight") * WEIGHT_CLASSES)
+    classes = slim.groupBy("source", in_class.alias("class")).agg(F.count("*").alias("n"), F.avg("weight").alias("w"))
+    known = classes.groupBy(F.col("source").alias("w_source")).agg(
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("w", "n"))).alias("classes")
+    )
+    known = known.select("w_source", F.expr("transform(classes, c -> struct(c.w as w, c.n / total as share))").alias("classes"))
+    known = materialise(known, "mix-weights")
+    same = F.col("source").eqNullSafe(F.col("w_source"))
+    if known.count() <= SOURCE_ROWS:
+        rows = slim.join(F.broadcast(known), same)
+    else:
+        parts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = slim.join(parts, same & (F.pmod(F.xxhash64("key"), F.lit(SALTS)) == F.col("salt"))).drop("salt")
+    up_to = F.expr("aggregate(classes, 0.0D, (s, c) -> s + c.share * (1.0D - exp(-c.w * key)))")
+    return rows.withColumn("range", (up_to * ranges).cast("int")).drop("w_source", "classes")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -93,8 +119,7 @@ def mix_sources(
         ),
         "mix",
     ).withColumn("key", -F.log("u") / F.col("weight"))
-    # exp(-key) falls evenly over (0, 1) for weight 1; any monotone map gives right results
-    slim = slim.withColumn("range", ((1.0 - F.exp(-F.col("key"))) * ranges).cast("int"))
+    slim = _in_ranges(slim, ranges)
     targets = _source_targets(slim, weights, share, max_epochs).select(
         F.col("source").alias("t_source"), "source_size", "target"
     )
