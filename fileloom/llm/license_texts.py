@@ -44,30 +44,21 @@ ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CO
 THIS SOFTWARE.
 """
 
-#: Text: licence.
-LICENSES = {
-    "MIT License" + _MIT_BODY: "MIT",
-    _MIT_BODY: "MIT",
-    "The MIT License (MIT)" + _MIT_BODY: "MIT",
-    _BSD_HEAD + _BSD_TAIL: "BSD-2-Clause",
-    "BSD 2-Clause License" + _BSD_HEAD + _BSD_TAIL: "BSD-2-Clause",
-    _BSD_HEAD
-    + """
+_BSD_3 = """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 derived from this software without specific prior written permission.
 """
-    + _BSD_TAIL: "BSD-3-Clause",
-    """ISC License
 
+_ISC_HEAD = """
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies.
 """
-    + _ISC_TAIL: "ISC",
-    """
+
+_0BSD_HEAD = """
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 """
-    + _ISC_TAIL: "0BSD",
-    """
+
+_ZLIB_BODY = """
 This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
 for any damages arising from the use of this software.
 
@@ -81,7 +72,24 @@ required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.
-""": "Zlib",
+"""
+
+#: Licence, titles it goes by ("": none), body.
+_TEXTS = [
+    ("MIT", ["MIT License", "", "The MIT License (MIT)"], _MIT_BODY),
+    ("BSD-2-Clause", ["", "BSD 2-Clause License"], _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", ["", "BSD 3-Clause License"], _BSD_HEAD + _BSD_3 + _BSD_TAIL),
+    ("ISC", ["ISC License", ""], _ISC_HEAD + _ISC_TAIL),
+    ("0BSD", ["", "BSD Zero Clause License"], _0BSD_HEAD + _ISC_TAIL),
+    ("Zlib", ["", "zlib License"], _ZLIB_BODY),
+]
+
+#: Text: licence. The line "All rights reserved." may stand where the copyright line was.
+LICENSES = {
+    title + reserved + body: name
+    for name, titles, body in _TEXTS
+    for reserved in ("", "\nAll rights reserved.\n")
+    for title in titles
 }
 
 #: Notice: licence.
