@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a folder of our own, for a driver that
+    is its own executor alone: on a cluster there is no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-fileloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-fileloom-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -36,6 +39,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one job, by name, in one folder. Those that nothing reads any more can be removed."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def remove(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only. lower() is the same for text that is all ASCII, and much faster than translate()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

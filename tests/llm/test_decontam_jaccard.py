@@ -63,16 +63,16 @@ def test_empty_tables_and_stage(spark):
     assert decontam.find_contamination(docs.where("false"), items).collect() == []
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
 
 
-def groups(docs):
+def groups(docs, size=3, percent=90):
     """(doc_id, n_shingles, component_id) by all pairs."""
-    sets = [shingles(t) for _, t, _ in docs]
+    sets = [shingles(t, size) for _, t, _ in docs]
     parent = list(range(len(docs)))
 
     def top(i):
@@ -83,7 +83,7 @@ def groups(docs):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[max(top(i), top(j))] = min(top(i), top(j))
     least = {}
     for i, (d, _, _) in enumerate(docs):
@@ -122,10 +122,13 @@ def near_copies(seed):
     return docs + [(900, None, "c"), (901, "", "c"), (902, " \n", "c"), (None, docs[0][1], "c"), (None, "alone", "c"), docs[3], docs[3], (docs[4][0], "other text", "c")]
 
 
-@pytest.mark.parametrize("seed, heavy, long", [(1, 24, 64), (2, 3, 6)])
-def test_groups_against_all_pairs(spark, seed, heavy, long, monkeypatch):
+@pytest.mark.parametrize("seed, heavy, long, part", [(1, 24, 64, 2048), (2, 3, 6, 4)])
+def test_groups_against_all_pairs(spark, seed, heavy, long, part, monkeypatch):
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "PART", part)
+    if part < 100:
+        monkeypatch.setattr(jaccard, "PICK_ROWS", 0)
     docs = near_copies(seed)
     frame = spark.createDataFrame(docs, DOCS).repartition(3)
     got = [tuple(r) for r in jaccard.join_similar(frame).collect()]
@@ -133,9 +136,16 @@ def test_groups_against_all_pairs(spark, seed, heavy, long, monkeypatch):
     assert sorted(got, key=key) == sorted(groups(docs), key=key)
 
 
+def test_other_shingles_and_percentages(spark):
+    docs = near_copies(6)
+    got = [tuple(r) for r in jaccard.join_similar(spark.createDataFrame(docs, DOCS), jaccard.Similarity(5, 80)).collect()]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted(groups(docs, 5, 80), key=key)
+
+
 @pytest.mark.parametrize("boundary", [1, 15, 24])
 def test_any_boundary_gives_the_same(spark, boundary, monkeypatch):
-    monkeypatch.setattr(jaccard, "choose_boundary", lambda sizes, length: boundary)
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda *args: boundary)
     docs = [d for d in near_copies(4) if d[1] is None or len(d[1].split()) < 45]
     got = [tuple(r) for r in jaccard.join_similar(spark.createDataFrame(docs, DOCS)).collect()]
     key = lambda r: str(r)
