@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
-Writing: each task streams its rows into one archive in the shared folder and reports it in a manifest; a lost task is
-run again under another file name, and only files of the manifest are ever read. Reading: a record's block becomes rows
-(record, chunk_no, bytes) of at most CHUNK bytes, each with the digest of the payload up to there; no step holds more
-of an archived record than one chunk.
+Writing: a record's payload comes to the writer as rows (record, chunk_no, bytes) of at most CHUNK bytes, one after the
+other, and each task streams its rows into one archive in the shared folder and reports it in a manifest; a lost task is
+run again under another file name, and only files of the manifest are ever read. Reading: a record's block becomes such
+rows again, each with the digest of the payload up to there. Neither side's Python holds more of a record than one chunk
+and what Spark puts into one Arrow batch.
 
 Archives are opened with pyarrow.fs, which takes the shared folder's own scheme.
 """
@@ -15,6 +16,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,6 +28,9 @@ from .common import materialise, shared_dir
 CHUNK = 256 * 1024
 #: Payloads of fewer bytes are never deduplicated.
 MIN_BYTES = 0
+#: Digests of repeated payloads that may be broadcast (some 20 MB), the most frequent first; more are joined by a shuffle.
+KNOWN_ROWS = 100_000
+_RECORD, _NO_RECORD = "<urn:page:%s>", "<urn:page-without-id>"
 _VERSION = b"WARC/1.1\r\n"
 #: Fixed date: a rewritten archive is the same, byte for byte.
 _DATE = "2024-01-31T00:00:00Z"
@@ -46,12 +51,21 @@ def _open(uri: str, write: bool) -> BinaryIO:
     return system.open_output_stream(path, compression=None) if write else system.open_input_stream(path, compression=None)
 
 
-def _write_record(out: BinaryIO, page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> None:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    kind, body = ("response", len(payload)) if refers_to is None else ("revisit", 0)
+def _record_id(page_id: str | None) -> str:
+    """An id may hold anything; a null id is not an empty one."""
+    return _NO_RECORD if page_id is None else _RECORD % quote(page_id, safe="")
+
+
+def _page_id(record_id: str) -> str | None:
+    return None if record_id == _NO_RECORD else unquote(record_id[len("<urn:page:") : -1])
+
+
+def _head(page_id: str | None, url: str | None, size: int, digest: str, refers_to: str | None) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    kind, body = ("response", size) if refers_to is None else ("revisit", 0)
     head = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_record_id(page_id)}",
         f"WARC-Target-URI: {_clean(url)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -59,48 +73,85 @@ def _write_record(out: BinaryIO, page_id: str, url: str | None, payload: bytes,
         f"Content-Length: {len(http) + body}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
-    out.write(_VERSION + "".join(f"{h}\r\n" for h in head).encode() + b"\r\n" + http)
-    for at in range(0, body, CHUNK):
-        out.write(payload[at : at + CHUNK])
-    out.write(b"\r\n\r\n")
+        head += [f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Profile: {_PROFILE}"]
+    return _VERSION + "".join(f"{h}\r\n" for h in head).encode() + b"\r\n" + http
 
 
 def _sha1_32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
+def _marked(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows(page_id, number, url, payload, sha1) with refers_to, and without the payloads of those that refer.
+
+    again(r_sha1, first, n): the digests that repeat. The most frequent are broadcast, so that their payloads are not
+    shuffled; the rest, if there are more, have few rows each."""
+    total = again.count()
+    most = again if total <= KNOWN_ROWS else materialise(again.orderBy(F.desc("n"), "r_sha1").limit(KNOWN_ROWS), "most-repeated")
+    rows = rows.join(F.broadcast(most.select("r_sha1", "first")), F.col("sha1") == F.col("r_sha1"), "left")
+
+    def refer(rows: DataFrame) -> DataFrame:
+        revisits = F.col("r_sha1").isNotNull() & ~F.col("number").eqNullSafe(F.col("first"))
+        rows = rows.withColumn("refers_to", F.when(revisits, F.col("first").cast("string")))
+        return rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+
+    rows = refer(rows)
+    if total > KNOWN_ROWS:
+        rest = again.join(most.select("r_sha1"), "r_sha1", "left_anti").select(F.col("r_sha1").alias("q_sha1"), F.col("first").alias("q_first"))
+        # Rows that are known already spread by their number.
+        key = F.when(F.col("r_sha1").isNull(), F.col("sha1")).otherwise(F.concat_ws("-", "r_sha1", "page_id"))
+        rows = rows.join(rest, key == F.col("q_sha1"), "left")
+        rows = refer(rows.withColumns({"r_sha1": F.coalesce("r_sha1", "q_sha1"), "first": F.coalesce("first", "q_first")}))
+    return rows
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html); returns the manifest (uri, records, bytes).
 
     Of records whose payloads (html in UTF-8, null: empty) are equal and have min_bytes or more, that with the smallest
     page_id is the response and the others revisit it. Equal payloads are found by their digests: a count per digest
-    with partial sums, and a join of the slim (page_id, digest) rows of those that repeat.
+    with partial sums, of slim (page_id, digest) rows. Payloads stay where they are read, but for those of digests that
+    repeat less than the KNOWN_ROWS most frequent do.
     """
     rows = pages.select(
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"),
+        F.col("page_id").cast("string").alias("page_id"),
         F.col("page_id").alias("number"),
         "url",
         F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"),
-    ).withColumn("sha1", F.sha1("payload"))
-    slim = rows.where(F.length("payload") >= min_bytes).select("number", "sha1")
+    ).withColumns({"sha1": F.sha1("payload"), "size": F.length("payload").cast("long")})
+    slim = rows.where(F.col("size") >= min_bytes).select("number", "sha1")
     again = slim.groupBy("sha1").agg(F.count("*").alias("n"), F.min("number").alias("first")).where("n > 1")
-    again = materialise(again.select(F.col("sha1").alias("r_sha1"), "first"), "repeated")
-    revisits = F.col("r_sha1").isNotNull() & ~F.col("number").eqNullSafe(F.col("first"))
-    rows = rows.join(again, F.col("sha1") == F.col("r_sha1"), "left").select(
-        "page_id", "url", "payload", "sha1", F.when(revisits, F.col("first").cast("string")).alias("refers_to")
-    )
+    again = materialise(again.select(F.col("sha1").alias("r_sha1"), "first", "n"), "repeated")
+    last = F.greatest(F.ceil(F.length("payload") / CHUNK) - 1, F.lit(0))
+    rows = _marked(rows, again).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)).cast("int"))))
+    piece = F.substring(F.col("payload"), F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))
+    rows = rows.select("page_id", "url", "size", "sha1", "refers_to", "chunk_no", piece.alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, out, records = f"{folder}/{uuid.uuid4().hex}.warc", None, 0
+        stated, digest = "", None
+
+        def end() -> None:
+            if digest is not None and digest.hexdigest() != stated:
+                raise ValueError(f"a payload's digest is {digest.hexdigest()}, not {stated}")
+            out.write(b"\r\n\r\n")
+
         for batch in batches:
             out = out or _open(uri, True)
-            for page_id, url, payload, sha1, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
-                _write_record(
-                    out, page_id.as_py(), url.as_py(), payload.as_py(), _sha1_32(sha1.as_py()), refers_to.as_py()
-                )
-                records += 1
+            for row in zip(*(batch.column(i) for i in range(7)), strict=True):
+                chunk_no, data = row[5].as_py(), row[6].as_py()
+                if chunk_no == 0:
+                    if records:
+                        end()
+                    page_id, url, size, stated, refers_to = (x.as_py() for x in row[:5])
+                    out.write(_head(page_id, url, size, _sha1_32(stated), refers_to))
+                    digest = hashlib.sha1() if refers_to is None else None
+                    records += 1
+                if data:
+                    digest.update(data)
+                    out.write(data)
         if out is not None:
+            end()
             size = out.tell()
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [uri], "records": [records], "bytes": [size]})
@@ -155,10 +206,10 @@ def read_records(stream: BinaryIO) -> Iterator[tuple]:
         head, _ = _headers(stream, buffer)
         http, taken = _headers(stream, buffer)
         left = int(head["content-length"]) - taken
-        page_id = head["warc-record-id"][len("<urn:page:") : -1]
+        page_id = _page_id(head["warc-record-id"])
         kind, stated = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
         if kind == "revisit":
-            yield page_id, kind, head["warc-refers-to"][len("<urn:page:") : -1], 0, True, int(http["content-length"]), stated, b""
+            yield page_id, kind, _page_id(head["warc-refers-to"]), 0, True, int(http["content-length"]), stated, b""
         else:
             sha1, n, done = hashlib.sha1(), 0, 0
             for piece in _pieces(stream, buffer, left) if left else [b""]:
@@ -223,9 +274,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     manifest = write_archives(pages, archive_folder(pages.sparkSession), min_bytes)
     chunks = read_chunks(manifest, data=False).where("last")
     return chunks.select(
-        F.expr("nullif(page_id, '')").cast(kind).alias("page_id"),
+        F.col("page_id").cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.expr("nullif(refers_to, '')").cast(kind).alias("refers_to"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
     )
