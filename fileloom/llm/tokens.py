@@ -2,8 +2,9 @@
 and tokens. An edit re-encodes the leaves that it touches, some pre-tokens before them, and what follows only until the
 new pre-tokens end where an old leaf ended; then the sums above the changed leaves are updated.
 
-Trees are a table (token_trees) that edits are joined to by document (apply_edits); a document without edits is not read.
-The vocabulary is a file whose path is a parameter; the driver reads it once and broadcasts it (under 1 MB).
+Trees are a stored table (token_trees: the text and its leaves' sums). Edits are applied to the stored trees, those of a
+column of theirs (count_edited) or of a table that is joined by document (apply_edits). The vocabulary is a file whose
+path is a parameter; the driver reads it once and broadcasts it (under 1 MB).
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 #: Fixed value: how this vocabulary's texts are split into pre-tokens.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf when a tree is built; a leaf of over 4 times as many is split.
 LEAF = 64
-#: A pre-token's end depends on few characters after it: so many pre-tokens and characters are encoded again before an edit.
+#: A pre-token's end depends on few characters after it: so many pre-tokens and characters are encoded again before an
+#: edit, and so many characters (or all to the text's end) are looked at after the leaves that are encoded again.
 CONTEXT_PIECES, CONTEXT_CHARS = 4, 16
 CACHE = 400_000
 EDIT_TYPE = "array<struct<start:int,end:int,replacement:string>>"
@@ -119,8 +123,11 @@ class Tree:
         new = old[: start - begin] + replacement + old[end - begin :]
         encoded = 0
         while True:
-            # Two more leaves of context show where the pre-tokens end; those that end with the old leaf are right.
-            ahead = "".join(self.leaves[stop : stop + 2])
+            # The text that follows shows where the pre-tokens end; those that end with the old leaf are right.
+            ahead, seen = "", stop
+            while len(ahead) < CONTEXT_CHARS and seen < len(self.leaves):
+                ahead += self.leaves[seen]
+                seen += 1
             found = self.counter.split(new + ahead)
             at = kept = 0
             for kept, piece in enumerate(found):  # noqa: B007
@@ -132,7 +139,7 @@ class Tree:
             if at == len(new):
                 found = found[:kept]
                 break
-            new += "".join(self.leaves[stop : stop + 1])
+            new += self.leaves[stop]
             stop += 1
         counts = list(map(self.counter.__getitem__, found))
         encoded += len(found)
@@ -162,9 +169,43 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
+TREE = "text string, n_tokens long, n_pieces long, leaf_chars array<long>, leaf_tokens array<long>, leaf_pieces array<long>"
+_LEAVES = ("leaf_chars", "leaf_tokens", "leaf_pieces")
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.empty(0, np.int64)]), pa.int64()))
+
+
+def _columns(trees: list[Tree], texts: pa.Array) -> list[pa.Array]:
+    """The columns of TREE."""
+    leaves = [t.sums[t.width : t.width + len(t.leaves)] for t in trees]
+    totals = [pa.array([int(t.sums[1, j]) for t in trees], pa.int64()) for j in (1, 2)]
+    return [texts, *totals, *(_lists([x[:, j] for x in leaves]) for j in range(3))]
+
+
+def _stored(batch: pa.RecordBatch, counter: Counter) -> Iterator[Tree]:
+    """The trees of a batch with the columns of TREE, without encoding anything."""
+    lists = [batch.column(c) for c in _LEAVES]
+    ends, values = lists[0].offsets.to_numpy(), [x.values.to_numpy() for x in lists]
+    for i, text in enumerate(batch.column("text")):
+        text, leaves, at = text.as_py() or "", [], 0
+        chars, tokens, pieces = (v[ends[i] : ends[i + 1]].tolist() for v in values)
+        for n in chars:
+            leaves.append(text[at : at + n])
+            at += n
+        yield Tree(counter, leaves, list(zip(tokens, pieces, strict=True)))
+
+
+def _apply(tree: Tree, edits: list[dict] | None) -> int:
+    return sum(tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in edits or ())
+
+
 def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pieces, leaf_chars, leaf_tokens, leaf_pieces for each row of docs(doc_id, text): what a tree
-    is made of beside the text. Null text: no leaves."""
+    """doc_id and the columns of TREE for each row of docs(doc_id, text): its tree, whose leaves are the text's next
+    leaf_chars characters each. Null and empty texts: no leaves, no tokens. Repeated rows give repeated rows; other
+    columns are not read. Empty table: empty result."""
     ranks = _shared(docs.sparkSession, vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -172,116 +213,87 @@ def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         counter = Counter(ranks.value)
         for batch in batches:
             trees = [Tree.build(counter, t.as_py() or "") for t in batch.column("text")]
-            leaves = [t.sums[t.width : t.width + len(t.leaves)] for t in trees]
+            columns = _columns(trees, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([t.n_tokens for t in trees], pa.int64()),
-                    pa.array([t.n_pieces for t in trees], pa.int64()),
-                    *(pa.array([x[:, j] for x in leaves], pa.list_(pa.int64())) for j in range(3)),
-                ],
-                names=["doc_id", "n_tokens", "n_pieces", "leaf_chars", "leaf_tokens", "leaf_pieces"],
+                [batch.column("doc_id"), *columns], names=["doc_id", "text", "n_tokens", "n_pieces", *_LEAVES]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run,
-        f"doc_id {kind}, n_tokens long, n_pieces long, leaf_chars array<long>, leaf_tokens array<long>, "
-        "leaf_pieces array<long>",
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {TREE}")
 
 
-def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text, n_tokens, n_pieces, leaf_chars, leaf_tokens, leaf_pieces, encoded for the documents that have edits.
+def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, the columns of TREE and encoded for the trees (of token_trees) that have edits: the trees after them.
 
     edits(doc_id, seq, start, end, replacement) apply in the order of seq, each to the text that the ones before it have
-    made; null replacements are empty, null places 0. encoded: pre-tokens encoded again. doc_id is unique in docs and
-    trees. A document's edits meet in one row, as its text does."""
-    ranks = _shared(docs.sparkSession, vocabulary)
+    made; null replacements are empty, null places 0, places beyond the text its end. encoded: pre-tokens encoded again.
+    doc_id is unique in trees; null ids and ids without a tree have no edits. A document's edits meet in one row, as its
+    text does; documents without edits are not sent to Python. Empty tables: empty result."""
+    ranks = _shared(trees.sparkSession, vocabulary)
     grouped = edits.groupBy("doc_id").agg(
         F.expr(
-            "transform(array_sort(collect_list(struct(seq, coalesce(start, 0) as s, coalesce(end, 0) as e, "
-            "coalesce(replacement, '') as r))), x -> struct(cast(x.s as int) as start, cast(x.e as int) as end, "
-            "x.r as replacement))"
+            "transform(array_sort(collect_list(struct(seq, start as s, end as e, replacement as r))), "
+            "x -> struct(cast(x.s as int) as start, cast(x.e as int) as end, x.r as replacement))"
         ).alias("edits")
     )
-    rows = grouped.join(docs.select("doc_id", "text"), "doc_id").join(
-        trees.select("doc_id", "leaf_chars", "leaf_tokens", "leaf_pieces"), "doc_id"
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = trees.join(grouped, "doc_id").select("doc_id", "text", "n_tokens", "n_pieces", *_LEAVES, "edits")
+    kind = trees.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, leaves, at = row["text"] or "", [], 0
-                for n in row["leaf_chars"]:
-                    leaves.append(text[at : at + n])
-                    at += n
-                tree = Tree(counter, leaves, list(zip(row["leaf_tokens"], row["leaf_pieces"], strict=True)))
-                encoded = sum(tree.edit(e["start"], e["end"], e["replacement"]) for e in row["edits"])
-                sums = tree.sums[tree.width : tree.width + len(tree.leaves)].tolist()
-                out.append(
-                    {
-                        "doc_id": row["doc_id"], "text": tree.text, "n_tokens": tree.n_tokens,
-                        "n_pieces": tree.n_pieces, "leaf_chars": [x[0] for x in sums],
-                        "leaf_tokens": [x[1] for x in sums], "leaf_pieces": [x[2] for x in sums], "encoded": encoded,
-                    }
-                )
-            if out:
-                names = list(out[0])
-                schema = pa.schema(
-                    [batch.schema.field("doc_id"), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_pieces", pa.int64())]
-                    + [(n, pa.list_(pa.int64())) for n in names[4:7]]
-                    + [("encoded", pa.int64())]
-                )
-                yield pa.RecordBatch.from_pylist(out, schema)
+            found = list(_stored(batch, counter))
+            encoded = [_apply(tree, e.as_py()) for tree, e in zip(found, batch.column("edits"), strict=True)]
+            columns = _columns(found, pa.array([t.text for t in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns, pa.array(encoded, pa.int64())],
+                names=["doc_id", "text", "n_tokens", "n_pieces", *_LEAVES, "encoded"],
+            )
 
-    return rows.mapInArrow(
-        run,
-        f"doc_id {kind}, text string, n_tokens long, n_pieces long, leaf_chars array<long>, leaf_tokens array<long>, "
-        "leaf_pieces array<long>, encoded long",
-    )
+    return rows.mapInArrow(run, f"doc_id {kind}, {TREE}, encoded long")
 
 
-def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pieces, edited_chars, edited_tokens, encoded for each row of docs(doc_id, text, edits): counts
-    before and after the row's own edits, in one pass (EDIT_TYPE, in order; null: none).
+def count_edited(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_pieces, edited_chars, edited_tokens, encoded for each row of trees (of token_trees) with a
+    column edits (EDIT_TYPE, in order; null: none): counts before and after the row's own edits.
 
-    Null and empty texts have no tokens. Edits may empty a text, or overlap what earlier ones wrote; places beyond the
-    text are its end. Repeated rows give repeated rows. Other columns are not read. Empty table: empty result.
+    Texts without tokens have 0. Edits may empty a text, or overlap what earlier ones wrote; places beyond the text are
+    its end. Repeated rows and null ids give a row each. Other columns are not read. Empty table: empty result.
     """
-    ranks = _shared(docs.sparkSession, vocabulary)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranks = _shared(trees.sparkSession, vocabulary)
+    kind = trees.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value)
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
-                tree = Tree.build(counter, text.as_py() or "")
-                before = tree.n_tokens, tree.n_pieces
-                encoded = sum(
-                    tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in edits.as_py() or ()
-                )
-                rows.append((*before, tree.n_chars, tree.n_tokens, encoded))
-            columns = zip(*rows) if rows else [()] * 5
+            for tree, edits in zip(_stored(batch, counter), batch.column("edits"), strict=True):
+                encoded = _apply(tree, edits.as_py())
+                rows.append((tree.n_chars, tree.n_tokens, encoded))
+            columns = zip(*rows) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)],
+                [*(batch.column(c) for c in ("doc_id", "n_tokens", "n_pieces")), *(pa.array(c, pa.int64()) for c in columns)],
                 names=["doc_id", "n_tokens", "n_pieces", "edited_chars", "edited_tokens", "encoded"],
             )
 
-    return docs.select("doc_id", "text", F.col("edits").cast(EDIT_TYPE).alias("edits")).mapInArrow(
+    rows = trees.select("doc_id", "text", "n_tokens", "n_pieces", *_LEAVES, F.col("edits").cast(EDIT_TYPE).alias("edits"))
+    return rows.mapInArrow(
         run,
         f"doc_id {kind}, n_tokens long, n_pieces long, edited_chars long, edited_tokens long, encoded long",
     )
 
 
+def count_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """count_edited for docs(doc_id, text): stores their trees, draws edits for each row of the stored table, and applies
+    them there."""
+    trees = Tables(docs.sparkSession, "token-trees").save(token_trees(docs, vocabulary), "trees")
+    return count_edited(derived_edits(trees), vocabulary)
+
+
 def derived_edits(docs: DataFrame, edits: int = 3) -> DataFrame:
-    """docs(doc_id, text) with edits drawn from hashes of the id: each replaces up to 39 characters anywhere in the text
-    by up to 59 others of it."""
+    """docs(doc_id, text, ...) with edits drawn from hashes of the id: each replaces up to 39 characters anywhere in the
+    text by up to 59 others of it. A null text has edits with null replacements."""
     draw = lambda j: f"pmod(xxhash64(doc_id, i, {j}), %s)"
-    return docs.select("doc_id", "text").withColumn(
+    return docs.withColumn(
         "edits",
         F.expr(
             f"transform(transform(sequence(1, {int(edits)}), i -> struct({draw(1) % '(length(text) + 1)'} as s, "
