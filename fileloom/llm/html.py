@@ -3,8 +3,10 @@
 A wrapper is a sequence of block elements, each with a body that is a wrapper too, a count from lo to hi (0: optional, over
 1: repeated), groups of elements that repeat together, and text slots. A page's token stream is a wrapper without
 options; two wrappers are aligned, and what does not match becomes optional, what stands in a row repeated, texts that
-differ a slot. Alignment is applied page by page within a task, then to the tasks' wrappers of a host in two rounds, so
-every page counts, and no task gathers a host's pages: a wrapper stays as small as the pages' structure.
+differ a slot. Elements of one tag that stand for each other with different classes become one with the classes that
+they share. Alignment is applied page by page within a task, then to the tasks' wrappers of a host in two rounds, so every
+page counts, and no task gathers a host's pages. A wrapper does not grow with them: classes with digits are no part of it,
+it is no deeper than DEEPEST, and an element of more than WIDE different children knows them by their tags alone.
 
 A host has a wrapper for each kind of its pages (with <article>, with <main>, with neither), from its distinct pages. The
 wrapper says where the articles are: in the deepest element that holds most of the text that varies and is not in links.
@@ -65,6 +67,10 @@ ENDS_BEFORE = {
 #: Blocks that hold text, not articles.
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr".split())
 SALTS = 64
+#: Blocks open within each other at most; those below are not opened, but separate texts and are skipped all the same.
+DEEPEST = 100
+#: Different children of an element in a wrapper, and a longest common sequence's cells, that are told apart.
+WIDE, CELLS = 64, 4_000_000
 #: Rules of hosts that may be broadcast: their summed bytes; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -79,14 +85,15 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Element:
-    __slots__ = ("tag", "key", "skip", "parts", "parent")
+    __slots__ = ("tag", "key", "skip", "parts", "parent", "depth")
 
     def __init__(self, tag: str, key: str, skip: bool, parent: Element | None):
         self.tag, self.key, self.skip, self.parent, self.parts = tag, key, skip, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool]:
-    """The element's key (tag and class), and whether it is none of the article's."""
+    """The element's key (tag and classes without digits), and whether it is none of the article's."""
     if not attrs or attrs.isspace():
         found = {}
     else:
@@ -95,7 +102,8 @@ def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool]:
     words = set(re.split(r"[^a-z]+", names))
     key = tag
     if found.get("class") and tag not in NEVER_SKIPPED:
-        key = f"{tag}.{'.'.join(sorted(found['class'].split()))}"
+        classes = sorted({c for c in re.split(r"[\s.+!#]+", found["class"]) if c and not any(map(str.isdigit, c))})
+        key = ".".join([tag, *classes])
     if tag in NEVER_SKIPPED and not (tag == "article" and words & {"comment", "comments", "reply"}):
         return key, False
     in_article = False
@@ -120,11 +128,15 @@ def parse(html: str) -> Element:
     for spans, which may be of a kind that is skipped."""
     root = top = Element("#root", "#root", False, None)
     at, links = 0, 0
+    deep: list[Element] = []  # elements within an element that is DEEPEST, which takes their parts
 
     def text(end: int) -> None:
-        if end > at:
+        if end > at and not any(e.skip for e in deep):
             top.parts.append((html[at:end], links > 0))
 
+    def border() -> None:
+        top.parts.append(Element("div", "div", False, top))
+
     n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -148,6 +160,11 @@ def parse(html: str) -> Element:
                 links = max(0, links - 1) if closing else 1
             elif tag == "br":
                 top.parts.append((" ", links > 0))
+        elif closing and any(e.tag == tag for e in deep):
+            while deep.pop().tag != tag:
+                pass
+            if tag != "span":
+                border()
         elif tag == "span" and closing:
             top = top.parent if top.tag == "span" else top
         elif closing:
@@ -156,6 +173,14 @@ def parse(html: str) -> Element:
                 up = up.parent
             if up.parent is not None:
                 top, links = up.parent, 0
+                deep.clear()
+        elif top.depth >= DEEPEST and tag not in VOID and not m[3].endswith("/"):
+            while deep and (tag in ENDS_BEFORE.get(deep[-1].tag, ()) or (deep[-1].tag == "p" and tag in P_ENDS_BEFORE)):
+                deep.pop()
+            if tag != "span":
+                border()
+                links = 0
+            deep.append(Element(tag, *_classify(tag, m[3], top), top))
         else:
             if tag in P_ENDS_BEFORE:
                 up = top
@@ -204,7 +229,8 @@ def page_wrapper(element: Element) -> list:
             slot()
             nodes.append(["!" + part.key, 1, 1, []] if part.skip else [part.key, 1, 1, page_wrapper(part)])
     slot()
-    return _fold(nodes)
+    nodes = _fold(nodes)
+    return nodes if len(nodes) <= WIDE else _by_tags(nodes)
 
 
 def _span_text(element: Element) -> str:
@@ -246,27 +272,61 @@ def _join(a: list, b: list, beside: bool = False) -> list:
     return [a[0], lo, hi, align(a[3], b[3])]
 
 
+def _classes(key: str) -> set[str]:
+    return set(key.split(".")[1:])
+
+
+def _tag(key: str) -> str:
+    return key.split(".")[0]
+
+
+def _resolve(a: list, b: list) -> list:
+    """What stands between two matches: elements of one tag that share a class are one, with the classes that they share;
+    so are two that are left alone with each other. All else is optional."""
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            same = x[0][0] not in "+#" and _tag(x[0]) == _tag(y[0])
+            if same and (_classes(x[0]) & _classes(y[0]) or len(a) == len(b) == 1):
+                key = ".".join([_tag(x[0]), *sorted(_classes(x[0]) & _classes(y[0]))])
+                both = _join([key, *x[1:]], [key, *y[1:]])
+                return [*_resolve(a[:i], b[:j]), both, *_resolve(a[i + 1 :], b[j + 1 :])]
+    return [[x[0], 0, *x[2:]] for x in [*a, *b]]
+
+
 def align(a: list, b: list) -> list:
-    """The wrapper of both: the longest common sequence of keys is matched, the rest is optional."""
+    """The wrapper of both: the longest common sequence of keys is matched, and _resolve what is left between two matches."""
     ka, kb = [x[0] for x in a], [x[0] for x in b]
     if ka == kb:
         return [_join(x, y) for x, y in zip(a, b)]
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        return _by_tags([*a, *b])
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    out: list = []
+    only_a: list = []
+    only_b: list = []
+
+    def gap() -> None:
+        out.extend(_resolve(only_a, only_b) if len(only_a) * len(only_b) <= CELLS // 64 else [[x[0], 0, *x[2:]] for x in only_a + only_b])
+        only_a.clear()
+        only_b.clear()
+
+    i = j = 0
     while i < n or j < m:
         if i < n and j < m and ka[i] == kb[j]:
+            gap()
             out.append(_join(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([ka[i], 0, *a[i][2:]])
+            only_a.append(a[i])
             i += 1
         else:
-            out.append([kb[j], 0, *b[j][2:]])
+            only_b.append(b[j])
             j += 1
+    gap()
     # Two neighbours of one key that alternatives have made are one that repeats.
     folded: list = []
     for node in out:
@@ -275,7 +335,26 @@ def align(a: list, b: list) -> list:
             folded[-1] = [node[0], min(last[1], node[1]), last[2] + node[2], _join(last, node)[3]]
         else:
             folded.append(node)
-    return folded
+    return folded if len(folded) <= WIDE else _by_tags(folded)
+
+
+def _by_tags(nodes: list) -> list:
+    """The nodes with one for each key, where optional ones have no classes; if these are still too many, nor have the
+    others. Groups are known as their members."""
+    for least in (1, 1 << 62):
+        found: dict[str, list] = {}
+        left = list(reversed(nodes))
+        while left:
+            key, lo, hi, body = left.pop()
+            if key[0] == "+":
+                left += reversed(body if lo else [[x[0], 0, *x[2:]] for x in body])
+                continue
+            key = key if lo >= least else _tag(key)
+            old = found.get(key)
+            found[key] = [key, lo, hi, body] if old is None else [key, old[1], old[2] + hi, _join(old, [key, lo, hi, body])[3]]
+        if len(found) <= WIDE:
+            break
+    return list(found.values())
 
 
 def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
@@ -325,6 +404,11 @@ def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
     return {"mark": None, "root": list(root), "same": sorted(same)}
 
 
+def _fits(key: str, own: str) -> bool:
+    """Whether an element has the tag and the classes of a wrapper's key."""
+    return _tag(key) == _tag(own) and _classes(key) <= _classes(own)
+
+
 def _place(path: tuple, text: str) -> str:
     """A text (its hash) in its place."""
     return _hash(f"{' '.join(path)} {text}")
@@ -356,7 +440,8 @@ def extract_text(html: str | None, rules: dict | None = None) -> str:
     if not rule["mark"]:
         found = [(page, ())]
         for key in rule["root"]:
-            found = [(p, (*path, key)) for e, path in found for p in e.parts if isinstance(p, Element) and p.key == key and not p.skip]
+            below = [(p, (*path, key)) for e, path in found for p in e.parts if isinstance(p, Element) and not p.skip]
+            found = [x for x in below if x[0].key == key] or [x for x in below if _fits(key, x[0].key)]
     if not found and kind:
         found = [(e, ()) for e in _find(page, lambda e: e.tag == kind)]
     found, same = found or [(page, ())], set(rule["same"])
@@ -481,7 +566,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
-    Null, empty and textless html: an empty text. Null URLs share the host "". Repeated rows give repeated rows; equal
+    Null, empty and textless html: an empty text. Blocks below DEEPEST others give their text like any other. Null URLs share the host "". Repeated rows give repeated rows; equal
     pages of a host count once in its wrapper. Pages are processed whole, whatever their length. Other
     columns are not read. Empty table: empty result.
     """

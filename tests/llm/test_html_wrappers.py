@@ -70,3 +70,50 @@ def test_articles_are_found_whatever_their_class(spark):
     assert got[4] == f"T\n\n{LONG} 4"
     wrapper = html.align(*(html.page_wrapper(html.parse(page.format(k))) for k in range(2)))
     assert [n[0] for n in wrapper] == ["body"] and [n[0] for n in wrapper[0][3]] == ["div", "article"]
+
+
+def test_any_depth(spark):
+    nest = lambda n, inner, tag="div": f"<{tag}>" * n + inner + f"</{tag}>" * n
+    deep = nest(5000, "<p>Deep</p><nav>menu</nav><p>More</p>") + "<p>After</p>"
+    rows = [(k, f"http://deep.example.org/{k}", f"<body>{deep.replace('Deep', f'Deep {k}')}</body>") for k in range(4)]
+    rows += [(10, "http://spans.example.org/", "<article>" + nest(3000, "in", "span") + "<p>x</p></article>")]
+    rows += [(11, "http://lists.example.org/", "<article>" + "<ul><li>a" * 900 + "</article>"), (12, "http://open.example.org/", "<div>" * 4000 + "end")]
+    rows += [(13, "http://a.example.org/", "<article>" + nest(300, "<nav><p>m</p></nav><p>t</p>") + "<footer>f</footer></article><p>no</p>")]
+    got = extract(spark, rows)
+    assert got[2] == "Deep 2\n\nMore" and got[10].split() == ["in", "x"] and got[12] == "end" and got[13] == "t"
+    assert got[11].split() == ["a"] * 900
+
+
+def test_a_wrapper_does_not_grow_with_the_pages():
+    import json
+
+    page = "<body class='postid-{0}'><div class='menu'>Menu</div><div class='post post-{0} {1}'><p>Story {0} of the day</p></div><p class='{1}'>x</p></body>"
+    slugs = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(1000)]
+    wrapper, sizes = None, []
+    for k, slug in enumerate(slugs):
+        found = html.page_wrapper(html.parse(page.format(k, slug)))
+        wrapper = found if wrapper is None else html.align(wrapper, found)
+        sizes.append(len(json.dumps(wrapper)))
+    assert sizes[-1] <= max(sizes[:200]) and sizes[-1] < 2000
+    rule = html.content_rule(wrapper, 1000)
+    assert rule["root"] == ["body", "div.post"]
+    assert html.extract_text(page.format(7, "h"), {"": rule}) == "Story 7 of the day"
+    # Children that are all different are known by their tags.
+    many = html.page_wrapper(html.parse("".join(f"<div class='{s}'>{s}</div><p>{s}</p>" for s in slugs)))
+    assert len(many) <= html.WIDE
+
+
+def test_blocks_that_repeat_on_flat_pages_against_brute_force(spark):
+    """Pages without article, main or a narrower element: what all pages have in the same place goes."""
+    import random
+
+    rng = random.Random(3)
+    shared = ["Imprint", "All news", "Write to us"]
+    pages = {}
+    for k in range(12):
+        story = [f"Sentence {k} {j} " + " ".join(rng.choice(["sea", "sky", "land"]) for _ in range(12)) for j in range(4)]
+        pages[k] = [shared[0], *story, *shared[1:]]
+    tags = ["h4", "p", "p", "p", "p", "h5", "h6"]
+    rows = [(k, f"http://flat.example.org/{k}", "<body>" + "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks)) + "</body>") for k, blocks in pages.items()]
+    everywhere = set.intersection(*(set(b) for b in pages.values()))
+    assert extract(spark, rows) == {k: "\n\n".join(b for b in blocks if b not in everywhere) for k, blocks in pages.items()}
