@@ -1,6 +1,9 @@
 """License scan by canonical digest lookup: texts are normalised (case, punctuation, white space, copyright lines,
 equivalent spellings), hashed, and joined by hash to the digests of known licences; so are their single lines, to those
 of known notices. The known side is broadcast while it is within KNOWN_ROWS.
+
+Known are the texts, the digests of long texts, and the notices of license_texts; any other set is a table that is given
+(known_licenses, or licenses_in for a folder of licence texts).
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .license_texts import EQUIVALENT, LICENSES, NOTICES
+from .license_texts import DIGESTS, EQUIVALENT, LICENSES, NOTICES
 
 KNOWN_ROWS = 100_000
 #: Fixed pattern: a line that states a copyright, not a sentence about one.
@@ -44,14 +47,32 @@ def text_digest(text: str | None) -> str:
     return digest(" ".join(canonical_lines(text)))
 
 
-def known_licenses(
-    spark: SparkSession, licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None
-) -> DataFrame:
-    """digest, kind ("text" or "line"), license. Of names with one digest the first counts."""
+KNOWN = "digest string, kind string, license string"
+
+
+def known_rows(
+    licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None, digests: dict[str, str] | None = None
+) -> list[tuple[str, str, str]]:
+    """Rows of KNOWN; kind: "text" or "line". licenses, notices: text to name; digests: digest of a whole text to name."""
     rows = [(text_digest(t), "text", n) for t, n in (LICENSES if licenses is None else licenses).items()]
-    rows += [(text_digest(t), "line", n) for t, n in (NOTICES if notices is None else notices).items()]
-    known = spark.createDataFrame(rows, "digest string, kind string, license string")
-    return known.groupBy("digest", "kind").agg(F.min("license").alias("license"))
+    rows += [(d, "text", n) for d, n in (DIGESTS if digests is None else digests).items()]
+    return rows + [(text_digest(t), "line", n) for t, n in (NOTICES if notices is None else notices).items()]
+
+
+def known_licenses(spark: SparkSession, *known: dict[str, str] | None) -> DataFrame:
+    """KNOWN, of known_rows. Of names with one digest the first counts."""
+    rows = spark.createDataFrame(known_rows(*known), KNOWN)
+    return rows.groupBy("digest", "kind").agg(F.min("license").alias("license"))
+
+
+def licenses_in(spark: SparkSession, folder: str) -> DataFrame:
+    """KNOWN for a folder of whole licence texts, each in a file named after its licence (`GPL-3.0.txt`, `MIT`)."""
+    files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    name = F.regexp_replace("file", r"\.(txt|md)\z", "")
+    digests = scan_licenses(files.select(name.alias("doc_id"), F.col("value").alias("text")), spark.createDataFrame([], KNOWN))
+    return digests.select("digest", F.lit("text").alias("kind"), F.col("doc_id").alias("license")).groupBy("digest", "kind").agg(
+        F.min("license").alias("license")
+    )
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

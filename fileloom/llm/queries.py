@@ -27,7 +27,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_edited(tokens.derived_edits(table(spark, sf_dir, "documents")))
+    return tokens.count_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,9 +245,7 @@ def _verdict_sql() -> str:
 
 
 def _known_sql() -> str:
-    rows = {(licenses.text_digest(t), "text", n) for t, n in licenses.LICENSES.items()}
-    rows |= {(licenses.text_digest(t), "line", n) for t, n in licenses.NOTICES.items()}
-    return ", ".join(str(r) for r in sorted(rows))
+    return ", ".join(str(r) for r in sorted(set(licenses.known_rows())))
 
 
 ORACLE_SQL: dict[str, str] = {

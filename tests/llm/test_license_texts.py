@@ -12,3 +12,33 @@ def test_titled_and_reserved_texts(spark):
     noted = "all-rights-reserved"
     bsd = "BSD-3-Clause"
     assert got == {0: (bsd, ""), 1: (bsd, noted), 2: (bsd, noted), 3: (bsd, ""), 4: (None, noted)}
+
+
+def test_digests_of_long_texts(spark, tmp_path):
+    """Where the system has the texts: their digests, and a folder of texts as the known table."""
+    import os
+
+    import pytest
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = {n: open(f"{folder}/{f}", encoding="utf-8").read() for f, n in names.items() if os.path.isfile(f"{folder}/{f}")}
+    rows = [(n, t.upper().replace(" ", "\n ")) for n, t in texts.items() if "opyright" not in t] + list(texts.items())
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert all(r.license == r.doc_id for r in got.where("doc_id in ('Apache-2.0', 'MPL-2.0', 'GPL-3.0', 'LGPL-2.1')").collect())
+    for n, t in texts.items():
+        assert license_texts.DIGESTS[licenses.text_digest(t)] == n
+        (tmp_path / f"own-{n}.txt").write_text(t)
+    known = licenses.licenses_in(spark, f"file://{tmp_path}")
+    got = licenses.scan_licenses(spark.createDataFrame([(1, next(iter(texts.values()))), (2, "x")], "doc_id long, text string"), known)
+    assert {r.doc_id: r.license for r in got.collect()} == {1: f"own-{next(iter(texts))}", 2: None}
+
+
+def test_known_tables_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "KNOWN_ROWS", 0)
+    mit = next(t for t, n in license_texts.LICENSES.items() if n == "MIT")
+    rows = [(1, mit), (2, "text\nAll rights reserved."), (3, None)]
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", ""), 2: (None, "all-rights-reserved"), 3: (None, "")}
