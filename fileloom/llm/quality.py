@@ -16,10 +16,11 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The bound of the labelled sample: whole texts of at most so many rows of each class, those with the smallest hashes,
-#: and of so many bytes each.
-SAMPLE, SAMPLE_TEXT_BYTES = 2000, 64 * 1024
+#: of so many bytes each, and of so many altogether.
+SAMPLE, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 2000, 64 * 1024, 32 * 1024 * 1024
 #: Size of a dictionary, and of the segments and matches that it is chosen by.
 DICT_BYTES, SEGMENT, MATCH = 96 * 1024, 200, 8
 LEVEL = 3
@@ -99,8 +100,11 @@ def _train_dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[:DICT_BYTES] or b" " * 8
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """From labelled rows outside the held-out fold alone. labels(doc_id, quality); other values of quality than 0 and 1
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_bytes: int = SAMPLE_TEXT_BYTES, all_bytes: int = SAMPLE_BYTES
+) -> QualityModel:
+    """From labelled rows outside the held-out fold alone. sample: texts of each class at most; text_bytes: longer texts
+    are not learnt from; all_bytes: of both classes, in the order of their hashes. labels(doc_id, quality); other values of quality than 0 and 1
     are left out. Calibrated for the share of good rows among all labels of the fold. With no labels of a class every
     text scores that share (0.5 if there are none)."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -113,9 +117,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     # At most 2 * sample rows of two numbers: bounded by the parameter.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # However often a document is there, it counts once.
-    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = rows.collect()
-    rows = sorted((r.doc_id, r.quality, r.text) for r in rows)
+    rows = rows.where(F.octet_length("text") <= text_bytes).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    # A window over 2 * sample rows at most.
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(so_far)).where(F.col("so_far") <= all_bytes)
+    found = rows.select("doc_id", "quality", "text").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in found.columns)))
     texts = {q: [t.encode("utf-8", "surrogatepass") for _, k, t in rows if k == q] for q in (0, 1)}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     prior = float(np.log(share / (1 - share)))
@@ -167,8 +174,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, with all their columns. train: the documents of the labels, if
-    they are not docs."""
+    """The rows of docs that score THRESHOLD or more, with all their columns, whatever their names. train: the documents
+    of the labels, if they are not docs. Null and empty texts have the score of none; repeated rows stay or go together;
+    without labels everything scores 0.5 and stays; an empty table stays empty."""
     model = fit_quality(docs if train is None else train, labels, sample)
     rows = docs.select(F.struct("*").alias("_row"), _score(docs.sparkSession, model, F.col("text")).alias("_score"))
     return rows.where(F.col("_score") >= THRESHOLD).select("_row.*")

@@ -128,7 +128,8 @@ def measure_rules(docs: DataFrame, thresholds=None) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame, thresholds=None) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns and in one pass over the text.
+    """The rows of docs that the rules keep, with all their columns, whatever their names, in one pass over the text.
+    Null, empty and wordless texts go; repeated rows stay or go together; an empty table stays empty.
 
     The row's number is part of the condition because a condition on deterministic columns alone would be moved below
     the projections of the counts, and each count written out in it again and again."""
