@@ -27,6 +27,7 @@ WEIGHT_CLASSES = 32
 #: Sources whose weights may be broadcast (some 1.2 KB each); more are joined by a shuffle, each in SALTS parts.
 SOURCE_ROWS, SALTS = 10_000, 64
 SEED = 20240131
+LEAST_WEIGHT = 1e-3
 
 
 def quality_weight(text: Column) -> Column:
@@ -96,13 +97,16 @@ def mix_sources(
     max_epochs: float = MAX_EPOCHS,
     ranges: int = RANGES,
     seed: int = SEED,
+    weight: Column | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, weight for each row of docs(doc_id, text, source).
 
     size: words of the whole text. target: the source's budget in words, at most max_epochs times its size. taken: all
     complete epochs of the source first; the fraction that is left goes to documents in the order of their keys, and
     the document that the budget ends in gives only its first words up to it, so a source takes its target to the
-    nearest word and no document exceeds max_epochs (rounded up) times its size.
+    nearest word and no document exceeds max_epochs (rounded up) times its size. weight: the document's quality, above 0
+    (a classifier's score, for one), from a column of docs; null and what is not above LEAST_WEIGHT count as that. Without
+    it, quality_weight of the text.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Rows with equal id and text tie in their key
     and are ordered by size; whichever of two equal rows comes first, the rows of the result are the same. Null ids
@@ -114,7 +118,7 @@ def mix_sources(
             "doc_id",
             "source",
             F.coalesce(F.expr(rf"size(regexp_extract_all(text, r'{WORD}', 0))"), F.lit(0)).cast("long").alias("size"),
-            quality_weight(text).alias("weight"),
+            (quality_weight(text) if weight is None else F.greatest(F.lit(LEAST_WEIGHT), weight.cast("double"))).alias("weight"),
             _uniform(seed, F.col("doc_id"), text).alias("u"),
         ),
         "mix",
