@@ -126,7 +126,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
             {"f_suffix_rate": overall, "f_suffix_count": 0.0}
         )
 
-    sample = labelled.orderBy(F.xxhash64("url"), "url", "page_id").limit(train_rows)
+    # However often a URL is there, it counts once.
+    sample = labelled.select("url", "host", "path", "label").distinct().orderBy(F.xxhash64("url"), "url").limit(train_rows)
+    sample = _lexical(sample)
     sample = materialise(with_suffix(sample).select("label", *FEATURES), "labelled-urls")
     classes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     out = ["page_id", "host", "path", F.col("_found.rule").alias("rule")]
