@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from fileloom.llm import html, license_texts, licenses, quality, tokens, urls, warc
@@ -82,6 +84,25 @@ def test_held_out_labels_are_not_learnt_from(spark):
     assert quality.fit_quality(table, labels) == quality.fit_quality(table, turned)
 
 
+def test_scores_are_of_the_compressed_sizes(spark):
+    """The operator's scores against plain calls of the compressor, with the model that it fits."""
+    rows = corpus(200)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    table = docs(spark, [(i, t) for i, t, _ in rows] + [(900, "x" * 20_000), (901, None)])
+    model = quality.fit_quality(table, labels)
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality.score_quality(table, labels).collect():
+        data = ({**{i: t for i, t, _ in rows}, 900: "x" * 20_000}.get(r.doc_id) or "").encode()
+        good, bad = (sum(len(c.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)) for c in packers)
+        x = [1.0, 0.0, 0.0]
+        if data:
+            known = len(data) / (len(data) + 100)
+            x = [1.0, known * (bad - good) / (bad + good), known * max(0, 1 - 4 * min(good, bad) / len(data))]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), abs=1e-9)
+    bounded = quality.fit_quality(table, labels, all_bytes=1)
+    assert bounded.weights[1:] == (0.0, 0.0)
+
+
 # Token counts
 
 
@@ -108,19 +129,58 @@ def test_edits_against_recounts(counter):
     assert tree.edit(100_000, 100_004, "other") < 600
 
 
+def test_a_border_is_judged_by_what_follows_it(counter):
+    """After a cut that empties many leaves, the text that follows is several leaves away."""
+    text = "w" * 3 + " w" * (64 * 18 - 1) + " w!'" + "s" + " w" * 700
+    tree = tokens.Tree.build(counter, text)
+    at = text.index("!'")
+    start = 200
+    for cut in ((start, at), (start, start + 1)):
+        tree.edit(cut[0], cut[1], "" if cut[1] == at else "a")
+        text = text[: cut[0]] + ("" if cut[1] == at else "a") + text[cut[1] :]
+        assert (tree.text, tree.n_tokens, tree.n_pieces) == (text, len(counter.encoding.encode_ordinary(text)), len(counter.split(text)))
+
+
+@pytest.mark.parametrize("leaf", [2, 4, 64])
+def test_many_edits_with_leaves_of_any_size(counter, leaf, monkeypatch):
+    monkeypatch.setattr(tokens, "LEAF", leaf)
+    rng = random.Random(leaf)
+    for alphabet in ("a's! ", "a  \n'l1", "'rev "):
+        for _ in range(120):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.choice([5, 40, 400, 30 * leaf])))
+            tree = tokens.Tree.build(counter, text)
+            for _ in range(12):
+                start = rng.randrange(len(text) + 1)
+                end = start + rng.choice([0, 1, 2, 9, 40, len(text) // 2])
+                new = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 0, 1, 2, 30])))
+                tree.edit(start, end, new)
+                text = text[:start] + new + text[min(end, len(text)) :]
+                want = text, len(counter.encoding.encode_ordinary(text)), len(counter.split(text))
+                assert (tree.text, tree.n_tokens, tree.n_pieces) == want
+
+
 def test_counts_and_stored_trees_agree(spark, counter):
-    texts = [(k, " ".join(f"Word{j % 7},  don't" for j in range(k * 40))) for k in range(8)] + [(100, None), (101, "")]
+    texts = [(k, " ".join(f"Word{j % 7},  don't" for j in range(k * 40))) for k in range(8)] + [(100, None), (101, ""), (None, "no id"), (102, "twice"), (102, "twice")]
     table = docs(spark, texts)
-    got = {r.doc_id: r for r in tokens.count_edited(tokens.derived_edits(table)).collect()}
+    rows = tokens.count_documents(table).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(i) for i, _ in texts)
+    table = table.where("doc_id is not null and doc_id <> 102")
     edits = tokens.derived_edits(table).select("doc_id", F.posexplode("edits").alias("seq", "e")).select("doc_id", "seq", "e.*")
-    stored = tokens.apply_edits(table, tokens.token_trees(table), edits)
+    stored = tokens.apply_edits(tokens.token_trees(table), edits)
     for r in stored.collect():
         assert r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) == got[r.doc_id].edited_tokens
         assert sum(r.leaf_chars) == len(r.text) == got[r.doc_id].edited_chars and sum(r.leaf_tokens) == r.n_tokens
     for i, t in texts:
         assert got[i].n_tokens == len(counter.encoding.encode_ordinary(t or ""))
     assert (got[100].n_tokens, got[100].edited_tokens) == (0, 0)
-    assert tokens.count_edited(tokens.derived_edits(docs(spark, []))).collect() == []
+    # A stored tree takes further edits.
+    again = stored.drop("encoded")
+    more = spark.createDataFrame([(3, 1, 10, 25, "new 'll"), (3, 0, 0, 0, None), (None, 0, 0, 1, "x"), (77, 0, 0, 1, "x")], "doc_id long, seq int, start int, end int, replacement string")
+    (r,) = tokens.apply_edits(again, more).collect()
+    before = next(x.text for x in stored.collect() if x.doc_id == 3)
+    assert r.text == before[:10] + "new 'll" + before[25:] and r.n_tokens == len(counter.encoding.encode_ordinary(r.text))
+    assert tokens.count_documents(docs(spark, [])).collect() == []
 
 
 # Pages
@@ -208,6 +268,39 @@ def test_urls(spark):
     assert urls.judge_urls(table.where("false")).collect() == []
 
 
+def judged_plainly(url, rules):
+    """host, path and the fitting rule, by hand."""
+    head, found, rest = (url or "").partition("://")
+    if not found:
+        host = path = ""
+    else:
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if c.isascii() else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fitting = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fitting, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+def test_hosts_paths_and_rules_against_brute_force(spark):
+    rng = random.Random(9)
+    parts = ["http://", "://", "/", "?", "#", "org", "example.org", ".", "com", "a", "A.", "en/1", "es/", "/fr/", "/de/", "É", "\n", ":", ""]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for k in range(600)] + [(600, None)]
+    rows += [(700 + k, f"https://{h}{p}") for k, (h, p) in enumerate((h, p) for h in ("x.org", "www.example.org", "b.com") for p in ("/es/1", "/en/12", "/fr/", "/de/x", "", "?/es/"))]
+    for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        host, path, rule, verdict = judged_plainly(dict(rows)[r.page_id], urls.RULES)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+def test_repeated_urls_do_not_fill_the_sample(spark):
+    rows = [(k, "http://bad.example.net/same") for k in range(300)] + [(300 + k, f"http://{h}.example.net/{k}") for k, h in enumerate(["good", "bad"] * 10)]
+    rows += [(900, "http://free.example.info/1")]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_urls(table, [("block", "bad.example.net", "/"), ("allow", "good.example.net", "/")], train_rows=30).collect()
+    assert len(got) == len(rows) and next(r.score for r in got if r.page_id == 900) is not None
+
+
 def test_trees_learn_what_rules_label(spark):
     rng = random.Random(1)
     rows = []
@@ -224,8 +317,9 @@ def test_trees_learn_what_rules_label(spark):
 # WARC
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_warc_round_trip(spark, least):
+@pytest.mark.parametrize("least, known", [(0, 100_000), (5, 1), (0, 0)])
+def test_warc_round_trip(spark, least, known, monkeypatch):
+    monkeypatch.setattr(warc, "KNOWN_ROWS", known)
     big = "é<p>" * 400_000
     rows = [(1, "http://a/", "x\r\nWARC/1.1\r\n\r\n"), (2, "u\r\nX: y", None), (3, None, ""), (4, "u", big), (5, "u", "same text"), (9, "u", "same text"), (7, "u", "same text"), (8, "u", "ab"), (6, "u", "ab"), (4, "u", big), (None, "u", "ab")]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
@@ -253,3 +347,10 @@ def test_warc_round_trip(spark, least):
         seen += len(data)
         assert (size, digest) == (seen, base64.b32encode(sha1.digest()).decode())
     assert warc.archive_pages(table.where("false")).collect() == []
+
+
+def test_warc_ids_may_hold_anything(spark):
+    ids = ["a\r\nX: y", "", None, "<p>", "é %41", "plain"]
+    rows = [(i, "u", f"page {k}") for k, i in enumerate(ids)] + [("z\n", "u", "page 0")]
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(got) == {*ids, "z\n"} and got["z\n"] == (6, "revisit", ids[0]) and got[""] == (6, "response", None)
