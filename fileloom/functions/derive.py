@@ -78,7 +78,8 @@ def wants_preview(ext: Column, snippet: Column) -> Column:
 
 def filetime(ticks: Column) -> Column:
     """100 ns ticks since 1601 to a timestamp; what lies before 1970 is 1970."""
-    return F.timestamp_micros(F.greatest(F.expr("0L"), F.floor((ticks - 116444736000000000) / 10)).cast("long"))
+    micros = F.call_function("div", ticks - F.expr("116444736000000000L"), F.expr("10L"))  # whole numbers throughout
+    return F.timestamp_micros(F.greatest(F.expr("0L"), micros))
 
 
 def with_derived(catalog: DataFrame) -> DataFrame:

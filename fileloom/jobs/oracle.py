@@ -254,6 +254,12 @@ _MARKUP = (
     " '&(a|am|amp[^;&][^&;]*|[^a&;][^&;]*|a[^m&;][^&;]*|am[^p&;][^&;]*)?;', '', 'g'), '&amp;', '&'), '[\\s\\p{Z}]+', ' ', 'g'))"
 )
 
+
+def _squeezed(sql: str) -> str:
+    """White space of any kind as one space, none at the ends."""
+    return rf"trim(regexp_replace({sql}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'))"
+
+
 ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
     "search_flagship": _with_snippet(
         _hits("NOT is_dir AND ext = 'pdf' AND size > 1024", [_plain("the")], ["the"], limit=20, columns=_ALL), ["the"]
@@ -265,8 +271,8 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
         depth::INT AS depth, path_norm, parent_norm, eff AS eff_attributes FROM cat""",
     "D10_wants_preview": _CATALOG + """SELECT id, coalesce(ext IN ('pdf','docx','xlsx','pptx','png','jpg','jpeg','gif','bmp'), false)
         AS wants_preview FROM cat""",
-    "D11_filetime": """SELECT o_orderkey, TIMESTAMP '1970-01-01' + to_microseconds(greatest(0,
-        (o_orderkey * 10000000000 + 116444000000000000 - 116444736000000000) // 10)) AS modified FROM orders""",
+    "D11_filetime": """SELECT o_orderkey, TIMESTAMP '1970-01-01' + to_microseconds(CASE WHEN o_orderkey % 7 = 0 THEN 0
+        ELSE (17000000000000000 + o_orderkey * 1000003) // 10 END) AS modified FROM orders""",
     "S2_skip_directories": """WITH p AS (SELECT doc_id AS id, doc_id % 6 AS k, '/data/target/' ||
         ['.git','node_modules','Node_Modules','target','src','.GIT'][(doc_id % 6)::INT + 1] ||
         CASE WHEN doc_id % 5 = 0 THEN '' ELSE '/' || source END || CASE WHEN doc_id % 10 = 0 THEN '' ELSE '/f.txt' END AS path
@@ -277,6 +283,27 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
     "S4b_X1_markup_text": f"SELECT page_id, {_MARKUP} AS body FROM pages",
     "S4c_rtf_text": r"""SELECT doc_id, trim(regexp_replace(regexp_replace('{\rtf1\ansi a\\b ' || replace(text, chr(10), '\par ') || '}',
         '\\(?:(\\)|[A-Za-z]* ?)|[{}]', '\1', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS body FROM documents""",
+    "S4b_markup_from_pieces": rf"""SELECT doc_id, {_squeezed("lang || ' ' || source || ' ' || text || '  \"'' end'")} AS body FROM documents""",
+    "S4c_rtf_from_pieces": rf"""SELECT doc_id, {_squeezed(r"'1' || lang || ' back\slash' || replace(translate(text, '{}\()', ''), chr(10), '')")} AS body FROM documents""",
+    "S4d_pdf": rf"""WITH p AS (SELECT doc_id::VARCHAR AS path, regexp_replace(translate(text, '{{}}\()', ''), '[^ -~]', ' ', 'g') AS t FROM documents)
+        SELECT path, {_squeezed(r"t || ' a)b %PDF-1.4 BT (' || t || ') Tj (a\)b) Tj ET'")} AS body FROM p""",
+    "S4e_office": f"""SELECT doc_id::VARCHAR AS path, ' ' || {_squeezed("text")} AS body FROM documents WHERE text IS NOT NULL""",
+    "S1_catalog_of_entries": _CATALOG + r""", n AS (
+        SELECT row_number() OVER (ORDER BY path) AS id, name, path, is_dir, regexp_extract(path, '^(.*)\\[^\\]+$', 1) AS up FROM plain)
+        SELECT n.id, p.id AS parent_id, n.name, n.path, n.is_dir, CASE WHEN n.is_dir THEN 16 ELSE 0 END::INT AS attributes
+        FROM n LEFT JOIN n p ON n.up = p.path""",
+    "S7_L3_watched_directories": r"""WITH c AS (
+        SELECT *, 'n' || c_nationkey || '\c' || c_custkey AS own, c_custkey % 2 = 0 AS asks_old, c_nationkey % 6 = 0 AS is_moved,
+               c_custkey % 5 AS k FROM customer
+      ), f AS (
+        SELECT 1000 + c_custkey AS seq, ['delete','rename','create','modify','rename'][(k + 1)::INT] AS kind,
+               CASE WHEN k = 2 THEN 999999 + row_number() OVER (PARTITION BY k ORDER BY c_custkey) ELSE 1000 + c_custkey END AS id,
+               CASE WHEN asks_old THEN 'C:\w\' ELSE 'C:\moved\' END || own || CASE WHEN k = 2 THEN '' ELSE '-new' END AS path, k
+        FROM c WHERE k = 2 OR k <> 3 AND asks_old <> is_moved
+      )
+      SELECT 100 + n_nationkey AS seq, 'rename' AS kind, n_nationkey + 1 AS id, 'n' || n_nationkey AS name, 'C:\moved\n' || n_nationkey AS path
+      FROM nation WHERE n_nationkey % 6 = 0
+      UNION ALL SELECT seq, kind, id, CASE WHEN k > 0 THEN string_split(path, '\')[-1] END, CASE WHEN k > 0 THEN path END FROM f""",
     "S4a_plain_decode": _CATALOG + "SELECT path, body FROM bodies JOIN files USING (path) WHERE id % 3 <> 2",
     "S5_J5_volume_nodes": r"""WITH n AS (
         SELECT r_regionkey + 100 AS id, 5 AS parent_id, 'C:\' || r_name AS path, true AS is_dir FROM region
@@ -307,6 +334,20 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
       SELECT b.user_id AS id, CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS name,
              'C:\u\' || CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS path, b.ts AS modified
       FROM base b LEFT JOIN moved m USING (user_id)""",
+    "L4_L5_store": r"""WITH e AS (
+        SELECT *, CASE event_type WHEN 'click' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
+               user_id || '-' || event_id || '.txt' AS name
+        FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error')
+      ), base AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM e WHERE kind <> 'rename')
+        WHERE n = 1 AND kind = 'create'
+      ), moved AS (
+        SELECT user_id, max(event_id) AS event_id, max_by(name, event_id) AS name FROM e WHERE kind = 'rename' GROUP BY user_id
+      ), half AS (SELECT (SELECT max(event_id) FROM e) // 2 AS middle)
+      SELECT b.user_id AS id, CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS name,
+             'C:\u\' || CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS path, b.ts AS modified,
+             CASE WHEN m.event_id > b.event_id AND (m.event_id <= middle) = (b.event_id <= middle) THEN NULL ELSE length(d.text) END::INT AS chars
+      FROM base b CROSS JOIN half LEFT JOIN moved m USING (user_id) LEFT JOIN documents d ON d.doc_id = b.user_id""",
     "L2_J4_directory_renames": _CATALOG + r""", shifted AS (
         SELECT id, is_dir, name, string_split(path, '\')[3] AS l, array_to_string(string_split(path, '\')[4:], '\') AS rest FROM plain
       )
@@ -329,8 +370,15 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
     "A4_body_upsert": _CATALOG + _CHANGED + "SELECT path, length(body)::INT AS chars FROM now_bodies",
     "A4_postings_upsert": _CATALOG + _CHANGED
     + f"SELECT word, count(*) AS paths FROM (SELECT unnest({_WORDS}) AS word FROM now_bodies) GROUP BY word",
-    "O5_job_limits": f"""WITH h AS ({_hits("contains(path_norm, 'docs')", limit=60, columns="id, path, is_dir")})
+    "O5_job_limits": f"""WITH h AS ({_hits("name_len <= 7", order="name, id", limit=40, columns="id, path, is_dir")})
         SELECT id, path, rank FROM h WHERE is_dir ORDER BY rank LIMIT 5""",
+    "O5_job_limits_files": f"""WITH h AS ({_hits("name_len <= 8", limit=60, columns="id, path, is_dir")})
+        SELECT id, path, rank FROM h WHERE NOT is_dir ORDER BY rank LIMIT 7""",
+    "K1_json": f"""WITH h AS ({_with_snippet(_hits("NOT is_dir AND ext = 'md'", [_plain("that")], ["that"], limit=10, columns=_ALL.replace("score", "raw AS score")), ["that"])})
+        SELECT '{{"path":' || to_json(path) || ',"name":' || to_json(name) || ',"score":' || score_text || ',"name_match":' || name_match
+            || ',"path_match":' || path_match || ',"content_match":' || content_match || ',"snippet":' || to_json(snippet)
+            || ',"highlights":[' || array_to_string(list_transform(string_split(highlights, ','), lambda x: '[' || replace(x, '-', ',') || ']'), ',')
+            || ']}}' AS value FROM (SELECT *, score::VARCHAR AS score_text FROM h)""",
     "K2_paths": _hits("NOT is_dir AND ext = 'csv'", [_plain("thing")], ["thing"], columns="path"),
     "K3_count": f"""SELECT count(*) AS hits FROM ({_hits("NOT is_dir AND ext = 'log'", [_plain("the")], ["the"], limit=100)})""",
 }

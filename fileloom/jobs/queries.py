@@ -16,7 +16,8 @@ from fileloom.operators import events, hierarchy, match, postings, rank
 from fileloom.operators.search import search
 from fileloom.sources import adapters, extract, feeds, listing
 from fileloom.sources.adapters import NOW
-from fileloom.sources.tables import table
+from fileloom.sources.tables import new_folder, table
+from fileloom.streaming import catalog_stream
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -87,7 +88,9 @@ def _preview(spark, folder):
 
 @_register("D11_filetime")
 def _filetime(spark, folder):
-    rows = table(spark, folder, "orders").select("o_orderkey", (F.col("o_orderkey") * 10_000_000_000 + 116_444_000_000_000_000).alias("t"))
+    # Today's file times to the tick, in which doubles are no longer exact, and some before 1970.
+    ticks = F.expr("if(o_orderkey % 7 = 0, o_orderkey, 133444736000000000L + o_orderkey * 1000003L)")
+    rows = table(spark, folder, "orders").select("o_orderkey", ticks.alias("t"))
     return rows.select("o_orderkey", derive.filetime(F.col("t")).alias("modified"))
 
 
@@ -120,6 +123,52 @@ def _rtf(spark, folder):
     return docs.select("doc_id", extract.rtf_text(rtf).alias("body"))
 
 
+def _clean(c):
+    """Text without what has a meaning in the file's format."""
+    return F.translate(c, "{}\\()", "")
+
+
+@_register("S4b_markup_from_pieces")
+def _made_markup(spark, folder):
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html><head><title>'), "lang", F.lit('</title></head><body class="a b"><h1>'), "source",
+        F.lit("</h1><p id='x'>"), escaped, F.lit("</p>&nbsp;&quot;&apos;&unknown;<br/>end</body></html>"),
+    )
+    rows = table(spark, folder, "documents").select("doc_id", html.alias("html"))
+    return text.with_markup_text(rows, "html", "body").select("doc_id", "body")
+
+
+@_register("S4c_rtf_from_pieces")
+def _made_rtf(spark, folder):
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\b "), "lang", F.lit("} back\\\\slash\\tab "), F.replace(_clean("text"), F.lit("\n"), F.lit("\\par ")), F.lit("}"))
+    return table(spark, folder, "documents").select("doc_id", extract.rtf_text(rtf).alias("body"))
+
+
+@_register("S4d_pdf")
+def _pdf(spark, folder):
+    plain = F.regexp_replace(_clean("text"), "[^ -~]", " ")
+    content = F.encode(F.concat(F.lit("%PDF-1.4 BT ("), plain, F.lit(") Tj (a\\)b) Tj ET")), "utf-8")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("pdf").alias("ext"), content.alias("content"))
+    return extract.extract_bodies(rows)
+
+
+@_register("S4e_office")
+def _office(spark, folder):
+    docs = table(spark, folder, "documents").where("doc_id is not null and text is not null")
+    ext = F.expr("element_at(array('docx', 'xlsx', 'pptx'), cast(doc_id % 3 as int) + 1)")
+    rows = docs.select(F.col("doc_id").cast("string").alias("path"), ext.alias("ext"), "text")
+    return extract.extract_bodies(adapters.office_files(rows))
+
+
+@_register("S1_catalog_of_entries")
+def _entries(spark, folder):
+    rows = adapters.catalog(spark, folder)
+    parent = F.regexp_extract("path", r"(?s)\A(.*)\\[^\\]+\z", 1)
+    entries = rows.select(parent.alias("parent_path"), "path", "name", "size", "modified", "is_dir")
+    return listing.catalog_of_entries(entries, 1).select("id", "parent_id", "name", "path", "is_dir", "attributes")
+
+
 @_register("S4a_plain_decode")
 def _decode(spark, folder):
     content = F.expr("if(doc_id % 3 = 0, concat(X'EFBBBF', encode(text, 'utf-8')), if(doc_id % 3 = 1, encode(text, 'utf-8'), concat(encode(text, 'utf-8'), X'FF')))")
@@ -174,6 +223,44 @@ def _watcher_feed(spark, folder):
     return feeds.watcher_changes(_watcher(spark, folder), none, 1).select("seq", "kind", "id", "name", "path")
 
 
+def _watched_tree(spark, folder):
+    """Nations are folders with their customers as files; regions' folders move, and after that files are asked for under
+    their former and their new places."""
+    nation = table(spark, folder, "nation").selectExpr("n_nationkey + 1L as id", "concat(r'C:\\w\\n', n_nationkey) as path", "true as is_dir", "0L as size")
+    customer = table(spark, folder, "customer").selectExpr("c_custkey + 1000L", "concat(r'C:\\w\\n', c_nationkey, r'\\c', c_custkey)", "false", "c_custkey")
+    none = "cast(null as bigint) as parent_id"
+    rows = nation.union(customer).selectExpr("id", none, r"substring_index(path, r'\\', -1) as name", "path", "size", "timestamp'2024-01-01 00:00:00' as modified", "is_dir", "0 as attributes")
+    moved = "n_nationkey % 6 = 0"
+    renames = table(spark, folder, "nation").where(moved).selectExpr(
+        "100L + n_nationkey as seq", "'rename' as kind", "concat(r'C:\\w\\n', n_nationkey) as path", "concat(r'C:\\moved\\n', n_nationkey) as new_path", "true as is_dir")
+    own = "concat(if(c_custkey % 2 = 0, r'C:\\w\\n', r'C:\\moved\\n'), c_nationkey, r'\\c', c_custkey)"
+    files = table(spark, folder, "customer").selectExpr(
+        "1000L + c_custkey", "element_at(array('delete', 'rename', 'create', 'modify', 'rename'), cast(c_custkey % 5 as int) + 1)", own, f"concat({own}, '-new')", "false")
+    log = renames.union(files).selectExpr("*", "seq as size", "timestamp'2024-01-02 00:00:00' as modified")
+    return rows.select(*adapters.CATALOG.names), log
+
+
+@_register("S7_L3_watched_directories")
+def _watched(spark, folder):
+    catalog, log = _watched_tree(spark, folder)
+    return feeds.watcher_changes(log, catalog, 1_000_000).select("seq", "kind", "id", "name", "path")
+
+
+@_register("L4_L5_store")
+def _store(spark, folder):
+    """The change log in two batches into a store, whose created files get the bodies of documents."""
+    docs = table(spark, folder, "documents").selectExpr("doc_id as d_id", "text")
+    extract_bodies = lambda files: files.join(docs, files.id == docs.d_id).selectExpr("path", "text as body")
+    store = catalog_stream.CatalogStore(spark, new_folder(spark, "store"))
+    log = adapters.change_log(spark, folder)
+    store.write(0, -1, spark.createDataFrame([], adapters.CATALOG))
+    middle = log.agg(F.max("seq")).first()[0] // 2
+    for k, part in enumerate((log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle))):
+        catalog_stream.apply_batch(store, part, k, extract_bodies, follow_renames=True)
+    rows = store.catalog().join(store.bodies().withColumnRenamed("path", "b_path"), F.col("path") == F.col("b_path"), "left")
+    return rows.select("id", "name", "path", "modified", F.length("body").alias("chars"))
+
+
 @_register("L1_J6_fold_changes")
 def _fold(spark, folder):
     none = spark.createDataFrame([], adapters.CATALOG)
@@ -272,7 +359,12 @@ def _upsert_postings(spark, folder):
 
 @_register("O5_job_limits")
 def _limits(spark, folder):
-    return rank.job_limits(_hits(spark, folder, "path:docs count:60"), folders_only=True, max_results=5).select("id", "path", "rank")
+    return rank.job_limits(_hits(spark, folder, "len:<=7 sort:name count:40"), folders_only=True, max_results=5).select("id", "path", "rank")
+
+
+@_register("O5_job_limits_files")
+def _limits_of_files(spark, folder):
+    return rank.job_limits(_hits(spark, folder, "len:<=8 count:60"), files_only=True, max_results=7).select("id", "path", "rank")
 
 
 @_register("K1_json")

@@ -5,25 +5,35 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from fileloom.functions.derive import with_derived
 from fileloom.jobs.compile import compile_text
 from fileloom.jobs.sinks import count_hits, write_json, write_paths
-from fileloom.operators.postings import build_postings
+from fileloom.operators.postings import build_postings, write_postings
 from fileloom.operators.rank import job_limits, with_rank
 from fileloom.operators.search import search
-from fileloom.sources.extract import EXTRACTABLE, extract_bodies, read_files
-from fileloom.sources.listing import body_gate, catalog_of_entries, list_tree
+from fileloom.sources.extract import EXTRACTABLE, extract_bodies, read_files, read_store
+from fileloom.sources.feeds import journal_changes
+from fileloom.sources.listing import body_gate, catalog_of_entries, list_store, list_tree
+from fileloom.streaming.catalog_stream import CatalogStore, follow_changes, follow_watcher
 
 
-def index_tree(spark: SparkSession, name_root: str, content_roots: list[str], out: str) -> None:
+def index_tree(spark: SparkSession, name_root: str, content_roots: list[str], out: str, mounted: bool = True) -> None:
     """catalog (with derived columns, so that filters reach the files), bodies and postings under `out`. Every entry below
-    name_root is in the catalog; bodies are those of extractable files in the content roots."""
-    catalog = with_derived(catalog_of_entries(list_tree(spark, name_root)))
-    catalog.write.parquet(f"{out}/catalog")
-    catalog = spark.read.parquet(f"{out}/catalog")
-    extract_bodies(read_files(spark, body_gate(catalog, content_roots, EXTRACTABLE))).write.parquet(f"{out}/bodies")
-    build_postings(spark.read.parquet(f"{out}/bodies")).write.parquet(f"{out}/postings")
+    name_root is in the catalog; bodies are those of extractable files in the content roots. mounted: the tree is a folder
+    that every executor has; else it is one that Spark's file systems reach."""
+    entries = list_tree(spark, name_root) if mounted else list_store(spark, name_root)
+    with_derived(catalog_of_entries(entries)).write.parquet(f"{out}/catalog")
+    gated = body_gate(spark.read.parquet(f"{out}/catalog"), content_roots, EXTRACTABLE)
+    files = read_files(spark, gated) if mounted else read_store(spark, gated, name_root)
+    write_index(extract_bodies(files), out)
+
+
+def write_index(bodies: DataFrame, out: str) -> None:
+    """bodies, each file's by their paths so that those of few hits are found without reading all, and their postings."""
+    bodies.sortWithinPartitions("path").write.parquet(f"{out}/bodies")
+    write_postings(build_postings(bodies.sparkSession.read.parquet(f"{out}/bodies")), f"{out}/postings")
 
 
 def search_index(
@@ -50,6 +60,19 @@ def search_index(
     return hits.limit(max_results) if max_results else hits
 
 
+def follow_feed(feed: DataFrame, store: CatalogStore, checkpoint: str, kind: str = "journal", **options) -> StreamingQuery:
+    """A store's catalog, bodies and postings follow a stream of journal rows (schema.USN) or watcher rows
+    (schema.WATCHER). options: extract, follow_renames and once of follow_changes."""
+    if kind == "watcher":
+        return follow_watcher(feed, store, checkpoint, **options)
+    return follow_changes(journal_changes(feed), store, checkpoint, **options)
+
+
+def search_store(store: CatalogStore, text: str, now: datetime) -> DataFrame:
+    """Hits of a free text in what a store holds now, in order."""
+    return search(store.catalog(), store.bodies(), compile_text(text, now), now)
+
+
 def write_hits(hits: DataFrame, out: str, form: str = "paths", bounded: bool = False) -> None:
     """form: json, paths or count."""
     if form == "json":

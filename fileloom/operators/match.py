@@ -54,8 +54,10 @@ def _contains(f: Field, text: str, q: Query) -> Column:
     if not text:
         return F.lit(True)
     if q.whole_word:
-        quoted = "".join(map(_quote, text if q.case_sensitive else text.lower()))
-        return (f.raw if q.case_sensitive else f.lower).rlike(f"(?s)(?<!{_WORD}){quoted}(?!{_WORD})")
+        text = text if q.case_sensitive else text.lower()
+        hay, quoted = f.raw if q.case_sensitive else f.lower, "".join(map(_quote, text))
+        # The pattern is tried only where the text is at all.
+        return hay.contains(text) & hay.rlike(f"(?s)(?<!{_WORD}){quoted}(?!{_WORD})")
     return f.raw.contains(text) if q.case_sensitive else f.lower.contains(text.lower())
 
 
@@ -84,25 +86,30 @@ def _false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def atom_matches(atom: Atom, name: Field, path: Field, body: Field | None, q: Query) -> tuple[Column, Column, Column]:
-    """Whether the atom is in the name, in the path, in the body. Alternatives that are not all of one kind lose the
-    limit to a field that each would have alone."""
+def in_body(patterns: Atom, body: Field, q: Query) -> Column:
+    """Whether any of the patterns is in the body. Decided where the body is read."""
+    return _false_if_null(_any(patterns, body, q))
+
+
+def atom_matches(atom: Atom, name: Field, path: Field, body: Column, q: Query) -> tuple[Column, Column, Column]:
+    """Whether the atom is in the name, in the path, in the body (body: whether it is, see in_body). Alternatives that
+    are not all of one kind lose the limit to a field that each would have alone."""
     no = F.lit(False)
-    in_body = _false_if_null(_any(atom, body, q)) if body is not None else no
     if all(p.body_only for p in atom):
-        return no, no, in_body
+        return no, no, body
     in_name = _any(atom, name, q)
     if q.name_only or all(p.kind in ("prefix", "suffix") for p in atom) or all(p.kind == "stem" for p in atom):
         return in_name, no, no
-    return in_name, _any(atom, path, q), in_body
+    return in_name, _any(atom, path, q), body
+
+
+def only_names(p: Pattern) -> bool:
+    return p.kind in ("prefix", "suffix", "stem")
 
 
-def excluded(p: Pattern, name: Field, path: Field, body: Field | None, q: Query) -> Column:
+def excluded(p: Pattern, name: Field, path: Field, body: Column, q: Query) -> Column:
     found = pattern_matches(p, name, q)
-    if p.kind in ("prefix", "suffix", "stem"):
-        return found
-    found = found | pattern_matches(p, path, q)
-    return found | _false_if_null(pattern_matches(p, body, q)) if body is not None else found
+    return found if only_names(p) else found | pattern_matches(p, path, q) | body
 
 
 def narrowing_prefix(q: Query) -> str | None:

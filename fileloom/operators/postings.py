@@ -7,7 +7,6 @@ from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fileloom.functions.text import words
 
@@ -18,6 +17,12 @@ def build_postings(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.explode(F.array_distinct(words(F.col("body")))).alias("word"), "path")
 
 
+def write_postings(postings: DataFrame, folder: str, mode: str = "error") -> None:
+    """In the order of words, so that a lookup reads the files and row groups of its words alone; a frequent word takes
+    several files."""
+    postings.repartitionByRange("word", "path").sortWithinPartitions("word", "path").write.mode(mode).parquet(folder)
+
+
 def paths_for_word(postings: DataFrame, word: str) -> DataFrame:
     return postings.where(F.col("word") == word.lower()).select("path")
 
@@ -56,9 +61,3 @@ def upsert_postings(postings: DataFrame, changes: DataFrame) -> DataFrame:
 
 def next_id(catalog: DataFrame) -> DataFrame:
     return catalog.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
-
-
-def latest_bodies(changes: DataFrame) -> DataFrame:
-    """The last change of each path, by a window: for logs that are already partitioned by path."""
-    last = Window.partitionBy("path").orderBy(F.desc("seq"))
-    return changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")

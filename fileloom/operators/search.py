@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 from fileloom.functions import derive, text
 from fileloom.operators import filters, match, rank
 from fileloom.operators.query import Query
-from fileloom.schema import CATALOG
+from fileloom.schema import CATALOG, SNIPPET
+from fileloom.sources.tables import cut
 
+#: Candidates whose paths may be broadcast to the bodies (some 100 MB at most); hits whose paths go into one condition.
+FEW_PATHS, FEW_HITS = 500_000, 1000
 HIT_COLUMNS = [*CATALOG.names, "score", "name_match", "path_match", "content_match", "snippet"]
 
 
@@ -24,32 +29,49 @@ def candidates(catalog: DataFrame, q: Query, narrowing: bool = True) -> DataFram
     return rows.where(match.names_with_prefix(F.col("name"), prefix)) if prefix is not None else rows
 
 
-def matched(rows: DataFrame, bodies: DataFrame | None, q: Query, snippets: bool = True) -> DataFrame:
-    """Rows that match, with the match flags, and the body if snippets are wanted. Bodies are joined only if they can
-    decide a match or give a snippet."""
-    wants_snippet = snippets and any(q.terms)
-    if bodies is not None and (q.needs_body or wants_snippet):
-        rows = rows.join(bodies.select("path", "body"), "path", "left")
-        body = match.Field(F.col("body"), F.col("_body_lower"))
-        # One lower-casing of a body for all atoms.
-        rows = rows.withColumn("_body_lower", F.lower("body")) if q.needs_body else rows
-    else:
-        rows, body = rows.withColumn("body", F.lit(None).cast("string")), None
-    if not q.needs_body:
-        body = None
+def body_flags(bodies: DataFrame, q: Query, snippets: bool, by_bytes: bool = False) -> DataFrame:
+    """path, a flag for each atom (_a0, ...) and each excluded pattern (_x0, ...) that a body can decide, and with snippets
+    the snippet, of the bodies that have any of these: all that a search needs of a body, from the bodies' own scan."""
+    body = match.Field(F.col("body"), F.col("_low"))
+    flags = {f"_a{k}": match.in_body(atom, body, q) for k, atom in enumerate(q.must)}
+    flags |= {f"_x{k}": match.in_body((p,), body, q) for k, p in enumerate(q.must_not) if not match.only_names(p)}
+    flags = flags if q.needs_body else {}
+    # One lower-casing of a body for all patterns.
+    rows = bodies.select("path", "body", F.lower("body").alias("_low")).withColumns(flags).drop("_low")
+    if snippets:
+        rows = text.with_snippet(rows, q.terms, by_bytes)
+        return rows.where(reduce(or_, map(F.col, flags), F.col("snippet").isNotNull()))
+    return rows.drop("body").where(reduce(or_, map(F.col, flags), F.lit(False)))
+
+
+def _of_candidates(bodies: DataFrame, rows: DataFrame, q: Query) -> DataFrame:
+    """Bodies of the candidates alone, if filters leave so few of these that their paths can be broadcast."""
+    if not filters.conditions(q):
+        return bodies
+    paths = rows.select("path")
+    return bodies.join(F.broadcast(paths), "path", "left_semi") if paths.limit(FEW_PATHS + 1).count() <= FEW_PATHS else bodies
+
+
+def matched(rows: DataFrame, bodies: DataFrame | None, q: Query, snippets: bool = True, by_bytes: bool = False) -> DataFrame:
+    """Rows that match, with the match flags, and with snippets if wanted. Bodies take part only if they can decide a
+    match or give a snippet; what is joined to the rows is flags, never a body."""
+    no, flags = F.lit(False), []
+    if bodies is not None and (q.needs_body or snippets):
+        found = body_flags(_of_candidates(bodies, rows, q), q, snippets, by_bytes)
+        flags = [c for c in found.columns if c.startswith("_")]
+        rows = rows.join(found, "path", "left")
+    of_body = lambda c: F.coalesce(F.col(c), no) if c in flags else no
     name, path = (match.Field(F.col(c), F.lower(c)) for c in ("name", "path"))
-    for p in q.must_not:
-        rows = rows.where(~match.excluded(p, name, path, body, q))
-    found = [match.atom_matches(atom, name, path, body, q) for atom in q.must]
+    for k, p in enumerate(q.must_not):
+        rows = rows.where(~match.excluded(p, name, path, of_body(f"_x{k}"), q))
+    found = [match.atom_matches(atom, name, path, of_body(f"_a{k}"), q) for k, atom in enumerate(q.must)]
     for n, p, b in found:
         rows = rows.where(n | p | b)
-    no = F.lit(False)
-    flags = {
+    named = {
         flag: match.every([f[i] for f in found]) if found else no
         for i, flag in enumerate(("name_match", "path_match", "content_match"))
     }
-    rows = rows.withColumns(flags)
-    return rows.drop("_body_lower") if wants_snippet else rows.drop("_body_lower", "body")
+    return rows.withColumns(named).drop(*flags)
 
 
 def search(
@@ -62,14 +84,24 @@ def search(
     by_bytes: bool = False,
 ) -> DataFrame:
     """HIT_COLUMNS of the hits in order. narrowing: as match.narrowing_prefix says; without, `n:` looks anywhere in
-    names. Another order than by score leaves the score 0."""
-    hits = matched(candidates(catalog, q, narrowing), bodies, q, snippets)
+    names. Another order than by score leaves the score 0.
+
+    With a limit the hits are found at once, and snippets are cut from the bodies of these alone; without one, snippets
+    are cut where the bodies are matched."""
+    wants = snippets and bodies is not None and any(q.terms)
+    hits = matched(candidates(catalog, q, narrowing), bodies, q, wants and q.limit is None, by_bytes)
     hits = hits.withColumn("score", rank.score(q, now) if q.sort == "score" else F.lit(0.0))
-    if q.limit is None and "body" in hits.columns:
-        hits = text.with_snippet(hits, q.terms, by_bytes)  # a snippet is small; a body must not go through the sort
-    hits = rank.ordered(hits, q)
-    if "body" in hits.columns:
-        hits = text.with_snippet(hits, q.terms, by_bytes)
-    elif "snippet" not in hits.columns:
-        hits = text.with_snippet(hits, [])
+    columns = [c for c in HIT_COLUMNS if c in hits.columns]
+    if wants and q.limit is not None:
+        hits = cut(rank.ordered(hits.select(*columns), q))
+        if q.limit <= FEW_HITS:
+            theirs = bodies.where(F.col("path").isin([r.path for r in hits.select("path").collect()]))  # reaches the files
+        else:
+            theirs = bodies.join(hits.select("path").distinct(), "path", "left_semi")
+        theirs = text.with_snippet(theirs.select("path", "body"), q.terms, by_bytes)
+        hits = rank.ordered(hits.join(theirs, "path", "left"), q)
+    else:
+        hits = rank.ordered(hits.select(*columns), q)
+    if "snippet" not in hits.columns:
+        hits = hits.withColumn("snippet", F.lit(None).cast(SNIPPET))
     return hits.select(*HIT_COLUMNS)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
 from datetime import datetime
+from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +79,24 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
         "attributes": F.lit(0),
     }
     return rows.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in CHANGES.fields])
+
+
+_PARTS = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "pptx": "ppt/slides/slide1.xml"}
+
+
+def office_files(rows: DataFrame) -> DataFrame:
+    """path, ext, content of rows(path, ext, text): each text as the main part of an archive, with a part beside it that
+    holds none of the document's text."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = []
+            for ext, text in zip(frame["ext"], frame["text"], strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("docProps/app.xml", "<Properties>none</Properties>")
+                    archive.writestr(_PARTS[ext], f"<?xml version='1.0'?><r><t>{escape(text, quote=False)}</t></r>")
+                contents.append(data.getvalue())
+            yield pd.DataFrame({"path": frame["path"], "ext": frame["ext"], "content": contents})
+
+    return rows.select("path", "ext", "text").mapInPandas(pack, "path string, ext string, content binary")

@@ -111,20 +111,36 @@ def extract_bodies(files: DataFrame) -> DataFrame:
     return rows.select("path", body.alias("body")).where(F.col("body").isNotNull())
 
 
-def read_files(spark: SparkSession, gated: DataFrame, batch: int = 16) -> DataFrame:
-    """path, ext, content of gated catalog rows, read by the executors, few files an Arrow batch, rows spread so that
-    tasks get about the same bytes. Files that can't be read are left out."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+#: Bytes of files that go into one Arrow batch; a larger file is alone in its batch.
+BATCH_BYTES = 8 << 20
+
+
+def read_files(spark: SparkSession, gated: DataFrame) -> DataFrame:
+    """path, ext, content of gated catalog rows, read by the executors from a mount that all of them have; rows are
+    spread by their paths. Files that can't be read are left out."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["path", "ext", "content"])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, ext in zip(frame["path"], frame["ext"], strict=True):
-                try:
-                    with open(path, "rb") as f:
-                        rows.append((path, ext, f.read()))
-                except OSError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+        rows, size = [], 0
+        for path, ext in (pair for f in frames for pair in zip(f["path"], f["ext"], strict=True)):
+            try:
+                with open(path, "rb") as f:
+                    rows.append((path, ext, f.read()))
+            except OSError:
+                continue
+            size += len(rows[-1][2])
+            if size >= BATCH_BYTES:
+                yield frame(rows)
+                rows, size = [], 0
+        yield frame(rows)
 
     return gated.select("path", "ext").repartition("path").mapInPandas(read, "path string, ext string, content binary")
+
+
+def read_store(spark: SparkSession, gated: DataFrame, root: str) -> DataFrame:
+    """read_files for paths below a root that Spark's file systems reach (listing.list_store). Of files that the gate
+    leaves out at most the content's first read is lost: the gate's paths are joined before anything is decoded."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").join(gated.select("path", "ext"), "path").select("path", "ext", "content")

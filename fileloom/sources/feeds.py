@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fileloom.functions.derive import last_component
+from fileloom.operators.events import apply_changes
 from fileloom.schema import CHANGES
+from fileloom.sources.listing import numbered
 from fileloom.sources.tables import cut
 
 #: Reason bits.
@@ -33,42 +35,50 @@ def journal_changes(rows: DataFrame) -> DataFrame:
 
 
 def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
-    """For each delete and rename what is at its path then: `from`, the row that put it there, or id, by the catalog."""
-    # What a row does to a path: puts there (the row's own seq), or takes away (null); -1 asks what is there.
+    """For each delete and rename what is at its path then: `from`, the row that put it there, or id, by the catalog. else:
+    whether, if that row put nothing there after all, something earlier may be there."""
+    # What a row does to a path: puts there (the row's own seq), or takes away (null); turn -1 asks what is there.
     deeds = rows.where("kind in ('delete', 'rename')").selectExpr("path", "seq", "-1 as turn", "cast(null as bigint) as put")
     deeds = deeds.union(deeds.selectExpr("path", "seq", "0", "put"))
     deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_path", "seq", "1", "seq"))
     deeds = deeds.union(rows.where("kind = 'create'").selectExpr("path", "seq", "1", "seq"))
     earlier = Window.partitionBy("path").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
     deed = F.when(F.col("turn") >= 0, F.struct("put"))
-    asked = deeds.withColumn("last", F.last(deed, ignorenulls=True).over(earlier)).where("turn = -1")
+    taken = F.count(F.when((F.col("turn") == 0) & F.col("put").isNull(), 1))
+    deeds = deeds.withColumns({"last": F.last(deed, ignorenulls=True).over(earlier), "taken": taken.over(earlier)})
+    since = Window.partitionBy("path", "taken").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    asked = deeds.withColumn("puts", F.count("put").over(since)).where("turn = -1")
     return asked.join(here, "path", "left").select(
-        "seq", F.col("last.put").alias("from"), F.when(F.col("last").isNull(), F.col("old_id")).alias("id")
+        "seq",
+        F.col("last.put").alias("from"),
+        F.when(F.col("last").isNull(), F.col("old_id")).alias("id"),
+        F.expr("puts > 1 or taken = 0 and old_id is not null").alias("else"),
     )
 
 
-def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataFrame:
-    """Changes of a watcher batch without renames of directories (events.split_at_renames): creations get the ids from
-    first_id on in the order of seq; deletes and renames the id that is at their path then, or are dropped.
+def _void(asked: DataFrame) -> DataFrame:
+    """seq of rows that ask for a path where nothing is, or where only such a row would have put something."""
+    links = asked.selectExpr("seq", "if(`else`, null, `from`) as to", "`from` is null and id is null as void")
+    while not links.where("to is not null and not void").isEmpty():
+        step = links.selectExpr("seq as p_seq", "to as p_to", "void as p_void")
+        links = links.join(step, F.col("to") == F.col("p_seq"), "left")
+        links = cut(links.selectExpr("seq", "p_to as to", "void or coalesce(p_void, false) as void"))
+    return links.where("void").select("seq")
 
-    What is at a path is decided by the last earlier row that put something there (a creation, or a rename to it) or
-    took it away, else by the catalog. A file that is renamed again and again is followed to its creation by pointer
-    doubling. Of several catalog rows with a path the smallest id counts."""
-    rows = rows.where("kind != 'modify' and (kind != 'rename' or new_path is not null)")
-    # One narrow row per creation of the batch.
-    in_order = F.row_number().over(Window.orderBy("seq"))
-    ids = rows.where("kind = 'create'").select("seq").withColumn("new_id", F.lit(int(first_id) - 1) + in_order)
+
+def _segment_changes(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    """Changes of rows after whose directory renames nothing follows. ids(seq, new_id): of the creations."""
     here = catalog.groupBy("path").agg(F.min("id").alias("old_id"))
-    # A row that asks for a path where nothing is does nothing, and what it would have put elsewhere is not there.
-    rows = cut(rows)
     while True:
         asked = cut(_asked(rows, here))
-        void = asked.where("`from` is null and id is null").select("seq")
+        # A void row does nothing, and what it would have put elsewhere is not there.
+        void = cut(_void(asked))
         if void.isEmpty():
             break
         rows = cut(rows.join(void, "seq", "left_anti"))
     # from: the row whose file this is; a creation is its own.
-    links = asked.unionByName(ids.select("seq", F.lit(None).cast("long").alias("from"), F.col("new_id").alias("id")))
+    created = rows.where("kind = 'create'").join(ids, "seq").selectExpr("seq", "cast(null as bigint) as `from`", "new_id as id")
+    links = asked.select("seq", "from", "id").unionByName(created)
     while not links.where("id is null and `from` is not null").isEmpty():
         step = links.select(F.col("seq").alias("p_seq"), F.col("from").alias("p_from"), F.col("id").alias("p_id"))
         links = links.join(step, F.col("from") == F.col("p_seq"), "left").select(
@@ -78,10 +88,42 @@ def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataF
         )
         links = cut(links)
     rows = rows.join(links.select("seq", "id"), "seq").where("id is not null")
-    created = lambda c: F.when(F.col("kind") == "create", c)
+    made = lambda c: F.when(F.col("kind") == "create", c)
     path = F.when(F.col("kind") == "rename", F.col("new_path")).when(F.col("kind") == "create", F.col("path"))
     return _change(
         rows, seq=F.col("seq"), kind=F.col("kind"), id=F.col("id"), parent_id=F.lit(None), name=last_component(path),
-        path=path, size=created(F.col("size")), modified=created(F.col("modified")),
-        is_dir=created(F.col("is_dir")), attributes=created(F.lit(0)),
+        path=path, size=made(F.col("size")), modified=made(F.col("modified")),
+        is_dir=made(F.col("is_dir")), attributes=made(F.lit(0)),
     )
+
+
+def next_directory_rename(rows: DataFrame, catalog: DataFrame) -> int | None:
+    """The seq of the first row after which paths mean something else: a rename that the watcher marks as of a directory,
+    or of a path at which the catalog or the batch has one."""
+    dirs = catalog.where("is_dir").select("path").union(rows.where("kind = 'create' and is_dir").select("path"))
+    renames = rows.where("kind = 'rename'")
+    marked = renames.where("is_dir").select("seq").union(renames.join(dirs.distinct(), "path", "left_semi").select("seq"))
+    return marked.agg(F.min("seq")).first()[0]
+
+
+def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataFrame:
+    """Changes of a watcher batch: creations get the ids from first_id on in the order of seq; deletes and renames the id
+    that is at their path then, or are dropped; modifications and renames to nowhere are dropped.
+
+    What is at a path is decided by the last earlier row that put something there (a creation, or a rename to it) or
+    took it away, else by the catalog. A file that is renamed again and again is followed to its creation by pointer
+    doubling, and so are rows that depend on one that does nothing. Of several catalog rows with a path the smallest id
+    counts. After a rename of a directory what was below it has other paths: the batch is cut there, and what follows
+    meets the catalog with all changes so far. So a batch takes a pass over the changed catalog for each such rename, which
+    are few in a batch."""
+    rows = cut(rows.where("kind != 'modify' and (kind != 'rename' or new_path is not null)"))
+    ids = cut(numbered(rows.where("kind = 'create'").select("seq"), "seq", first_id).withColumnRenamed("id", "new_id"))
+    found = None
+    while True:
+        seq = next_directory_rename(rows, catalog)
+        part = _segment_changes(rows if seq is None else rows.where(F.col("seq") <= seq), catalog, ids)
+        if seq is None:
+            return part if found is None else found.unionByName(part)
+        part = cut(part)
+        catalog, rows = cut(apply_changes(catalog, part)), rows.where(F.col("seq") > seq)
+        found = part if found is None else found.unionByName(part)

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fileloom.functions.derive import last_component
-from fileloom.schema import CATALOG
+from fileloom.schema import CATALOG, DIRECTORY
 from fileloom.sources.tables import cut
 
 #: Directories that are listed but not gone into; the last in any case of A-Z.
@@ -61,17 +60,39 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return levels if levels is not None else spark.createDataFrame([], _ENTRIES)
 
 
+def list_store(spark: SparkSession, root: str) -> DataFrame:
+    """list_tree's columns of every file below a root that Spark's file systems reach, and of the folders that hold them
+    (an empty folder has no file to show it; a folder's time is that of its latest file). Nothing is read of the files."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    top = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    rows = outside_skipped(rows, top)
+    parts = F.split(F.substring(F.col("path"), len(top) + 2, 1 << 30), "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat_ws("/", F.lit(top), F.slice(parts, 1, k)))
+    folders = rows.where(F.size(parts) > 1).select(F.explode(ups).alias("path"), "modified")
+    folders = folders.groupBy("path").agg(F.max("modified").alias("modified"))
+    found = rows.withColumn("is_dir", F.lit(False)).unionByName(
+        folders.select("path", F.expr("0L").alias("size"), "modified", F.lit(True).alias("is_dir"))
+    )
+    parent = F.regexp_extract("path", r"(?s)\A(.*)/[^/]+\z", 1)
+    return found.select(
+        parent.alias("parent_path"), "path", F.substring_index("path", "/", -1).alias("name"), "size", "modified", "is_dir"
+    )
+
+
 def catalog_of_entries(entries: DataFrame, first_id: int = 1) -> DataFrame:
     """The catalog of list_tree's entries: ids from first_id on in the order of paths, parents by their paths (null
     for the root's own entries)."""
-    ids = _numbered(entries.select("path"), "path", first_id)
+    ids = numbered(entries.select("path"), "path", first_id)
     rows = entries.join(ids, "path")
     parents = ids.select(F.col("path").alias("parent_path"), F.col("id").alias("parent_id"))
-    rows = rows.join(parents, "parent_path", "left").withColumn("attributes", F.lit(0))
+    attributes = F.when(F.col("is_dir"), DIRECTORY).otherwise(0)
+    rows = rows.join(parents, "parent_path", "left").withColumn("attributes", attributes)
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG.fields])
 
 
-def _numbered(df: DataFrame, key: str, first: int) -> DataFrame:
+def numbered(df: DataFrame, key: str, first: int) -> DataFrame:
     """df with id: consecutive numbers in the order of key, by range partitions and their counts, not in one task."""
     parts = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
@@ -91,10 +112,6 @@ def outside_skipped(listing: DataFrame, root: str) -> DataFrame:
     return listing.where(~F.exists(between, lambda p: p.isin(SKIPPED) | (F.lower(p) == SKIPPED_ANY_CASE)))
 
 
-def names_of(listing: DataFrame) -> DataFrame:
-    return listing.withColumn("name", last_component(F.col("path")))
-
-
 def body_gate(catalog: DataFrame, roots: list[str], extensions: list[str], most: int = 33_554_432) -> DataFrame:
     """Catalog rows (with ext) whose body is to be read: files with one of the extensions, of at most so many bytes, in
     or below a content root. Roots are compared by whole components and by case."""

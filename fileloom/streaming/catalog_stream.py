@@ -1,58 +1,132 @@
-"""A catalog that follows a stream of changes: each micro-batch is folded into the last snapshot and written as a new
-version; a small file, written last, names the version that readers take. A batch that is run again writes its own
-version anew and changes nothing else; rows older than the snapshot's last seq are dropped."""
+"""A catalog that follows a stream of changes. A micro-batch writes a part: the rows, bodies and postings that it changes,
+and what it removes. A small file, written last, names the version that readers take: a whole snapshot and the parts
+after it. From time to time the parts are merged into a new snapshot, and what came before the last one is removed. A batch
+that is run again writes its own part anew and changes nothing else; rows older than the snapshot's last seq are dropped."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fileloom.operators.events import apply_changes, move_bodies
-from fileloom.operators.postings import upsert_bodies
+from fileloom.functions.derive import with_derived
+from fileloom.operators.events import LITERAL_RENAMES, apply_changes, directory_renames
+from fileloom.operators.postings import build_postings, write_postings
 from fileloom.schema import BODIES, CATALOG
+from fileloom.sources.tables import cut
+
+POINTER = "version long, seq long, base long, folder string"
+POSTINGS = "word string, path string"
+#: Changed ids or paths of a batch that may be broadcast; more are joined by a shuffle.
+PICK_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= PICK_ROWS else df
 
 
 class CatalogStore:
-    """Versions of a catalog, and of bodies beside it, under one folder that all executors reach."""
+    """Versions of a catalog, of bodies and of their postings, under one folder that all executors reach. merge_every:
+    versions between two snapshots."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, merge_every: int = 16):
+        self.spark, self.folder, self.merge_every = spark, folder.rstrip("/"), merge_every
 
-    def current(self) -> tuple[int, int]:
-        """(version, last seq); (-1, -1) before the first."""
+    def _pointer(self):
         try:
-            rows = self.spark.read.schema("version long, seq long").json(f"{self.folder}/current")
-            row = rows.orderBy(F.desc("version")).first()
+            rows = self.spark.read.schema(POINTER).json(f"{self.folder}/current")
+            return rows.orderBy(F.desc("version"), F.desc("base")).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            row = None
+            return None
+
+    def current(self) -> tuple[int, int]:
+        """(version, last seq); (-1, -1) before the first."""
+        row = self._pointer()
         return (row.version, row.seq) if row else (-1, -1)
 
-    def catalog(self, version: int | None = None) -> DataFrame:
-        version = self.current()[0] if version is None else version
-        if version < 0:
-            return self.spark.createDataFrame([], CATALOG)
-        return self.spark.read.schema(CATALOG).parquet(f"{self.folder}/catalog/v={version}")
+    def _read(self, kind: str, schema, key: str) -> DataFrame:
+        """The rows of the snapshot that no later part has replaced or removed, and those of the parts."""
+        row = self._pointer()
+        if row is None:
+            return self.spark.createDataFrame([], schema)
+        base = self.spark.read.parquet(f"{self.folder}/snapshot/v={row.base}/{kind}")
+        if row.version == row.base:
+            return base
+        parts = self.spark.read.parquet(*[f"{self.folder}/part/v={v}" for v in range(row.base + 1, row.version + 1)])
+        gone = parts.where(F.col("kind") == kind).groupBy(F.col("key").alias("g_key")).agg(F.max("version").alias("g_version"))
+        new = self.spark.read.parquet(*[f"{self.folder}/{kind}/v={v}" for v in range(row.base + 1, row.version + 1)])
+        # Parts are few rows beside a snapshot: a row of a part is the latest of its key, or a later part has removed it.
+        same = F.col(key).cast("string") == F.col("g_key")
+        gone = cut(gone)
+        kept = base.join(_small(gone), same, "left_anti")
+        new = new.join(_small(gone), same & (F.col("g_version") > F.col("version")), "left_anti").drop("version")
+        return kept.unionByName(new)
 
-    def bodies(self, version: int | None = None) -> DataFrame:
-        version = self.current()[0] if version is None else version
-        if version < 0:
-            return self.spark.createDataFrame([], BODIES)
-        return self.spark.read.schema(BODIES).parquet(f"{self.folder}/bodies/v={version}")
+    def catalog(self) -> DataFrame:
+        """With derived columns."""
+        return self._read("catalog", with_derived(self.spark.createDataFrame([], CATALOG)).schema, "id")
 
-    def write(self, version: int, seq: int, catalog: DataFrame, bodies: DataFrame | None = None) -> None:
-        catalog.write.mode("overwrite").parquet(f"{self.folder}/catalog/v={version}")
-        if bodies is None:
-            bodies = self.spark.createDataFrame([], BODIES)
-        bodies.write.mode("overwrite").parquet(f"{self.folder}/bodies/v={version}")
-        pointer = self.spark.createDataFrame([(version, seq)], "version long, seq long")
+    def bodies(self) -> DataFrame:
+        return self._read("bodies", BODIES, "path")
+
+    def postings(self) -> DataFrame:
+        return self._read("postings", POSTINGS, "path")
+
+    def _point(self, version: int, seq: int, base: int) -> None:
+        pointer = self.spark.createDataFrame([(version, seq, base, self.folder)], POINTER)
         pointer.coalesce(1).write.mode("append").json(f"{self.folder}/current")
 
+    def write(self, version: int, seq: int, catalog: DataFrame, bodies: DataFrame | None = None) -> None:
+        """A whole snapshot. What is older than the one before it is removed."""
+        before = self._pointer()
+        to = f"{self.folder}/snapshot/v={version}"
+        with_derived(catalog.select(*CATALOG.names)).write.mode("overwrite").parquet(f"{to}/catalog")
+        bodies = self.spark.createDataFrame([], BODIES) if bodies is None else bodies
+        bodies.select("path", "body").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{to}/bodies")
+        write_postings(build_postings(self.spark.read.schema(BODIES).parquet(f"{to}/bodies")), f"{to}/postings", "overwrite")
+        self._point(version, seq, version)
+        if before is not None:
+            self._remove_before(before.base)
+
+    def _remove_before(self, version: int) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for kind in ("snapshot", "part", "catalog", "bodies", "postings"):
+            folder = hadoop.Path(f"{self.folder}/{kind}")
+            system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in system.listStatus(folder) if system.exists(folder) else []:
+                if int(found.getPath().getName().partition("=")[2]) < version:
+                    system.delete(found.getPath(), True)
+
+    def write_part(self, version: int, seq: int, ids: DataFrame, rows: DataFrame, paths: DataFrame, bodies: DataFrame) -> None:
+        """ids, paths: what rows and bodies replace or remove."""
+        own = F.lit(version).cast("long").alias("version")
+        keys = [ids.select(F.lit("catalog").alias("kind"), F.col("id").cast("string").alias("key"))]
+        keys += [paths.select(F.lit(kind), F.col("path")) for kind in ("bodies", "postings")]
+        keys[0].union(keys[1]).union(keys[2]).select("kind", "key", own).write.mode("overwrite").parquet(f"{self.folder}/part/v={version}")
+        with_derived(rows.select(*CATALOG.names)).withColumn("version", own).write.mode("overwrite").parquet(f"{self.folder}/catalog/v={version}")
+        bodies.select("path", "body", own).write.mode("overwrite").parquet(f"{self.folder}/bodies/v={version}")
+        words = build_postings(self.spark.read.parquet(f"{self.folder}/bodies/v={version}"))
+        words.withColumn("version", own).write.mode("overwrite").parquet(f"{self.folder}/postings/v={version}")
+        row = self._pointer()
+        self._point(version, seq, row.base)
+        if version - row.base >= self.merge_every:
+            self.write(version, seq, self.catalog(), self.bodies())
+
+
+def _below_any(renames: DataFrame) -> Column | None:
+    """Whether `path` lies below a directory that is renamed; None if there are more than fit into one condition."""
+    if renames.count() > LITERAL_RENAMES:
+        return None
+    found = F.lit(False)
+    for r in renames.select("old").distinct().collect():
+        found = found | F.col("path").startswith(r.old + "\\") | F.col("path").startswith(r.old + "/")
+    return found
+
 
 def apply_batch(
     store: CatalogStore,
@@ -66,18 +140,32 @@ def apply_batch(
     version, last = store.current()
     if batch_id + 1 <= version:
         return
-    batch = batch.where(F.col("seq") > last)
+    if version < 0:
+        store.write(0, -1, store.catalog(), store.bodies())
+    batch = cut(batch.where(F.col("seq") > last))
     newest = batch.agg(F.max("seq")).first()[0]
-    before = store.catalog(version)
-    after = apply_changes(before, batch) if newest is not None else before
-    bodies = store.bodies(version)
+    last = last if newest is None else newest
+    ids = cut(batch.select("id").distinct())
+    catalog = store.catalog().select(*CATALOG.names)
+    # Only rows that changes name, or that lie below a renamed directory, take part.
+    below = _below_any(cut(directory_renames(catalog, batch)))
+    named = catalog.join(_small(ids), "id", "left_semi")
+    before = catalog if below is None else named.union(catalog.where(below).join(_small(ids), "id", "left_anti"))
+    before = cut(before)
+    after = cut(apply_changes(before, batch))
+    changed = before.select("id").union(ids).distinct()
+
+    none = store.spark.createDataFrame([], BODIES)
+    removed, bodies = none.select("path"), none
     if follow_renames:
-        bodies = move_bodies(bodies, before, after)
+        moves = before.select("id", "path").join(after.select("id", F.col("path").alias("new")), "id").where("path != new")
+        moved = cut(store.bodies().join(_small(moves.select("path", "new")), "path").select("path", "new", "body"))
+        removed, bodies = moved.select("path"), moved.select(F.col("new").alias("path"), "body")
     if extract is not None:
-        created = extract(batch.where("kind = 'create' and not is_dir"))
-        seqs = batch.where("kind = 'create'").groupBy("path").agg(F.max("seq").alias("seq"))
-        bodies = upsert_bodies(bodies, created.join(seqs, "path").select("seq", "path", "body"))
-    store.write(batch_id + 1, last if newest is None else newest, after, bodies)
+        created = cut(extract(batch.where("kind = 'create' and not is_dir")).dropDuplicates(["path"]))
+        bodies = bodies.join(created, "path", "left_anti").union(created.select("path", "body"))
+    paths = removed.union(bodies.select("path")).distinct()
+    store.write_part(batch_id + 1, last, changed, after, paths, bodies)
 
 
 def follow_changes(
@@ -88,3 +176,21 @@ def follow_changes(
         lambda batch, batch_id: apply_batch(store, batch, batch_id, extract, follow_renames)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def follow_watcher(
+    rows: DataFrame, store: CatalogStore, checkpoint: str, extract=None, follow_renames: bool = False, once: bool = False
+) -> StreamingQuery:
+    """Start following a stream of WATCHER rows: each batch meets the catalog that the ones before it have left, and its
+    creations go on from the catalog's largest id."""
+    from fileloom.sources.feeds import watcher_changes
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch_id + 1 > store.current()[0]:
+            catalog = store.catalog().select(*CATALOG.names)
+            first = catalog.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+            changes = watcher_changes(batch.where(F.col("seq") > store.current()[1]), catalog, first)
+            apply_batch(store, changes, batch_id, extract, follow_renames)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -5,10 +5,11 @@ from datetime import datetime
 
 import pytest
 
+from fileloom.jobs import run
 from fileloom.operators import events, hierarchy
 from fileloom.schema import CATALOG, CHANGES, NODES, USN, WATCHER
 from fileloom.sources import feeds
-from fileloom.streaming.catalog_stream import CatalogStore, follow_changes
+from fileloom.streaming.catalog_stream import CatalogStore, apply_batch, follow_changes
 
 T0 = datetime(2024, 1, 1)
 
@@ -130,6 +131,60 @@ def test_watcher_ids_see_earlier_rows(spark, seed):
     assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == watch_replay(catalog, rows, 50)
 
 
+def tree_replay(catalog, rows, first):
+    """watch_replay with directories: catalog is {path: (id, is_dir)}, unique in paths."""
+    at, out = dict(catalog), []
+    for seq, kind, path, new, is_dir, *_ in sorted(rows):
+        if kind == "create":
+            out.append((seq, "create", first, path))
+            at[path], first = (first, is_dir), first + 1
+        elif kind == "delete" and path in at:
+            out.append((seq, "delete", at.pop(path)[0], None))
+        elif kind == "rename" and new is not None and path in at:
+            i, d = at.pop(path)
+            out.append((seq, "rename", i, new))
+            if d:
+                for p in [p for p in at if p.startswith(path + "\\")]:
+                    at[new + p[len(path) :]] = at.pop(p)
+            at[new] = (i, d)
+    return out, at
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_watcher_batches_with_directory_renames(spark, seed):
+    rng = random.Random(seed)
+    catalog = {r"C:\a": (1, True), r"C:\a\x": (2, False), r"C:\a\s": (3, True), r"C:\a\s\y": (4, False), r"C:\c": (5, True)}
+    rows = [(1, "rename", r"C:\a", r"C:\b", True, 0, T0), (2, "delete", r"C:\b\x", None, False, 0, T0), (3, "create", r"C:\b\z", None, False, 1, T0)] if seed == 0 else []
+    for seq in range(10, 26):
+        _, at = tree_replay(catalog, rows, 50)
+        dirs = [p for p, (_, d) in at.items() if d] or ["C:"]
+        some = rng.choice([*at, r"C:\gone", r"C:\a\x"])
+        free = f"{rng.choice(dirs)}\\n{seq}"
+        kind = rng.choice(["create", "create", "delete", "rename", "rename", "dir", "modify"])
+        if kind == "rename" and not free.startswith(some + "\\"):
+            # Not every watcher knows what it was that moved.
+            rows.append((seq, "rename", some, free, rng.random() < 0.5 and at.get(some, (0, False))[1], 0, T0))
+        elif kind in ("create", "dir"):
+            rows.append((seq, "create", free, None, kind == "dir", 1, T0))
+        elif kind in ("delete", "modify") and not at.get(some, (0, False))[1]:
+            rows.append((seq, kind, some, None, False, 0, T0))
+    want, at = tree_replay(catalog, rows, 50)
+    table = spark.createDataFrame([row(i, p, d) for p, (i, d) in catalog.items()], CATALOG)
+    got = feeds.watcher_changes(spark.createDataFrame(rows, WATCHER), table, 50)
+    assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == want
+    after = events.apply_changes(table, got)
+    assert {r.path: (r.id, r.is_dir) for r in after.collect()} == at
+
+
+def test_rows_that_depend_on_void_rows(spark):
+    """A chain of renames from nowhere, over paths at which the catalog has something or not."""
+    rows = [(k, "rename", f"C:\\q{k}", f"C:\\q{k + 1}", False, 0, T0) for k in range(40)] + [(50, "delete", "C:\\q40", None, False, 0, T0), (51, "delete", "C:\\q20", None, False, 0, T0)]
+    for catalog in ({}, {"C:\\q0": 1}, {"C:\\q20": 2}, {"C:\\q40": 3}):
+        table = spark.createDataFrame([row(i, p) for p, i in catalog.items()], CATALOG)
+        got = feeds.watcher_changes(spark.createDataFrame(rows, WATCHER), table, 50)
+        assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == watch_replay(catalog, rows, 50)
+
+
 def test_full_paths(spark):
     root = 5
     chain = [(1000 + k, 1000 + k - 1 if k else root, f"d{k}") for k in range(40)]
@@ -155,3 +210,46 @@ def test_stream_of_batches_equals_one_fold(spark, tmp_path):
     assert result(store.catalog()) == replay(rows, log)
     assert [r.body for r in store.bodies().collect()] == ["old"]
     assert store.current() == (3, log[-1][0])
+
+
+@pytest.mark.parametrize("merge_every", [2, 100])
+def test_bodies_and_postings_of_a_store_follow(spark, tmp_path, merge_every):
+    """Created files are read whatever their size or place, bodies move along, parts are merged."""
+    store = CatalogStore(spark, f"file://{tmp_path}/store", merge_every)
+    rows = [row(1, r"C:\a", True), row(2, r"C:\a\x.txt"), row(3, r"C:\k.txt")]
+    store.write(0, 0, spark.createDataFrame(rows, CATALOG), spark.createDataFrame([(r"C:\a\x.txt", "first words"), (r"C:\k.txt", "kept words")], "path string, body string"))
+
+    def extract(files):
+        return files.selectExpr("path", "concat('body of ', name) as body").where("path not like '%.bin'")
+
+    log = [
+        [change(1, "create", 10, r"C:\a\new.txt", False), change(2, "create", 11, r"C:\data.bin", False)],
+        [change(3, "rename", 1, r"C:\b")],
+        [change(4, "rename", 3, r"C:\b\k2.txt"), change(5, "create", 12, r"C:\a\x.txt", False)],
+        [change(6, "delete", 10), change(7, "create", 13, r"C:\b\new.txt", False)],
+        [],
+    ]
+    for k, part in enumerate(log):
+        apply_batch(store, spark.createDataFrame(part, CHANGES), k, extract, follow_renames=True)
+        apply_batch(store, spark.createDataFrame(part, CHANGES), k, extract, follow_renames=True)  # run again: nothing
+    assert result(store.catalog()) == replay(rows, [c for part in log for c in part])
+    want = {r"C:\b\x.txt": "first words", r"C:\b\k2.txt": "kept words", r"C:\a\x.txt": "body of x.txt", r"C:\b\new.txt": "body of new.txt"}
+    bodies = {r.path: r.body for r in store.bodies().collect()}
+    assert bodies == want
+    words = {(r.word, r.path) for r in store.postings().collect()}
+    assert words == {(w.lower(), p) for p, b in want.items() for w in b.replace(".", " ").split()}
+    assert "path_norm" in store.catalog().columns and store.current() == (5, 7)
+    kept = sorted(p.name for p in (tmp_path / "store" / "snapshot").iterdir())
+    assert kept == (["v=2", "v=4"] if merge_every == 2 else ["v=0"])
+
+
+def test_a_watched_store_is_searched(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    rows = [(1, "create", r"C:\d", None, True, 0, T0), (2, "create", r"C:\d\plan.txt", None, False, 5, T0), (3, "rename", r"C:\d", r"C:\e", True, 0, T0), (4, "modify", r"C:\e\plan.txt", None, False, 0, T0)]
+    spark.createDataFrame(rows, WATCHER).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(WATCHER).parquet(f"{tmp_path}/in")
+    extract = lambda files: files.selectExpr("path", "'the plan' as body")
+    run.follow_feed(stream, store, f"{tmp_path}/checkpoint", "watcher", extract=extract, follow_renames=True, once=True).awaitTermination()
+    assert result(store.catalog()) == {1: ("e", r"C:\e", True), 2: ("plan.txt", r"C:\e\plan.txt", False)}
+    (hit,) = run.search_store(store, "plan ext:txt", T0).collect()
+    assert hit.path == r"C:\e\plan.txt" and hit.name_match
