@@ -467,11 +467,11 @@ def join_similar(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     Other columns are not read. Empty table: empty result.
     """
     rows = _labelled(docs, how)
-    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return (
-        rows.join(least.select(F.col("c").alias("l_c"), "component_id"), F.col("c") == F.col("l_c"))
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    )
+    # Only components of several rows have another's id. Written down, so that Spark can split the join of a large one.
+    least = rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
+    least = materialise(least.select(F.col("c").alias("l_c"), "least"), "least")
+    rows = rows.join(_small(least), F.col("c") == F.col("l_c"), "left")
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -481,7 +481,8 @@ def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     rows = _labelled(docs, how)
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = rows.groupBy("c").agg(F.min(name).alias("first"), F.count("*").alias("many")).where("many > 1")
-    gone = rows.join(first.select(F.col("c").alias("f_c"), "first"), F.col("c") == F.col("f_c")).where(name != F.col("first"))
+    first = materialise(first.select(F.col("c").alias("f_c"), "first"), "first")
+    gone = rows.join(_small(first), F.col("c") == F.col("f_c")).where(~name.eqNullSafe(F.col("first")))
     # Rows that go, by id and text: few beside those that stay.
     gone = materialise(gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct(), "gone")
     on = F.col("_row.doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("_row.text") == F.col("g_th"))
