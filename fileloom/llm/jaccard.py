@@ -246,22 +246,23 @@ def _small(df: DataFrame) -> DataFrame:
 def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """node, comp (the smallest node of its component) for every node of links(a, b) but those smallest ones.
 
-    Alternating large and small stars, with minima taken by aggregation, so no node's neighbours are gathered, and joins
-    with one row per node, of which Spark splits those of a hot node. Ends when all that is left are stars."""
+    Alternating large and small stars, with minima taken by aggregation, so no node's neighbours are gathered. The minima,
+    one row per node, are written down: they are broadcast if they are few, and if not, Spark can split the edges of a hot
+    node in the join. Ends when all that is left are stars."""
     edges = links.where("a != b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
     step = 0
     while True:
         # Large star: every neighbour above u goes to u's smallest neighbour, or u.
         both = edges.union(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = _small(tables.save(least, f"{name}-{step}-large"))
         above = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("b"), F.col("b").alias("a"))
         # Small star: u and its smaller neighbours go to the smallest.
-        least = above.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        joined = above.join(least, F.col("a") == F.col("u"))
+        least = tables.save(above.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), f"{name}-{step}-small")
+        joined = above.join(_small(least), F.col("a") == F.col("u"))
         rest = joined.where("b != m").select(F.col("m").alias("b"), F.col("b").alias("a"))
         edges = tables.save(rest.union(least.select(F.col("m").alias("b"), F.col("u").alias("a"))).distinct(), f"{name}-{step}")
-        if step:
-            tables.remove(f"{name}-{step - 1}")
+        tables.remove(f"{name}-{step - 1}", f"{name}-{step}-large", f"{name}-{step}-small")
         ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if ends.where("up > 1 or up = 1 and down = 1").isEmpty():
