@@ -354,7 +354,7 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
       SELECT id, CASE WHEN is_dir AND rest = '' THEN l || CASE WHEN l > 'e' THEN '3' ELSE '2' END ELSE name END AS name,
              CASE WHEN l > 'e' THEN 'C:\moved\' || l || '3' ELSE 'C:\docs\' || l || '2' END
              || CASE WHEN rest = '' THEN '' ELSE '\' || rest END AS path FROM shifted
-      UNION ALL SELECT 20000000 + id, name, path FROM files WHERE id % 20 = 0""",
+      UNION ALL SELECT 20000000 + id, name, path FROM files""",
     "L6_move_bodies": _CATALOG + r"""SELECT CASE WHEN lang > 'e' THEN 'C:\moved\' || lang || '3' ELSE 'C:\docs\' || lang || '2' END
         || '\' || source || '\' || name AS path, length(text)::INT AS chars FROM named""",
     "A1_counts": _CATALOG + """SELECT (SELECT count(*) FROM cat) AS files, (SELECT count(*) FROM cat WHERE is_dir) AS directories,

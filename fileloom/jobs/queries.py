@@ -272,8 +272,7 @@ def _folder_renames(spark, folder):
     dirs = adapters.directories(table(spark, folder, "documents")).where("path rlike r'^C:.docs.[a-z]+$'")
     first = dirs.selectExpr("id - 10000000L as seq", "'rename' as kind", "id", "concat(name, '2') as name", r"concat(r'C:\docs\', name, '2') as path")
     again = dirs.where("name > 'e'").selectExpr("id - 9990000L", "'rename'", "id", "concat(name, '3')", r"concat(r'C:\moved\', name, '3')")
-    files = adapters.files(table(spark, folder, "documents")).where("id % 20 = 0")
-    new = files.selectExpr("20000L + id", "'create'", "20000000L + id", "name", "path")
+    new = adapters.files(table(spark, folder, "documents")).selectExpr("20000000L + id", "'create'", "20000000L + id", "name", "path")
     rows = first.union(again).union(new)
     return rows.selectExpr("seq", "kind", "id", "cast(null as bigint) as parent_id", "name", "path", "1L as size",
                            "timestamp'2024-01-01 00:00:00' as modified", "false as is_dir", "0 as attributes")

@@ -3,15 +3,17 @@ directories move everything below them, in the order in which they happen."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fileloom.schema import CATALOG
 from fileloom.sources.tables import cut
 
-#: Directory renames that fit into one literal array (at most some megabytes); more are joined.
-LITERAL_RENAMES = 2000
+#: Directory renames that each path may be held against one by one; more are joined on its folders.
+LITERAL_RENAMES = 100
+#: Old and new paths of joined renames that are broadcast, in bytes.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _last_by_id(changes: DataFrame) -> DataFrame:
@@ -48,35 +50,20 @@ def fold_changes(catalog: DataFrame, changes: DataFrame, keep_seq: bool = False)
     return both.select(*out)
 
 
-def _below(path: str, folder: str) -> bool:
-    return path.startswith((folder + "\\", folder + "/"))
-
-
-def _timeline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The renames of one volume's directories in order, each with the directory's path just before it. Rows: seq (0:
-    the catalog), kind, id, path."""
-    paths: dict[int, str] = {}
-    out = []
-    for seq, kind, i, path in sorted(zip(pdf["seq"], pdf["kind"], pdf["id"], pdf["path"], strict=True), key=lambda r: r[0]):
-        if kind == "delete":
-            paths.pop(i, None)
-        elif kind == "create":
-            paths[i] = path
-        elif i in paths:
-            old = paths[i]
-            if old != path:
-                out.append((seq, old, path))
-                for j, p in paths.items():
-                    if _below(p, old):
-                        paths[j] = path + p[len(old) :]
-            paths[i] = path
-    return pd.DataFrame(out, columns=["seq", "old", "new"])
+def _moved(path: Column, old: Column, new: Column) -> Column:
+    """The path if it lay below old, else null."""
+    below = F.startswith(path, F.concat(old, F.lit("\\"))) | F.startswith(path, F.concat(old, F.lit("/")))
+    return F.when(below, F.concat(new, F.substring(path, F.length(old) + 1, F.length(path))))
 
 
 def directory_renames(catalog: DataFrame, changes: DataFrame) -> DataFrame:
-    """seq, old, new for each rename of a directory, old as it was just before. Only directories that are renamed are
-    followed, one volume (the path's first component) in a task; only if a directory moves between volumes must one task
-    follow all of them."""
+    """seq, old, new for each rename of a directory, old as it was just before.
+
+    Only directories that are renamed are followed. What a directory's own last event says of its path is known from a
+    window over its id; renames of what it lies in, between that event and its own rename, move it like any other path.
+    Their old paths are found in the same way, so all are moved again until nothing changes: the first rename's is right
+    at once, and each other one's as soon as those that it depends on are, one round for each level of renamed
+    directories."""
     renamed = changes.where("kind = 'rename'").select("id").distinct()
     old = catalog.where("is_dir").join(renamed, "id", "left_semi")
     new = changes.where("kind = 'create' and is_dir").join(renamed, "id", "left_semi").select("id")
@@ -86,50 +73,82 @@ def directory_renames(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     # A file that is created under a directory's former id is no directory: it ends what the id stood for.
     kind = F.when((F.col("kind") == "create") & ~F.col("is_dir"), "delete").otherwise(F.col("kind"))
     rows = rows.union(log.select("seq", kind.alias("kind"), "id", "path"))
-    rows = rows.withColumn("volume", F.regexp_extract("path", r"\A[\\/]*[^\\/]+", 0))
-    by_id = rows.groupBy("id").agg(F.min("volume").alias("least"), F.max("volume").alias("most"))
-    if not by_id.where("least != most").isEmpty():
-        by_id = by_id.withColumn("least", F.lit(""))
-    rows = rows.drop("volume").join(by_id.select("id", F.coalesce("least", F.lit("")).alias("volume")), "id")
-    return rows.groupBy("volume").applyInPandas(_timeline, "seq long, old string, new string")
+    own = Window.partitionBy("id").orderBy("seq")
+    there = F.last(F.when(F.col("kind") != "rename", F.col("kind")), ignorenulls=True).over(own)
+    rows = rows.withColumns({"there": there, "since": F.lag("seq").over(own), "said": F.lag("path").over(own)})
+    rows = rows.where("kind = 'rename' and there = 'create'").select("seq", "since", "said", F.col("path").alias("new"))
+    rows = cut(rows.withColumn("old", F.col("said")))
+    if len(rows.limit(2).collect()) < 2:
+        return rows.where("old != new").select("seq", "old", "new")
+    while True:
+        again = rows.select("seq", "since", "said", "new", F.col("said").alias("old"), F.col("old").alias("before"))
+        rows = cut(move_below(again, rows.select("seq", "old", "new"), "old", "since", until="seq"))
+        if rows.where("old != before").isEmpty():
+            return rows.where("old != new").select("seq", "old", "new")
 
 
-def _moved(path: Column, old: Column, new: Column) -> Column:
-    """The path if it lay below old, else null."""
-    below = F.startswith(path, F.concat(old, F.lit("\\"))) | F.startswith(path, F.concat(old, F.lit("/")))
-    return F.when(below, F.concat(new, F.substring(path, F.length(old) + 1, F.length(path))))
+def _folders(path: Column) -> Column:
+    """The folders that a path lies in, from the outermost; null for none."""
+    parts = F.split(path, r"(?=[\\/])")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), ""))
+    return F.when(F.size(parts) > 1, folders)
 
 
-def move_below(rows: DataFrame, renames: DataFrame, path: str = "path", seq: str = "path_seq") -> DataFrame:
-    """rows with each path moved by all renames(seq, old, new) that are later than its own seq, in order."""
-    renames = cut(renames)
-    n = renames.count()
+def rows_below(rows: DataFrame, renames: DataFrame) -> DataFrame:
+    """Rows(id, path) that lie below a directory that is renamed."""
+    n, size = renames.agg(F.count("*"), F.sum(F.octet_length("old"))).first()
     if n <= LITERAL_RENAMES:
-        found = sorted((r.seq, r.old, r.new) for r in renames.collect())
-        if not found:
-            return rows
+        found = F.lit(False)
+        for r in renames.select("old").distinct().collect():
+            found = found | _moved(F.col("path"), F.lit(r.old), F.lit("")).isNotNull()
+        return rows.where(found)
+    old = renames.select("old").distinct()
+    old = F.broadcast(old) if size <= BROADCAST_BYTES else old
+    below = rows.select("id", F.explode(_folders(F.col("path"))).alias("old")).join(old, "old", "left_semi")
+    return rows.join(below.select("id").distinct(), "id", "left_semi")
+
+
+def _next_moves(paths: DataFrame, renames: DataFrame) -> DataFrame:
+    """Of paths(path, since, until, at, now) those that a rename later than now and earlier than until moves from at,
+    by the first such rename of any of their folders."""
+    seen = paths.select("*", F.explode(_folders(F.col("at"))).alias("old")).join(renames, "old")
+    seen = seen.where("seq > now and seq < until").groupBy("path", "since", "until", "at")
+    first = seen.agg(F.min(F.struct("seq", "old", "new")).alias("step"))
+    moved = _moved(F.col("at"), F.col("step.old"), F.col("step.new"))
+    return first.select("path", "since", "until", moved.alias("at"), F.col("step.seq").alias("now"))
+
+
+def move_below(rows: DataFrame, renames: DataFrame, path: str = "path", seq: str = "path_seq", until: str | None = None) -> DataFrame:
+    """rows with each path moved by all renames(seq, old, new) that are later than its own seq (and earlier than its
+    until), in order.
+
+    A few renames are a literal in one pass. Else paths meet the renames of their folders by an equi-join, to which the
+    renames are broadcast up to BROADCAST_BYTES; only paths that one has moved are written and meet them again, and what
+    becomes of these is joined to the rows."""
+    renames = renames.where("old != new").select("seq", "old", "new")
+    found = sorted(tuple(r) for r in renames.limit(LITERAL_RENAMES + 1).collect())
+    if not found:
+        return rows
+    end = F.lit(2**63 - 1) if until is None else F.col(until)
+    if len(found) <= LITERAL_RENAMES:
         steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o"), F.lit(w).alias("w")) for s, o, w in found])
-        steps = F.filter(steps, lambda r: r.s > F.col(seq))
+        steps = F.filter(steps, lambda r: (r.s > F.col(seq)) & (r.s < end))
         return rows.withColumn(
             path, F.aggregate(steps, F.col(path), lambda p, r: F.coalesce(_moved(p, r.o, r.w), p))
         )
-    # Many renames: each path meets the next rename of any of its folders by an equi-join, until none is left.
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_seq", F.col(seq))
-    rows = cut(rows)
-    while True:
-        parts = F.split(path, r"(?=[\\/])")
-        folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), ""))
-        folders = F.when(F.size(parts) > 1, folders)
-        seen = rows.select("_row", "_seq", F.explode(folders).alias("old")).join(renames.select(F.col("seq").alias("s"), "old", "new"), "old")
-        step = seen.where("s > _seq").groupBy("_row").agg(F.min(F.struct("s", "old", "new")).alias("step"))
-        step = cut(step.withColumnRenamed("_row", "s_row"))
-        if step.isEmpty():
-            return rows.drop("_row", "_seq")
-        rows = rows.join(step, F.col("_row") == F.col("s_row"), "left")
-        moved = F.coalesce(_moved(F.col(path), F.col("step.old"), F.col("step.new")), F.col(path))
-        rows = cut(
-            rows.withColumn(path, moved).withColumn("_seq", F.coalesce("step.s", "_seq")).drop("s_row", "step")
-        )
+    renames = cut(renames)
+    if renames.agg(F.sum(F.octet_length("old") + F.octet_length("new"))).first()[0] <= BROADCAST_BYTES:
+        renames = F.broadcast(renames)
+    paths = rows.select(F.col(path).alias("path"), F.col(seq).alias("since"), end.alias("until"))
+    step = cut(_next_moves(paths.select("*", F.col("path").alias("at"), F.col("since").alias("now")), renames))
+    moves = step
+    while not step.isEmpty():
+        step = cut(_next_moves(step, renames))
+        moves = moves.union(step)
+    last = moves.groupBy("path", "since", "until").agg(F.max_by("at", "now").alias("_at"))
+    last = last.select(F.col("path").alias("_path"), F.col("since").alias("_since"), F.col("until").alias("_until"), "_at")
+    met = (F.col(path) == F.col("_path")) & (F.col(seq) == F.col("_since")) & (end == F.col("_until"))
+    return rows.join(last, met, "left").withColumn(path, F.coalesce("_at", path)).drop("_path", "_since", "_until", "_at")
 
 
 def apply_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fileloom.functions.derive import with_derived
-from fileloom.operators.events import LITERAL_RENAMES, apply_changes, directory_renames
+from fileloom.operators.events import apply_changes, directory_renames, rows_below
 from fileloom.operators.postings import build_postings, write_postings
 from fileloom.schema import BODIES, CATALOG
 from fileloom.sources.tables import cut
@@ -118,16 +118,6 @@ class CatalogStore:
             self.write(version, seq, self.catalog(), self.bodies())
 
 
-def _below_any(renames: DataFrame) -> Column | None:
-    """Whether `path` lies below a directory that is renamed; None if there are more than fit into one condition."""
-    if renames.count() > LITERAL_RENAMES:
-        return None
-    found = F.lit(False)
-    for r in renames.select("old").distinct().collect():
-        found = found | F.col("path").startswith(r.old + "\\") | F.col("path").startswith(r.old + "/")
-    return found
-
-
 def apply_batch(
     store: CatalogStore,
     batch: DataFrame,
@@ -148,10 +138,9 @@ def apply_batch(
     ids = cut(batch.select("id").distinct())
     catalog = store.catalog().select(*CATALOG.names)
     # Only rows that changes name, or that lie below a renamed directory, take part.
-    below = _below_any(cut(directory_renames(catalog, batch)))
+    below = rows_below(catalog, cut(directory_renames(catalog, batch)))
     named = catalog.join(_small(ids), "id", "left_semi")
-    before = catalog if below is None else named.union(catalog.where(below).join(_small(ids), "id", "left_anti"))
-    before = cut(before)
+    before = cut(named.union(below.join(_small(ids), "id", "left_anti")))
     after = cut(apply_changes(before, batch))
     changed = before.select("id").union(ids).distinct()
 

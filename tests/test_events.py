@@ -81,6 +81,42 @@ def test_changes_match_a_replay(spark, seed, literal, monkeypatch):
     assert result(got) == replay(rows, log)
 
 
+def nested_case(seed):
+    """Four levels of directories, renamed again and again, also back to former names and to where they are."""
+    rng = random.Random(seed)
+    dirs = {1: r"C:\a", 2: r"C:\a\b", 3: r"C:\a\b\c", 4: r"C:\a\b\c\d", 5: r"D:\e", 6: r"D:\e\f"}
+    rows = [row(i, p, True) for i, p in dirs.items()] + [row(10 + i, p + r"\x", False) for i, p in dirs.items()]
+    log = []
+    for seq in range(1, 16):
+        state = replay(rows, log)
+        i = rng.choice(list(dirs))
+        own = state[i][1]
+        places = [p for _, p, d in state.values() if d and not (p + "\\").startswith(own + "\\")] + ["C:", "D:"]
+        new = own if rng.random() < 0.1 else rng.choice(places) + "\\" + rng.choice("abcdef")
+        if new == own or new not in {p for _, p, _ in state.values()}:
+            log.append(change(seq, "rename", i, new))
+    return rows, log
+
+
+@pytest.mark.parametrize("seed,literal,small", [(0, 100, True), (1, 100, True), (2, 0, True), (3, 0, False)])
+def test_nested_directory_renames_match_a_replay(spark, seed, literal, small, monkeypatch):
+    monkeypatch.setattr(events, "LITERAL_RENAMES", literal)
+    if not small:
+        monkeypatch.setattr(events, "BROADCAST_BYTES", -1)
+    rows, log = nested_case(seed)
+    catalog, changes = spark.createDataFrame(rows, CATALOG), spark.createDataFrame(log, CHANGES)
+    assert result(events.apply_changes(catalog, changes)) == replay(rows, log)
+    want = set()
+    for k, entry in enumerate(sorted(log)):
+        old = replay(rows, sorted(log)[:k])[entry[2]][1]
+        if old != entry[5]:
+            want.add((entry[0], old, entry[5]))
+    renames = events.directory_renames(catalog, changes)
+    assert {(r.seq, r.old, r.new) for r in renames.collect()} == want
+    below = {r.id for r in events.rows_below(catalog, renames).collect()}
+    assert below == {r[0] for r in rows if any(r[3].startswith(old + "\\") for _, old, _ in want)}
+
+
 def test_rename_keeps_the_rest_of_a_row(spark):
     catalog = spark.createDataFrame([(1, 7, "a", r"C:\a", 5, T0, False, 3)], CATALOG)
     log = spark.createDataFrame([change(1, "rename", 1, r"C:\b"), change(2, "rename", 2, r"C:\c")], CHANGES)
