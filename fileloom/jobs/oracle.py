@@ -343,11 +343,11 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
         WHERE n = 1 AND kind = 'create'
       ), moved AS (
         SELECT user_id, max(event_id) AS event_id, max_by(name, event_id) AS name FROM e WHERE kind = 'rename' GROUP BY user_id
-      ), half AS (SELECT (SELECT max(event_id) FROM e) // 2 AS middle)
+      )
       SELECT b.user_id AS id, CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS name,
              'C:\u\' || CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS path, b.ts AS modified,
-             CASE WHEN m.event_id > b.event_id AND (m.event_id <= middle) = (b.event_id <= middle) THEN NULL ELSE length(d.text) END::INT AS chars
-      FROM base b CROSS JOIN half LEFT JOIN moved m USING (user_id) LEFT JOIN documents d ON d.doc_id = b.user_id""",
+             length(d.text)::INT AS chars
+      FROM base b LEFT JOIN moved m USING (user_id) LEFT JOIN documents d ON d.doc_id = b.user_id""",
     "L2_J4_directory_renames": _CATALOG + r""", shifted AS (
         SELECT id, is_dir, name, string_split(path, '\')[3] AS l, array_to_string(string_split(path, '\')[4:], '\') AS rest FROM plain
       )

@@ -125,8 +125,9 @@ def apply_batch(
     extract: Callable[[DataFrame], DataFrame] | None = None,
     follow_renames: bool = False,
 ) -> None:
-    """Fold one micro-batch. extract: (path, body) of created files, which are then searched as well, whatever their
-    size or place. follow_renames: bodies go along with their files; else they stay under the path they were read from."""
+    """Fold one micro-batch. extract: (path, body) of created files (catalog columns), which are then searched as well,
+    whatever their size or place. follow_renames: bodies go along with their files; else they stay under the path they
+    were read from."""
     version, last = store.current()
     if batch_id + 1 <= version:
         return
@@ -144,14 +145,21 @@ def apply_batch(
     after = cut(apply_changes(before, batch))
     changed = before.select("id").union(ids).distinct()
 
+    last_deed = batch.where("kind != 'rename'").groupBy("id").agg(F.max_by(F.struct("kind", "is_dir"), "seq").alias("deed"))
+    made = cut(last_deed.where("deed.kind = 'create'").select("id", "deed.is_dir"))
+
     none = store.spark.createDataFrame([], BODIES)
     removed, bodies = none.select("path"), none
+    files = batch.where("kind = 'create' and not is_dir").select(*CATALOG.names)
     if follow_renames:
-        moves = before.select("id", "path").join(after.select("id", F.col("path").alias("new")), "id").where("path != new")
+        # A file that is created anew is another one, and is read where it lies after the batch.
+        files = after.join(_small(made.where("not is_dir")), "id", "left_semi")
+        moves = before.select("id", "path").join(_small(made), "id", "left_anti")
+        moves = moves.join(after.select("id", F.col("path").alias("new")), "id").where("path != new")
         moved = cut(store.bodies().join(_small(moves.select("path", "new")), "path").select("path", "new", "body"))
         removed, bodies = moved.select("path"), moved.select(F.col("new").alias("path"), "body")
     if extract is not None:
-        created = cut(extract(batch.where("kind = 'create' and not is_dir")).dropDuplicates(["path"]))
+        created = cut(extract(files).dropDuplicates(["path"]))
         bodies = bodies.join(created, "path", "left_anti").union(created.select("path", "body"))
     paths = removed.union(bodies.select("path")).distinct()
     store.write_part(batch_id + 1, last, changed, after, paths, bodies)

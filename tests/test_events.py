@@ -289,3 +289,23 @@ def test_a_watched_store_is_searched(spark, tmp_path):
     assert result(store.catalog()) == {1: ("e", r"C:\e", True), 2: ("plan.txt", r"C:\e\plan.txt", False)}
     (hit,) = run.search_store(store, "plan ext:txt", T0).collect()
     assert hit.path == r"C:\e\plan.txt" and hit.name_match
+
+
+@pytest.mark.parametrize("follow", [True, False])
+def test_bodies_of_files_created_anew_and_renamed_in_one_batch(spark, tmp_path, follow):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    catalog = spark.createDataFrame([row(1, r"C:\a.txt"), row(2, r"C:\d", True), row(3, r"C:\k.txt")], CATALOG)
+    store.write(0, -1, catalog, spark.createDataFrame([(r"C:\a.txt", "old"), (r"C:\k.txt", "kept")], "path string, body string"))
+    log = [
+        change(1, "create", 1, r"C:\b.txt", False), change(2, "rename", 1, r"C:\c.txt"), change(3, "rename", 3, r"C:\m.txt"),
+        change(4, "create", 4, r"C:\d\n.txt", False), change(5, "rename", 2, r"C:\e"),
+        change(6, "create", 5, r"C:\gone.txt", False), change(7, "delete", 5),
+    ]
+    extract = lambda files: files.selectExpr("path", "concat('read at ', path) as body")
+    apply_batch(store, spark.createDataFrame(log, CHANGES), 0, extract, follow_renames=follow)
+    got = {r.path: r.body for r in store.bodies().collect()}
+    if follow:
+        read, others = [r"C:\c.txt", r"C:\e\n.txt"], {r"C:\a.txt": "old", r"C:\m.txt": "kept"}
+    else:
+        read, others = [r"C:\b.txt", r"C:\d\n.txt", r"C:\gone.txt"], {r"C:\a.txt": "old", r"C:\k.txt": "kept"}
+    assert got == {p: f"read at {p}" for p in read} | others
