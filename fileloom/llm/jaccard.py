@@ -238,7 +238,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
     """A broadcast side only if its counted rows are within the bound."""
     return F.broadcast(df) if df.count() <= PICK_ROWS else df
 
@@ -255,11 +255,11 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
         # Large star: every neighbour above u goes to u's smallest neighbour, or u.
         both = edges.union(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        least = _small(tables.save(least, f"{name}-{step}-large"))
+        least = few(tables.save(least, f"{name}-{step}-large"))
         above = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("b"), F.col("b").alias("a"))
         # Small star: u and its smaller neighbours go to the smallest.
         least = tables.save(above.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), f"{name}-{step}-small")
-        joined = above.join(_small(least), F.col("a") == F.col("u"))
+        joined = above.join(few(least), F.col("a") == F.col("u"))
         rest = joined.where("b != m").select(F.col("m").alias("b"), F.col("b").alias("a"))
         edges = tables.save(rest.union(least.select(F.col("m").alias("b"), F.col("u").alias("a"))).distinct(), f"{name}-{step}")
         tables.remove(f"{name}-{step - 1}", f"{name}-{step}-large", f"{name}-{step}-small")
@@ -309,7 +309,7 @@ class _Grouping:
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
         """row, s: the whole sets of wanted(row, doc_id, th), made again from their texts."""
         size = self.how.words
-        wanted = _small(wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
+        wanted = few(wanted.select(F.col("row").alias("w_row"), F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
         own = F.col("doc_id").eqNullSafe(F.col("w_id"))
         texts = self.docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("w_th")) & own)
 
@@ -354,7 +354,7 @@ class _Grouping:
         if self.comps is None:
             self.comps = components(links, self.tables, f"{name}-stars")
             return True
-        known = _small(self.comps.select(F.col("node").alias("k_node"), F.col("comp").alias("k_comp")))
+        known = few(self.comps.select(F.col("node").alias("k_node"), F.col("comp").alias("k_comp")))
         for side in ("a", "b"):
             links = links.join(known, F.col(side) == F.col("k_node"), "left").withColumn(side, F.coalesce("k_comp", side)).select("a", "b")
         links = self.save(links.where("a != b").distinct(), f"{name}-new")
@@ -362,7 +362,7 @@ class _Grouping:
             return False
         more = components(links, self.tables, f"{name}-stars")
         further = more.select(F.col("node").alias("k_node"), F.col("comp").alias("k_comp"))
-        moved = self.comps.join(_small(further), F.col("comp") == F.col("k_node"), "left")
+        moved = self.comps.join(few(further), F.col("comp") == F.col("k_node"), "left")
         moved = moved.select("node", F.coalesce("k_comp", "comp").alias("comp")).union(more)
         self.comps = self.save(moved, f"{name}-components")
         return True
@@ -372,7 +372,7 @@ class _Grouping:
         if self.comps is None:
             found = members.withColumns({"c": F.col("row"), "h_c": F.col("h_row")})
         else:
-            found, own = members, _small(self.comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")))
+            found, own = members, few(self.comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")))
             for row, c in (("row", "c"), ("h_row", "h_c")):
                 found = found.join(own, F.col(row) == F.col("_node"), "left")
                 found = found.withColumn(c, F.coalesce("_comp", row)).drop("_node", "_comp")
@@ -451,7 +451,7 @@ def _labelled(docs: DataFrame, how: Similarity) -> DataFrame:
     work = _Grouping(docs, how)
     rows, comps = work.run()
     if comps is not None:
-        rows = rows.join(_small(comps), F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("comp", "group"))
+        rows = rows.join(few(comps), F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("comp", "group"))
     found = work.save(rows.select("row", "doc_id", "th", "n", F.col("group").alias("c")), "labelled")
     work.tables.remove("scanned", "groups", "representatives", "far")
     for shared in work.broadcasts:
@@ -471,7 +471,7 @@ def join_similar(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     # Only components of several rows have another's id. Written down, so that Spark can split the join of a large one.
     least = rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
     least = materialise(least.select(F.col("c").alias("l_c"), "least"), "least")
-    rows = rows.join(_small(least), F.col("c") == F.col("l_c"), "left")
+    rows = rows.join(few(least), F.col("c") == F.col("l_c"), "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -483,17 +483,17 @@ def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = rows.groupBy("c").agg(F.min(name).alias("first"), F.count("*").alias("many")).where("many > 1")
     first = materialise(first.select(F.col("c").alias("f_c"), "first"), "first")
-    gone = rows.join(_small(first), F.col("c") == F.col("f_c")).where(~name.eqNullSafe(F.col("first")))
+    gone = rows.join(few(first), F.col("c") == F.col("f_c")).where(~name.eqNullSafe(F.col("first")))
     # Rows that go, by id and text: few beside those that stay.
     gone = materialise(gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct(), "gone")
     on = F.col("_row.doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("_row.text") == F.col("g_th"))
-    out = docs.select(F.struct("*").alias("_row")).join(_small(gone), on, "left_anti")
+    out = docs.select(F.struct("*").alias("_row")).join(few(gone), on, "left_anti")
     # Equal rows are rare: only their texts are shuffled.
     again = rows.where("n > 0").groupBy("doc_id", "th").count().where("count > 1")
     if again.isEmpty():
         return out.select("_row.*")
     again = materialise(again.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")), "again")
     on = F.col("_row.doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("_row.text") == F.col("r_th"))
-    once = out.join(_small(again), on, "left_semi").withColumn("_th", F.xxhash64("_row.text"))
+    once = out.join(few(again), on, "left_semi").withColumn("_th", F.xxhash64("_row.text"))
     once = once.groupBy(F.col("_row.doc_id"), "_th").agg(F.first("_row").alias("_row")).select("_row")
-    return out.join(_small(again), on, "left_anti").union(once).select("_row.*")
+    return out.join(few(again), on, "left_anti").union(once).select("_row.*")

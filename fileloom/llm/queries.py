@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, jaccard, licenses, mixing, quality, rules, tokens, urls, warc
+from . import alignment, audit, decontam, html, jaccard, licenses, mixing, quality, rules, simhash, tokens, urls, warc
 from .common import UPPER, table
 
 
@@ -50,6 +50,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_prints(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP10_SQL = rf"""
@@ -232,6 +247,45 @@ FROM b
 """
 
 
+#: Every order applied to every document: its step that removes it is the first of its failing filters.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT rid, doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), f AS (
+  SELECT rid, doc_id, part, [
+           len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+           100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+           regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails
+  FROM m
+), l AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT f.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM g GROUP BY ALL
+), i AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM i a, i b, i c, i d, i e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT part, ks, s.k AS step, ks[s.k] AS f,
+         sum(CASE WHEN len(list_filter(ks[1:s.k], lambda x: fails[x])) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN fails[ks[s.k]] AND len(list_filter(ks[1:s.k - 1], lambda x: fails[x])) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN fails[ks[s.k]] AND len(list_filter(ks[1:s.k - 1], lambda x: fails[x])) > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails[ks[s.k]] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails[ks[s.k]] AND len(list_filter(ks[1:s.k - 1], lambda x: fails[x])) = 0 THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN fails[ks[s.k]] AND len(list_filter(ks[1:s.k - 1], lambda x: fails[x])) = 0 THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, o, i s GROUP BY part, ks, s.k
+)
+SELECT part, array_to_string(list_transform(ks, lambda x: substr('ABCDE', x::INT, 1)), '') AS filter_order, step::INT AS step,
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM s
+"""
+
+
 def _verdict_sql() -> str:
     measure = {
         "mean_word_chars": "(word_chars / n_words::DOUBLE)",
@@ -255,4 +309,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": OP7_SQL,
     "op9_warc": OP9_SQL,
     "op10_quality_rules": OP10_SQL.replace("{verdict}", _verdict_sql()),
+    "op13_filter_audit": OP13_SQL,
 }
