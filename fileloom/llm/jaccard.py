@@ -7,8 +7,9 @@ that these links form. A size-aware heavy-light join, exact (no sketches decide)
    and the measured mean list length.
 3. Large sets go into inverted lists on the shingles of a prefix, heavy shingles (long lists) last in the order. The
    smaller of two similar sets has a common shingle in its first (n - o + 1), so most shingles have no posting.
-4. A list is not expanded into pairs. Its members are first compared with one hub each; the links found are contracted
-   to components; only members outside the hub's component are then compared with the rest of their list.
+4. A list is not expanded into pairs. Lists without a member that may be the smaller of a similar pair are dropped. The
+   others' members are first compared with one hub each; the links found are contracted to components; pairs with a
+   member outside the hub's component are then formed of smaller and larger members alone, by ranges of sizes.
 5. In a long list that has such members, the sets are put into lists anew, in the order of their shingles' frequencies
    among them, over all their shingles and not the low ones alone: what sets a member apart then comes first, and the
    positional bound leaves out pairs that have too much of it.
@@ -292,14 +293,15 @@ class _Grouping:
         return self.broadcasts[-1]
 
     def members(self, postings: DataFrame, name: str) -> DataFrame:
-        """key, row, meta, h_row, h_meta, many of the lists of two members or more. The hub: of the members that may be
-        the smaller of a pair, else of all, the one with the fewest shingles before this, then the first."""
+        """key, row, meta, h_row, h_meta, many of the lists of two members or more, of which one may be the smaller of a
+        pair: without one (a shingle that is common among sets that all begin with rarer ones) a list has no link. The hub:
+        of those members, the one with the fewest shingles before this, then the first."""
         pos = f"least(shiftright(meta, 1) & {SUBSET}, 255L)"
         order = F.expr(f"shiftleft(1L - (meta & 1), 62) | shiftleft({pos}, 54) | row")
         lists = postings.groupBy("key").agg(
             F.count("*").alias("many"), F.min(order).alias("hub"), F.min_by("meta", order).alias("h_meta")
         )
-        lists = lists.where("many > 1").select("key", F.expr(f"hub & {(1 << 54) - 1}").alias("h_row"), "h_meta", "many")
+        lists = lists.where("many > 1 and (h_meta & 1) = 1").select("key", F.expr(f"hub & {(1 << 54) - 1}").alias("h_row"), "h_meta", "many")
         # Written down, so that Spark can split the join of a hot list.
         lists = self.save(lists, f"{name}-lists")
         found = self.save(postings.join(lists, "key"), name)
@@ -384,18 +386,24 @@ class _Grouping:
         return _ordered(members.where("row != h_row").select(x, y).where(_may_link("x", "y", self.how)))
 
     def rest_pairs(self, split: DataFrame) -> DataFrame:
-        """Members outside their hub's component with the others of the list that are in another component. A long list
-        is dealt out in parts of some PART members, and each outside member meets all of them."""
-        parts = F.ceil(F.col("many") / PART)
-        outside = split.where("out")
-        rest = split.where("row != h_row").join(outside.select("key").distinct(), "key", "left_semi")
-        x = outside.select(
-            "key", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), F.col("c").alias("x_c"), _unpacked("row", "meta").alias("x")
-        )
+        """Pairs of a list's members in different components, one of them outside the hub's. The smaller one of a similar
+        pair has the index role, so members with it (those outside, and those inside, which are to meet those outside
+        alone) are joined to members of at least their size, by ranges of sizes so wide that a partner's is the own or the
+        next. A long list is dealt out in parts of some PART members, and each smaller member meets all of them."""
+        parts = F.ceil(F.col("many") / PART).cast("int")
+        # A trifle wider than the largest ratio of sizes, so that rounding can't put a partner beyond the next range.
+        size = F.floor(F.log(F.shiftright("meta", 32).cast("double")) / float(np.log(100 / self.how.percent) * (1 + 1e-9)))
+        listed = split.where("row != h_row").withColumn("range", size.cast("int"))
+        places = F.explode(F.sequence(F.lit(0), 2 * parts - 1))
+        smaller = listed.where("(meta & 1) = 1").select("*", places.alias("place"))
+        smaller = smaller.select(
+            "key", F.expr("range + place % 2").alias("range"), F.expr("cast(place div 2 as int)").alias("part"), "out",
+            F.col("c").alias("x_c"), _unpacked("row", "meta").alias("x"),
+        )
         part = F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")
-        y = rest.select("key", part, F.col("c").alias("y_c"), "out", _unpacked("row", "meta").alias("y"))
-        pairs = x.join(y, ["key", "part"]).where("x_c != y_c and (not out or x.row < y.row)")
-        return _ordered(pairs.where(_may_link("x", "y", self.how)))
+        larger = listed.select("key", "range", part, "out", F.col("c").alias("y_c"), _unpacked("row", "meta").alias("y"))
+        pairs = [smaller.where(own).drop("out").join(larger.where(other).drop("out"), ["key", "range", "part"]) for own, other in (("out", "true"), ("not out", "out"))]
+        return _ordered(pairs[0].union(pairs[1]).where("x_c != y_c and x.n <= y.n").where(_may_link("x", "y", self.how)))
 
     def run(self) -> tuple[DataFrame, DataFrame | None]:
         how, tables = self.how, self.tables

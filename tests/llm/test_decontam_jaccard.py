@@ -167,3 +167,42 @@ def test_boundary_by_cost():
     assert jaccard.choose_boundary({}, 5) == 1
     assert jaccard.choose_boundary({8: 1000}, 30.0) == 9
     assert 10 < jaccard.choose_boundary({n: 100 for n in range(1, 41)}, 20.0) < 30
+
+
+def rest_candidates(spark, docs, monkeypatch):
+    """Rows of the joins that rest_pairs makes, before and after their bounds."""
+    found, own = [], jaccard._Grouping.rest_pairs
+
+    def counted(self, split):
+        pairs = own(self, split)
+        found.append(pairs.count())
+        return pairs
+
+    with monkeypatch.context() as m:
+        m.setattr(jaccard._Grouping, "rest_pairs", counted)
+        got = jaccard.join_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    return sum(found)
+
+
+def test_documents_of_a_template_that_never_link_make_no_pairs(spark, monkeypatch):
+    """Texts of which 92 % is the same and the rest is their own: shared shingles are in every set, and no pair is similar."""
+    rng = random.Random(2)
+    template = [f"t{rng.randrange(5000)}" for _ in range(276)]
+    docs = [(k, " ".join(template + [f"own{k}x{j}" for j in range(24 + k % 5)])) for k in range(260)]
+    few = rest_candidates(spark, docs[:90], monkeypatch)
+    assert few <= 90 and rest_candidates(spark, docs, monkeypatch) <= 3 * few + 260
+
+
+def test_sizes_at_the_edges_of_ranges(spark):
+    """Sets and their largest similar supersets, in lists that only some members are linked in."""
+    rng = random.Random(4)
+    docs = []
+    for n in [45, 63, 90, 99, 180, 450, 900]:
+        base = [f"b{n}x{j}" for j in range(n + 2)]
+        for copy in range(6):
+            docs.append((len(docs), " ".join(base + [f"e{n}x{copy}x{j}" for j in range(n // 9)]), "c"))
+            docs.append((len(docs), " ".join(base[: len(base) - copy % 3] + [rng.choice("pq")] * (copy % 2)), "c"))
+        docs.append((len(docs), " ".join(base + [f"far{n}x{j}" for j in range(n // 9 + 1)]), "c"))
+    got = [tuple(r) for r in jaccard.join_similar(spark.createDataFrame(docs, DOCS)).collect()]
+    assert sorted(got) == sorted(groups(docs))
