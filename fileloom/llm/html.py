@@ -12,6 +12,11 @@ A host has a wrapper for each kind of its pages (with <article>, with <main>, wi
 wrapper says where the articles are: in the deepest element that holds most of the text that varies and is not in links.
 Text within <article> or <main> counts twice there, and if such an element lies around or in the one found, it is the
 root. Where no element but the body holds the articles, the wrapper says which texts are the same on all pages.
+
+What is none of the article's is told by tags and roles, and by whole names of classes and ids. A name that only has such a
+word in it (`market-share`, `share-it`) says nothing alone: the wrapper decides, a text there goes if it is the same on
+all of the host's pages. An element that holds the page's <article> or <main> is kept whatever it is called, and a form if
+it holds most of the page.
 """
 
 from __future__ import annotations
@@ -42,13 +47,22 @@ SKIP = set(
     "dialog menu title audio video datalist".split()
 )
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words of a class or id that mark a block as not of the article.
-MARKS = set(
+#: Names of a class or id that mark a block as not of the article, and names that are put together of two words.
+COMMENTS = set("comment comments commentlist reply replies respond disqus".split())
+MARKS = COMMENTS | set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice "
-    "notices alert comment comments commentlist reply replies respond disqus share sharing social related recommended "
-    "newsletter subscribe signup login popup modal overlay pagination pager toolbar widget".split()
+    "notices alert share sharing social related recommended newsletter subscribe signup login popup modal overlay "
+    "pagination pager toolbar widget".split()
 )
+_PAIRS = [
+    ("site global top bottom primary secondary main left right footer header sidebar", "nav navbar menu navigation sidebar footer"),
+    ("site global", "header banner"), ("cookie cookies consent gdpr", "banner notice bar consent popup"),
+    ("related recommended", "posts articles links stories news"), ("share social sharing", "buttons bar links icons"),
+    ("comment comments", "list form section area thread wrapper"), ("ad ads advert", "container slot unit banner box wrapper"),
+    ("newsletter login signup search", "form signup box"), ("breadcrumb", "nav list"),
+]
+COMPOUNDS = {f"{a}-{b}" for first, second in _PAIRS for a in first.split() for b in second.split()}
 NEVER_SKIPPED = {"html", "body", "main", "article"}
 #: What markup says of a page, the surest first: its kind.
 KINDS = ("article", "main")
@@ -85,48 +99,94 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Element:
-    __slots__ = ("tag", "key", "skip", "parts", "parent", "depth")
+    """soft: skipped for its name alone, or as a form, so that what it holds may still be the article."""
+
+    __slots__ = ("tag", "key", "skip", "soft", "parts", "parent", "depth")
 
-    def __init__(self, tag: str, key: str, skip: bool, parent: Element | None):
-        self.tag, self.key, self.skip, self.parent, self.parts = tag, key, skip, parent, []
+    def __init__(self, tag: str, key: str, skip: bool, soft: bool, parent: Element | None):
+        self.tag, self.key, self.skip, self.soft, self.parent, self.parts = tag, key, skip, soft, parent, []
         self.depth = 0 if parent is None else parent.depth + 1
 
 
-def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool]:
-    """The element's key (tag and classes without digits), and whether it is none of the article's."""
+def _names(names: str) -> set[str]:
+    """Whole names, without a number at the end (`ad-2`, `comment_17`)."""
+    return {re.sub(r"[-_]?\d+\Z", "", n).replace("_", "-") for n in names.lower().split()}
+
+
+def _classify(tag: str, attrs: str, parent: Element) -> tuple[str, bool, bool]:
+    """The element's key (tag and classes without digits), whether it is none of the article's, and whether only softly."""
     if not attrs or attrs.isspace():
         found = {}
     else:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(re.split(r"[^a-z]+", names))
+    names = _names(f"{found.get('class', '')} {found.get('id', '')}")
     key = tag
     if found.get("class") and tag not in NEVER_SKIPPED:
         classes = sorted({c for c in re.split(r"[\s.+!#]+", found["class"]) if c and not any(map(str.isdigit, c))})
         key = ".".join([tag, *classes])
-    if tag in NEVER_SKIPPED and not (tag == "article" and words & {"comment", "comments", "reply"}):
-        return key, False
+    if tag in NEVER_SKIPPED and not (tag == "article" and names & {"comment", "comments", "reply"}):
+        return key, False, False
     in_article = False
-    if tag == "header" or "header" in words:
+    if tag == "header" or "header" in names:
         up = parent
         while up is not None and not in_article:
             in_article, up = up.tag == "article", up.parent
-    skip = (
-        tag in SKIP
+    hard = (
+        tag in SKIP - {"form"}
         or (tag == "header" and not in_article)
         or found.get("role", "").lower() in ROLES
-        or bool(words & MARKS and not (in_article and words & MARKS == {"header"}))
+        or bool(names & COMMENTS)
         or "hidden" in found
         or found.get("aria-hidden") == "true"
         or "display:none" in found.get("style", "").replace(" ", "").lower()
     )
-    return key, skip
+    marked = names & (MARKS | COMPOUNDS)
+    soft = tag == "form" or bool(marked and not (in_article and marked == {"header"}))
+    return key, hard or soft, soft and not hard
+
+
+def _weight(element: Element) -> int:
+    """Characters of text that is not in links, nor skipped below the element."""
+    chars = 0
+    for part in element.parts:
+        if isinstance(part, tuple):
+            chars += 0 if part[1] else len(part[0].strip())
+        elif not part.skip:
+            chars += _weight(part)
+    return chars
+
+
+def _soften(page: Element) -> None:
+    """Keeps elements that are softly skipped and hold the page's content: if no <article> or <main> stands elsewhere, those
+    around one; and a form that holds more text than all that is kept without it."""
+
+    def around(element: Element) -> bool:
+        holds = False
+        for part in element.parts:
+            if isinstance(part, Element) and (part.soft or not part.skip):
+                if part.tag in KINDS and not part.skip or around(part):
+                    part.skip, holds = False, True
+        return holds
+
+    def forms(element: Element) -> Iterator[Element]:
+        for part in element.parts:
+            if isinstance(part, Element):
+                if part.skip and part.soft and part.tag == "form":
+                    yield part
+                elif not part.skip:
+                    yield from forms(part)
+
+    if not _find(page, lambda e: e.tag in KINDS):
+        around(page)
+        for form in list(forms(page)):
+            if _weight(form) > _weight(page):
+                form.skip = False
 
 
 def parse(html: str) -> Element:
     """The tree of block elements; a part is an element or a pair (text, is it in a link). Inline elements are text, but
     for spans, which may be of a kind that is skipped."""
-    root = top = Element("#root", "#root", False, None)
+    root = top = Element("#root", "#root", False, False, None)
     at, links = 0, 0
     deep: list[Element] = []  # elements within an element that is DEEPEST, which takes their parts
 
@@ -135,7 +195,7 @@ def parse(html: str) -> Element:
             top.parts.append((html[at:end], links > 0))
 
     def border() -> None:
-        top.parts.append(Element("div", "div", False, top))
+        top.parts.append(Element("div", "div", False, False, top))
 
     n = len(html)
     while at < n:
@@ -190,11 +250,11 @@ def parse(html: str) -> Element:
                     top = up.parent
             while tag in ENDS_BEFORE.get(top.tag, ()):
                 top = top.parent
-            key, skip = _classify(tag, m[3], top)
-            found = Element(tag, key, skip, top)
+            found = Element(tag, *_classify(tag, m[3], top), top)
             top.parts.append(found)
             if tag not in VOID and not m[3].endswith("/"):
                 top, links = found, (0 if tag != "span" else links)
+    _soften(root)
     return root
 
 
@@ -357,10 +417,16 @@ def _by_tags(nodes: list) -> list:
     return list(found.values())
 
 
+def _doubtful(key: str) -> bool:
+    """Whether a class of the key has a word of MARKS in it."""
+    return any(MARKS & set(re.split(r"[^a-z]+", c.lower())) for c in _classes(key))
+
+
 def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
     """mark: the kind if the elements of that tag hold the articles, else null; root: keys from the page's top to the
-    element that holds them, [] for the whole page; same: _place of texts that all pages share, if the root is no narrower
-    than the body (within a narrower one all texts are kept)."""
+    element that holds them, [] for the whole page; same: _place of texts that all pages share and that go, by the path
+    from the page's top, or within the mark. These are all such texts if the root is no narrower than the body, and within
+    a narrower one those in elements whose names leave a doubt."""
     slots: list[tuple[tuple, int, bool, int, str | None]] = []
 
     def walk(nodes: list, path: tuple, marked: bool) -> None:
@@ -374,6 +440,16 @@ def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
                 walk(body, (*path, key), marked or key == kind)
 
     walk(wrapper, (), False)
+    shared = [text is not None and pages >= LEAST_PAGES and n >= pages for _, _, _, n, text in slots]
+
+    def doubts(under: tuple = (), cut: str = "") -> list[str]:
+        found = set()
+        for (path, _, _, _, text), all_pages in zip(slots, shared):
+            below = path[path.index(cut) + 1 :] if cut in path else path[len(under) :]
+            if all_pages and (cut in path if cut else path[: len(under)] == under) and any(map(_doubtful, below)):
+                found.add(_place(below if cut else path, text))
+        return sorted(found)
+
     fixed = [not marked and text is not None and pages >= LEAST_PAGES and n >= pages for _, _, marked, n, text in slots]
     varied = sum(chars for (_, chars, *_), f in zip(slots, fixed) if not f)
     if VARIES * varied < sum(chars for _, chars, *_ in slots):
@@ -399,8 +475,8 @@ def content_rule(wrapper: list, pages: int, kind: str = "") -> dict:
         or not any(marked for _, _, marked, *_ in slots)
         or any(marked and path[: len(root)] == root for path, _, marked, *_ in slots)
     ):
-        return {"mark": kind, "root": [], "same": []}
-    same = {_place(path, text) for (path, _, _, _, text), f in zip(slots, fixed) if f} if whole else ()
+        return {"mark": kind, "root": [], "same": doubts(cut=kind)}
+    same = {_place(path, text) for (path, _, _, _, text), f in zip(slots, fixed) if f} if whole else doubts(root)
     return {"mark": None, "root": list(root), "same": sorted(same)}
 
 

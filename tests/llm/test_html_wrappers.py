@@ -117,3 +117,116 @@ def test_blocks_that_repeat_on_flat_pages_against_brute_force(spark):
     rows = [(k, f"http://flat.example.org/{k}", "<body>" + "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks)) + "</body>") for k, blocks in pages.items()]
     everywhere = set.intersection(*(set(b) for b in pages.values()))
     assert extract(spark, rows) == {k: "\n\n".join(b for b in blocks if b not in everywhere) for k, blocks in pages.items()}
+
+
+def test_articles_inside_elements_of_any_name(spark):
+    """Layouts whose names have a word of the skipped kinds in them, forms around whole pages, and such names inside."""
+    inside = {
+        "p": ["market-share", "ad-hoc", "widget-theory"], "section": ["social-history"], "h2": ["related-work"], "div": ["comment-on-policy", "notice-period"],
+    }
+    blocks = [f'<{tag} {"id" if tag in ("h2", "div") else "class"}="{name}">About {name}</{tag}>' for tag, names in inside.items() for name in names]
+    article = "<article><h1>Title {0}</h1><p>Body {0}</p>" + "".join(blocks) + '<div class="ad">Buy</div><section class="comments"><p>First!</p></section></article>'
+    around = [
+        '<div class="layout with-sidebar">{}</div>', '<div class="header-fixed">{}</div>', '<div class="content no-sidebar">{}</div>', '<form id="aspnetForm"><select><option>x</select>{}</form>',
+        '<div class="sidebar">{}</div>', '<div class="widget"><form class="search">{}</form></div>', "{}",
+    ]
+    want = [f"About {name}" for names in inside.values() for name in names]
+    rows = [(k, f"http://h{k}.example.org/", "<body><nav>Menu</nav>" + a.format(article.format(k)) + "<footer>F</footer></body>") for k, a in enumerate(around)]
+    got = extract(spark, rows)
+    for k in range(len(around)):
+        assert got[k].split("\n\n") == [f"Title {k}", f"Body {k}", *want]
+    # The same names on a host of many pages, where they vary.
+    many = [(k, f"http://many.example.org/{k}", f'<body><form id="f"><main><p>Text {k}</p><p class="market-share">Share of {k}</p><div class="share-it"><p>Tell friends</p></div></main></form></body>') for k in range(5)]
+    got = extract(spark, many)
+    assert got[3] == "Text 3\n\nShare of 3"
+    # Two pages say nothing about what is the same on all.
+    assert extract(spark, many[:2])[1] == "Text 1\n\nShare of 1\n\nTell friends"
+
+
+def test_forms_and_teasers_stay_out(spark):
+    pages = [
+        ("<body><form><label>Your name</label></form><div><p>The article itself is longer than the form</p></div></body>", "The article itself is longer than the form"),
+        ("<body><form id=all><p>The page is in a form, with much text</p><button>Go</button></form><p>And a tail, not short</p></body>", "The page is in a form, with much text\n\nAnd a tail, not short"),
+        ('<body><div class="sidebar"><article>Teaser</article></div><main><p>Main</p></main></body>', "Main"),
+        ('<body><section id="comments"><article><p>I agree</p></article></section><p>Story</p></body>', "Story"),
+        ('<body><article class="comment_12"><p>Me too</p></article><p>Story</p></body>', "Story"),
+        ("<body><aside><article>Elsewhere</article></aside><p>Story</p></body>", "Story"),
+        ('<body><article><header class="header"><h1>T</h1></header><p class="Ad_3">Buy</p><p class="related-posts">R</p>x</article></body>', "T\n\nx"),
+    ]
+    got = extract(spark, [(k, f"http://p{k}.example.org/", h) for k, (h, _) in enumerate(pages)])
+    assert [got[k] for k in range(len(pages))] == [t for _, t in pages]
+
+
+def plain_blocks(page):
+    """The blocks of a well-formed page by another parser: text inside <article>, outside blocks that a list of tags,
+    roles and whole names rules out."""
+    from html.parser import HTMLParser
+
+    out, open_tags = [], []
+    void, inline = {"br", "img", "hr"}, {"b", "a", "i", "em", "span", "br", "img"}
+    tags, names = {"nav", "footer", "aside", "form", "script", "style", "select", "head"}, {"ad", "comments", "sidebar", "cookie-banner", "promo"}
+
+    class Parser(HTMLParser):
+        text = ""
+
+        def end_block(self):
+            if self.text.split():
+                out.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in inline:
+                self.end_block()
+            elif tag == "br":
+                self.text += " "
+            if tag not in void:
+                given = dict(attrs)
+                gone = tag in tags or bool(names & set((given.get("class") or "").split())) or given.get("role") == "search" or "hidden" in given
+                open_tags.append((tag, gone))
+
+        def handle_endtag(self, tag):
+            if tag not in inline:
+                self.end_block()
+            open_tags.pop()
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in open_tags) and not any(gone for _, gone in open_tags):
+                self.text += data
+
+    parser = Parser(convert_charrefs=True)
+    parser.feed(page)
+    parser.end_block()
+    return "\n\n".join(out)
+
+
+def test_random_pages_against_another_parser(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["sea", "sky &amp; land", "a &lt; b", "caf&eacute;", "x&#233;y", "&nbsp;", "two  spaces", "1 &gt; 0\n"]
+
+    def inline(depth=0):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+        kind = rng.choice(["", "", "b", "a", "i", "br"])
+        return text if not kind or depth > 2 else f"{text} <br> {text}" if kind == "br" else f"<{kind}>{inline(depth + 1)}</{kind}> {text}"
+
+    def block(depth):
+        tag = rng.choice(["p", "p", "div", "section", "ul", "h2", "blockquote", "nav", "aside", "form", "script"])
+        attrs = rng.choice(["", "", "", ' class="ad"', ' class="with-sidebar wide"', ' class="ad-hoc"', ' role="search"', " hidden", ' class="promo x"', ' class="lead"', ' id="q7"'])
+        if tag == "script":
+            return "<script>var a = 1;</script>"
+        if tag == "ul":
+            return f"<ul{attrs}>" + "".join(f"<li>{inline()}</li>" for _ in range(rng.randrange(1, 4))) + "</ul>"
+        if tag in ("p", "h2") or depth > 3:
+            return f"<{'p' if depth > 3 else tag}{attrs}>{inline()}</{'p' if depth > 3 else tag}>"
+        return f"<{tag}{attrs}>" + "".join(block(depth + 1) for _ in range(rng.randrange(1, 4))) + f"</{tag}>"
+
+    rows = []
+    for k in range(150):
+        article = f"<article><h1>{inline()} {k}</h1>" + "".join(block(0) for _ in range(rng.randrange(1, 7))) + f"<p>End {k}.</p></article>"
+        around = rng.choice(["{}", '<div class="no-sidebar">{}</div>', '<div id="header-fixed"><div>{}</div></div>'])
+        page = f"<html><head><title>t {k}</title></head><body><nav><a>Home</a></nav>{around.format(article)}<div>More</div><footer>F {k}</footer></body></html>"
+        rows.append((k, f"http://r{rng.randrange(90)}.example.org/{k}", page))
+    got = extract(spark, rows)
+    for k, _, page in rows:
+        assert got[k] == plain_blocks(page), page
