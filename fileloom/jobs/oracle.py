@@ -292,6 +292,26 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
         SELECT row_number() OVER (ORDER BY path) AS id, name, path, is_dir, regexp_extract(path, '^(.*)\\[^\\]+$', 1) AS up FROM plain)
         SELECT n.id, p.id AS parent_id, n.name, n.path, n.is_dir, CASE WHEN n.is_dir THEN 16 ELSE 0 END::INT AS attributes
         FROM n LEFT JOIN n p ON n.up = p.path""",
+    # Row by row, with what is at each path so far (0: nothing) as a list.
+    "S7_J3_L3_watcher_feed": r"""WITH RECURSIVE e AS (
+        SELECT event_id AS seq, user_id::INT AS a, ((user_id * 7 + event_id) % 150)::INT AS b,
+               CASE event_type WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
+               row_number() OVER (ORDER BY event_id) AS n,
+               CASE WHEN event_type IN ('signup', 'click') THEN row_number() OVER (PARTITION BY event_type IN ('signup', 'click') ORDER BY event_id) END AS new_id
+        FROM events WHERE event_type <> 'view'
+      ), r AS (
+        SELECT 0::BIGINT AS n, list_transform(range(0, greatest((SELECT max(a) FROM e), 150) + 1), lambda x: 0::BIGINT) AS held, 0::BIGINT AS id
+        UNION ALL
+        SELECT e.n,
+               CASE kind WHEN 'create' THEN list_transform(held, lambda x, i: CASE WHEN i = a + 1 THEN new_id ELSE x END)
+                         WHEN 'delete' THEN list_transform(held, lambda x, i: CASE WHEN i = a + 1 THEN 0 ELSE x END)
+                         ELSE CASE WHEN held[a + 1] = 0 THEN held ELSE list_transform(held, lambda x, i: CASE WHEN i = b + 1 THEN held[a + 1] WHEN i = a + 1 THEN 0 ELSE x END) END END,
+               CASE WHEN kind = 'create' THEN new_id ELSE held[a + 1] END
+        FROM r JOIN e ON e.n = r.n + 1
+      )
+      SELECT seq, kind, id, CASE WHEN kind <> 'delete' THEN CASE kind WHEN 'create' THEN a ELSE b END || '.txt' END AS name,
+             CASE WHEN kind <> 'delete' THEN 'C:\w\' || CASE kind WHEN 'create' THEN a ELSE b END || '.txt' END AS path
+      FROM r JOIN e USING (n) WHERE id > 0""",
     "S7_L3_watched_directories": r"""WITH c AS (
         SELECT *, 'n' || c_nationkey || '\c' || c_custkey AS own, c_custkey % 2 = 0 AS asks_old, c_nationkey % 6 = 0 AS is_moved,
                c_custkey % 5 AS k FROM customer

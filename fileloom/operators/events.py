@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fileloom.operators.folders import FolderNames, moved_path
 from fileloom.schema import CATALOG
 from fileloom.sources.tables import cut
 
-#: Directory renames that each path may be held against one by one; more are joined on its folders.
-LITERAL_RENAMES = 100
+#: Directory renames that each path may be held against one by one; those whose versions of folder names each task may
+#: have (within BROADCAST_BYTES of paths); more are joined on each path's folders.
+LITERAL_RENAMES, MOST_RENAMES = 100, 100_000
 #: Old and new paths of joined renames that are broadcast, in bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -87,7 +89,7 @@ def directory_renames(catalog: DataFrame, changes: DataFrame) -> DataFrame:
             return rows.where("old != new").select("seq", "old", "new")
 
 
-def _folders(path: Column) -> Column:
+def folders(path: Column) -> Column:
     """The folders that a path lies in, from the outermost; null for none."""
     parts = F.split(path, r"(?=[\\/])")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), ""))
@@ -104,14 +106,14 @@ def rows_below(rows: DataFrame, renames: DataFrame) -> DataFrame:
         return rows.where(found)
     old = renames.select("old").distinct()
     old = F.broadcast(old) if size <= BROADCAST_BYTES else old
-    below = rows.select("id", F.explode(_folders(F.col("path"))).alias("old")).join(old, "old", "left_semi")
+    below = rows.select("id", F.explode(folders(F.col("path"))).alias("old")).join(old, "old", "left_semi")
     return rows.join(below.select("id").distinct(), "id", "left_semi")
 
 
 def _next_moves(paths: DataFrame, renames: DataFrame) -> DataFrame:
     """Of paths(path, since, until, at, now) those that a rename later than now and earlier than until moves from at,
     by the first such rename of any of their folders."""
-    seen = paths.select("*", F.explode(_folders(F.col("at"))).alias("old")).join(renames, "old")
+    seen = paths.select("*", F.explode(folders(F.col("at"))).alias("old")).join(renames, "old")
     seen = seen.where("seq > now and seq < until").groupBy("path", "since", "until", "at")
     first = seen.agg(F.min(F.struct("seq", "old", "new")).alias("step"))
     moved = _moved(F.col("at"), F.col("step.old"), F.col("step.new"))
@@ -122,9 +124,10 @@ def move_below(rows: DataFrame, renames: DataFrame, path: str = "path", seq: str
     """rows with each path moved by all renames(seq, old, new) that are later than its own seq (and earlier than its
     until), in order.
 
-    A few renames are a literal in one pass. Else paths meet the renames of their folders by an equi-join, to which the
-    renames are broadcast up to BROADCAST_BYTES; only paths that one has moved are written and meet them again, and what
-    becomes of these is joined to the rows."""
+    A few renames are a literal, and up to MOST_RENAMES (or BROADCAST_BYTES of them) versions of folder names that are
+    broadcast: one pass over the rows, however often a path is moved. Beyond, paths meet the renames of their folders by
+    an equi-join; only paths that one has moved are written and meet them again, and what becomes of these is joined to
+    the rows."""
     renames = renames.where("old != new").select("seq", "old", "new")
     found = sorted(tuple(r) for r in renames.limit(LITERAL_RENAMES + 1).collect())
     if not found:
@@ -137,7 +140,11 @@ def move_below(rows: DataFrame, renames: DataFrame, path: str = "path", seq: str
             path, F.aggregate(steps, F.col(path), lambda p, r: F.coalesce(_moved(p, r.o, r.w), p))
         )
     renames = cut(renames)
-    if renames.agg(F.sum(F.octet_length("old") + F.octet_length("new"))).first()[0] <= BROADCAST_BYTES:
+    many, size = renames.agg(F.count("*"), F.sum(F.octet_length("old") + F.octet_length("new"))).first()
+    if many <= MOST_RENAMES and size <= BROADCAST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast(FolderNames(tuple(r) for r in renames.collect()))
+        return rows.withColumn(path, moved_path(shared, F.col(path), F.col(seq), end))
+    if size <= BROADCAST_BYTES:
         renames = F.broadcast(renames)
     paths = rows.select(F.col(path).alias("path"), F.col(seq).alias("since"), end.alias("until"))
     step = cut(_next_moves(paths.select("*", F.col("path").alias("at"), F.col("since").alias("now")), renames))

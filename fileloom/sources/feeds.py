@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fileloom.functions.derive import last_component
-from fileloom.operators.events import apply_changes
+from fileloom.operators import events
+from fileloom.operators.folders import FolderNames, location_of
 from fileloom.schema import CHANGES
 from fileloom.sources.listing import numbered
 from fileloom.sources.tables import cut
 
 #: Reason bits.
 CREATE_BIT, DELETE_BIT, RENAME_NEW_BIT = 0x100, 0x200, 0x2000
+#: Places that rows of a batch ask for and that may be broadcast to the catalog (some 50 MB); more are joined by a shuffle.
+ASKED_ROWS = 200_000
 
 
 def _change(df: DataFrame, **columns: Column) -> DataFrame:
@@ -35,29 +38,30 @@ def journal_changes(rows: DataFrame) -> DataFrame:
 
 
 def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
-    """For each delete and rename what is at its path then: `from`, the row that put it there, or id, by the catalog. else:
-    whether, if that row put nothing there after all, something earlier may be there."""
-    # What a row does to a path: puts there (the row's own seq), or takes away (null); turn -1 asks what is there.
-    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("path", "seq", "-1 as turn", "cast(null as bigint) as put")
-    deeds = deeds.union(deeds.selectExpr("path", "seq", "0", "put"))
-    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_path", "seq", "1", "seq"))
-    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("path", "seq", "1", "seq"))
-    earlier = Window.partitionBy("path").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    """For each delete and rename what is at its place then: `from`, the row that put it there, or id, by the catalog.
+    else: whether, if that row put nothing there after all, something earlier may be there."""
+    # What a row does to a place: puts there (the row's own seq), or takes away (null); turn -1 asks what is there.
+    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("at", "seq", "-1 as turn", "cast(null as bigint) as put")
+    deeds = deeds.union(deeds.selectExpr("at", "seq", "0", "put"))
+    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_at", "seq", "1", "seq"))
+    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("at", "seq", "1", "seq"))
+    earlier = Window.partitionBy("at").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
     deed = F.when(F.col("turn") >= 0, F.struct("put"))
     taken = F.count(F.when((F.col("turn") == 0) & F.col("put").isNull(), 1))
     deeds = deeds.withColumns({"last": F.last(deed, ignorenulls=True).over(earlier), "taken": taken.over(earlier)})
-    since = Window.partitionBy("path", "taken").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    since = Window.partitionBy("at", "taken").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
     asked = deeds.withColumn("puts", F.count("put").over(since)).where("turn = -1")
-    return asked.join(here, "path", "left").select(
+    return asked.join(here, "at", "left").select(
         "seq",
         F.col("last.put").alias("from"),
-        F.when(F.col("last").isNull(), F.col("old_id")).alias("id"),
-        F.expr("puts > 1 or taken = 0 and old_id is not null").alias("else"),
+        F.when(F.col("last").isNull(), F.col("old.id")).alias("id"),
+        F.when(F.col("last").isNull(), F.col("old.is_dir")).alias("dir"),
+        F.expr("puts > 1 or taken = 0 and old is not null").alias("else"),
     )
 
 
 def _void(asked: DataFrame) -> DataFrame:
-    """seq of rows that ask for a path where nothing is, or where only such a row would have put something."""
+    """seq of rows that ask for a place where nothing is, or where only such a row would have put something."""
     links = asked.selectExpr("seq", "if(`else`, null, `from`) as to", "`from` is null and id is null as void")
     while not links.where("to is not null and not void").isEmpty():
         step = links.selectExpr("seq as p_seq", "to as p_to", "void as p_void")
@@ -66,9 +70,9 @@ def _void(asked: DataFrame) -> DataFrame:
     return links.where("void").select("seq")
 
 
-def _segment_changes(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    """Changes of rows after whose directory renames nothing follows. ids(seq, new_id): of the creations."""
-    here = catalog.groupBy("path").agg(F.min("id").alias("old_id"))
+def _resolved(rows: DataFrame, here: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with id and dir of what each is about (whether it is a directory); rows that are about nothing are left out.
+    ids(seq, new_id): of the creations; here(at, old): what the catalog has at a place."""
     while True:
         asked = cut(_asked(rows, here))
         # A void row does nothing, and what it would have put elsewhere is not there.
@@ -77,17 +81,22 @@ def _segment_changes(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> Dat
             break
         rows = cut(rows.join(void, "seq", "left_anti"))
     # from: the row whose file this is; a creation is its own.
-    created = rows.where("kind = 'create'").join(ids, "seq").selectExpr("seq", "cast(null as bigint) as `from`", "new_id as id")
-    links = asked.select("seq", "from", "id").unionByName(created)
+    created = rows.where("kind = 'create'").join(ids, "seq")
+    created = created.selectExpr("seq", "cast(null as bigint) as `from`", "new_id as id", "coalesce(is_dir, false) as dir")
+    links = asked.select("seq", "from", "id", "dir").unionByName(created)
     while not links.where("id is null and `from` is not null").isEmpty():
-        step = links.select(F.col("seq").alias("p_seq"), F.col("from").alias("p_from"), F.col("id").alias("p_id"))
+        step = links.select(F.col("seq").alias("p_seq"), *[F.col(c).alias(f"p_{c}") for c in ("from", "id", "dir")])
         links = links.join(step, F.col("from") == F.col("p_seq"), "left").select(
             "seq",
             F.when(F.col("id").isNull() & F.col("p_id").isNull(), F.col("p_from")).alias("from"),
             F.coalesce("id", "p_id").alias("id"),
+            F.coalesce("dir", "p_dir").alias("dir"),
         )
         links = cut(links)
-    rows = rows.join(links.select("seq", "id"), "seq").where("id is not null")
+    return cut(rows.join(links.select("seq", "id", "dir"), "seq").where("id is not null"))
+
+
+def _as_changes(rows: DataFrame) -> DataFrame:
     made = lambda c: F.when(F.col("kind") == "create", c)
     path = F.when(F.col("kind") == "rename", F.col("new_path")).when(F.col("kind") == "create", F.col("path"))
     return _change(
@@ -97,33 +106,77 @@ def _segment_changes(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> Dat
     )
 
 
-def next_directory_rename(rows: DataFrame, catalog: DataFrame) -> int | None:
-    """The seq of the first row after which paths mean something else: a rename that the watcher marks as of a directory,
-    or of a path at which the catalog or the batch has one."""
-    dirs = catalog.where("is_dir").select("path").union(rows.where("kind = 'create' and is_dir").select("path"))
-    renames = rows.where("kind = 'rename'")
-    marked = renames.where("is_dir").select("seq").union(renames.join(dirs.distinct(), "path", "left_semi").select("seq"))
-    return marked.agg(F.min("seq")).first()[0]
+def _renames(rows: DataFrame, wanted: str) -> list[tuple[int, str, str]]:
+    """The first MOST_RENAMES renames of rows that are wanted, and one more if there are more."""
+    found = rows.where("kind = 'rename' and path != new_path").where(wanted).select("seq", "path", "new_path")
+    return [tuple(r) for r in found.orderBy("seq").limit(events.MOST_RENAMES + 1).collect()]
+
+
+def _first_cover(names: FolderNames, rows: DataFrame, catalog: DataFrame) -> int | None:
+    """The seq of the first rename onto a directory in which something is then: from there on a path may lead to either."""
+    if not names.covered:
+        return None
+    spaces = rows.sparkSession.createDataFrame(names.covered, "cover long, space string")
+    deeds = rows.where("kind != 'create'").selectExpr("at as place", "seq", "0 as turn", "false as there")
+    puts = rows.where("kind = 'create'").selectExpr("at as place", "seq", "1 as turn", "true as there")
+    puts = puts.union(rows.where("kind = 'rename'").selectExpr("new_at", "seq", "1", "true"))
+    held = catalog.selectExpr("path as place", "cast(null as bigint) as seq").union(puts.select("place", "seq"))
+    held = held.select("*", F.explode(events.folders(F.col("place"))).alias("space")).join(F.broadcast(spaces), "space")
+    held = held.where("seq is null or seq < cover").select("cover", "place").distinct()
+    since = deeds.union(puts).withColumnRenamed("place", "d_place")
+    since = held.join(since, (F.col("place") == F.col("d_place")) & (F.col("seq") < F.col("cover")), "left")
+    last = since.groupBy("cover", "place").agg(F.max_by("there", F.struct("seq", "turn")).alias("there"))
+    return last.where("coalesce(there, true)").agg(F.min("cover")).first()[0]
+
+
+def _piece(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> tuple[DataFrame, int | None]:
+    """The rows that do something, resolved, up to the seq at which the batch has to be cut (null: all of them)."""
+    context = rows.sparkSession.sparkContext
+    known, end = _renames(rows, "is_dir"), None
+    while True:
+        if len(known) > events.MOST_RENAMES:
+            end = known[events.MOST_RENAMES - 1][0]
+            known, rows = known[: events.MOST_RENAMES], rows.where(F.col("seq") <= end)
+        names = FolderNames(known)
+        shared = context.broadcast(names)
+        before = F.col("seq") - 1
+        placed = rows.withColumns({"at": location_of(shared, F.col("path"), before), "new_at": location_of(shared, F.col("new_path"), F.col("seq"))})
+        placed = cut(placed)
+        wanted = placed.where("kind != 'create'").select("at").distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= ASKED_ROWS else wanted
+        here = catalog.select(F.col("path").alias("at"), "id", "is_dir").join(wanted, "at", "left_semi")
+        here = cut(here.groupBy("at").agg(F.min(F.struct("id", "is_dir")).alias("old")))
+        found = _resolved(placed, here, ids)
+        dirs = _renames(found, "dir")
+        if dirs == known:
+            break
+        known = dirs
+    covered = _first_cover(names, found, catalog)
+    end = covered if covered is not None else end
+    return (found if end is None else found.where(F.col("seq") <= end)), end
 
 
 def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataFrame:
     """Changes of a watcher batch: creations get the ids from first_id on in the order of seq; deletes and renames the id
     that is at their path then, or are dropped; modifications and renames to nowhere are dropped.
 
-    What is at a path is decided by the last earlier row that put something there (a creation, or a rename to it) or
-    took it away, else by the catalog. A file that is renamed again and again is followed to its creation by pointer
-    doubling, and so are rows that depend on one that does nothing. Of several catalog rows with a path the smallest id
-    counts. After a rename of a directory what was below it has other paths: the batch is cut there, and what follows
-    meets the catalog with all changes so far. So a batch takes a pass over the changed catalog for each such rename, which
-    are few in a batch."""
+    Paths mean something else after each rename of a directory. They are translated to locations that stay (FolderNames)
+    by the batch's directory renames, which are taken from the watcher's own marks first, and then from what was found at
+    their paths, until both agree: one round more for each level of renamed directories that the watcher has not marked,
+    however many renames there are. At a location, what is there is decided by the last earlier row that put something
+    there (a creation, or a rename to it) or took it away, else by the catalog. A file that is renamed again and again is
+    followed to its creation by pointer doubling, and so are rows that depend on one that does nothing. Of several catalog
+    rows with a path the smallest id counts.
+
+    The batch is cut, and what follows meets the catalog with all changes so far, only after MOST_RENAMES directory
+    renames, and after a rename onto a directory in which something still is, where a path may lead to either."""
     rows = cut(rows.where("kind != 'modify' and (kind != 'rename' or new_path is not null)"))
     ids = cut(numbered(rows.where("kind = 'create'").select("seq"), "seq", first_id).withColumnRenamed("id", "new_id"))
     found = None
     while True:
-        seq = next_directory_rename(rows, catalog)
-        part = _segment_changes(rows if seq is None else rows.where(F.col("seq") <= seq), catalog, ids)
-        if seq is None:
-            return part if found is None else found.unionByName(part)
-        part = cut(part)
-        catalog, rows = cut(apply_changes(catalog, part)), rows.where(F.col("seq") > seq)
+        part, end = _piece(rows, catalog, ids)
+        part = _as_changes(part)
         found = part if found is None else found.unionByName(part)
+        if end is None:
+            return found
+        catalog, rows = cut(events.apply_changes(catalog, cut(part))), rows.where(F.col("seq") > end)

@@ -7,6 +7,7 @@ import pytest
 
 from fileloom.jobs import run
 from fileloom.operators import events, hierarchy
+from fileloom.operators.folders import FolderNames
 from fileloom.schema import CATALOG, CHANGES, NODES, USN, WATCHER
 from fileloom.sources import feeds
 from fileloom.streaming.catalog_stream import CatalogStore, apply_batch, follow_changes
@@ -73,9 +74,10 @@ def random_case(seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("literal", [2000, 0])
-def test_changes_match_a_replay(spark, seed, literal, monkeypatch):
+@pytest.mark.parametrize("literal,most", [(2000, 0), (0, 2000), (0, 0)])
+def test_changes_match_a_replay(spark, seed, literal, most, monkeypatch):
     monkeypatch.setattr(events, "LITERAL_RENAMES", literal)
+    monkeypatch.setattr(events, "MOST_RENAMES", most)
     rows, log = random_case(seed)
     got = events.apply_changes(spark.createDataFrame(rows, CATALOG), spark.createDataFrame(log, CHANGES))
     assert result(got) == replay(rows, log)
@@ -98,10 +100,28 @@ def nested_case(seed):
     return rows, log
 
 
-@pytest.mark.parametrize("seed,literal,small", [(0, 100, True), (1, 100, True), (2, 0, True), (3, 0, False)])
+def test_folder_names_against_renames_one_by_one():
+    """Paths at random times, followed to others; folders are renamed onto others, into themselves and out of themselves."""
+    rng = random.Random(5)
+    for _ in range(300):
+        tree = ["C:", r"C:\a", r"C:\b", r"C:\a\b", r"C:\a\c", "C:/a", r"C:\a\b\d", r"C:\ab", r"D:\a", r"C:\b\c"]
+        renames = [(s, rng.choice(tree[1:]), rng.choice(tree[1:])) for s in range(1, 12)]
+        names = FolderNames(renames)
+        for _ in range(20):
+            since, until = sorted(rng.choices(range(13), k=2))
+            path = want = rng.choice(tree) + rng.choice(["", r"\x", "/y", r"\b\z", "\\"])
+            for s, old, new in renames:
+                if since < s < until and (want.startswith(old + "\\") or want.startswith(old + "/")) and old != new:
+                    want = new + want[len(old) :]
+            assert names.moved(path, since, until) == want
+
+
+@pytest.mark.parametrize("seed,literal,small", [(0, 100, True), (1, 100, True), (2, 0, True), (3, 0, False), (4, 0, None)])
 def test_nested_directory_renames_match_a_replay(spark, seed, literal, small, monkeypatch):
     monkeypatch.setattr(events, "LITERAL_RENAMES", literal)
-    if not small:
+    if small is None:
+        monkeypatch.setattr(events, "MOST_RENAMES", 0)
+    if small is False:
         monkeypatch.setattr(events, "BROADCAST_BYTES", -1)
     rows, log = nested_case(seed)
     catalog, changes = spark.createDataFrame(rows, CATALOG), spark.createDataFrame(log, CHANGES)
@@ -212,6 +232,66 @@ def test_watcher_batches_with_directory_renames(spark, seed):
     assert {r.path: (r.id, r.is_dir) for r in after.collect()} == at
 
 
+def counted_cuts(monkeypatch):
+    """Tables that the feed writes, and passes over the catalog as changed so far."""
+    cuts, passes, cut, apply = [], [], feeds.cut, events.apply_changes
+    monkeypatch.setattr(feeds, "cut", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(events, "apply_changes", lambda *args: passes.append(1) or apply(*args))
+    return cuts, passes
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_a_batch_of_many_directory_renames_takes_as_many_passes_as_two(spark, marked, monkeypatch):
+    catalog = {r"C:\a": (1, True), r"C:\a\s": (2, True), r"C:\a\s\y": (3, False), r"C:\q": (4, True), r"C:\q\f": (5, False)}
+    table = spark.createDataFrame([row(i, p, d) for p, (i, d) in catalog.items()], CATALOG)
+    taken = {}
+    for many in (2, 120):
+        rows, at, sub = [], r"C:\a", "s"
+        for k in range(many):
+            # In turn: the folder, its subfolder, a file within, and a folder that goes in and out of it.
+            new = f"C:\\a{k}"
+            rows.append((10 * k + 1, "rename", at, new, marked, 0, T0))
+            at = new
+            if k % 3 == 1:
+                rows.append((10 * k + 2, "rename", f"{at}\\{sub}", f"{at}\\s{k}", marked, 0, T0))
+                sub = f"s{k}"
+            rows.append((10 * k + 3, "create", f"{at}\\{sub}\\n{k}", None, False, 1, T0))
+            if k % 5 == 0:
+                rows.append((10 * k + 4, "rename", r"C:\q", f"{at}\\{sub}\\q", marked, 0, T0))
+                rows.append((10 * k + 5, "rename", f"{at}\\{sub}\\q\\f", f"{at}\\{sub}\\q\\g", False, 0, T0))
+                rows.append((10 * k + 6, "rename", f"{at}\\{sub}\\q\\g", f"{at}\\{sub}\\q\\f", False, 0, T0))
+                rows.append((10 * k + 7, "rename", f"{at}\\{sub}\\q", r"C:\q", marked, 0, T0))
+            rows.append((10 * k + 8, "delete", f"{at}\\{sub}\\n{k - 1}" if k % 2 else r"C:\a\s\y", None, False, 0, T0))
+        with monkeypatch.context() as m:
+            cuts, passes = counted_cuts(m)
+            got = feeds.watcher_changes(spark.createDataFrame(rows, WATCHER), table, 50)
+            want, at = tree_replay(catalog, rows, 50)
+            assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == want
+        taken[many] = len(cuts), len(passes)
+    # Chains of renames are followed by doubling: some tables more for 60 times as many renames.
+    assert taken[2][1] == taken[120][1] == 0 and taken[120][0] <= taken[2][0] + (40 if marked else 100)
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_renames_onto_directories_that_hold_something(spark, most, monkeypatch):
+    """What a deleted directory has left is seen beside what is moved there; it isn't where it has gone before."""
+    monkeypatch.setattr(events, "MOST_RENAMES", most)
+    catalog = {r"C:\a": (1, True), r"C:\a\x": (2, False), r"C:\b": (3, True), r"C:\b\y": (4, False), r"C:\c": (5, True), r"C:\c\z": (6, False), r"C:\d": (7, True), r"C:\d\w": (8, False)}
+    rows = [
+        (1, "delete", r"C:\b", None, True, 0, T0), (2, "rename", r"C:\a", r"C:\b", True, 0, T0), (3, "rename", r"C:\b\y", r"C:\b\y2", False, 0, T0),
+        (4, "rename", r"C:\b", r"C:\e", True, 0, T0), (5, "delete", r"C:\e\y2", None, False, 0, T0), (6, "rename", r"C:\e\x", r"C:\b\x", False, 0, T0),
+        (7, "delete", r"C:\c\z", None, False, 0, T0), (8, "delete", r"C:\c", None, True, 0, T0), (9, "rename", r"C:\d", r"C:\c", True, 0, T0),
+        (10, "create", r"C:\c\z", None, False, 1, T0), (11, "create", r"C:\f", None, True, 1, T0), (12, "create", r"C:\f\u", None, False, 1, T0),
+        (13, "rename", r"C:\c", r"C:\f\c", True, 0, T0), (14, "rename", r"C:\f", r"C:\c", True, 0, T0), (15, "delete", r"C:\c\c\w", None, False, 0, T0), (16, "rename", r"C:\c\u", r"C:\u", False, 0, T0),
+    ]
+    table = spark.createDataFrame([row(i, p, d) for p, (i, d) in catalog.items()], CATALOG)
+    _, passes = counted_cuts(monkeypatch)
+    got = feeds.watcher_changes(spark.createDataFrame(rows, WATCHER), table, 50)
+    want, _ = tree_replay(catalog, rows, 50)
+    assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == want
+    assert len(passes) == (1 if most > 2 else 3)
+
+
 def test_rows_that_depend_on_void_rows(spark):
     """A chain of renames from nowhere, over paths at which the catalog has something or not."""
     rows = [(k, "rename", f"C:\\q{k}", f"C:\\q{k + 1}", False, 0, T0) for k in range(40)] + [(50, "delete", "C:\\q40", None, False, 0, T0), (51, "delete", "C:\\q20", None, False, 0, T0)]
