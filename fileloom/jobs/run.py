@@ -22,7 +22,7 @@ from fileloom.streaming.catalog_stream import CatalogStore, follow_changes, foll
 def index_tree(spark: SparkSession, name_root: str, content_roots: list[str], out: str, mounted: bool = True) -> None:
     """catalog (with derived columns, so that filters reach the files), bodies and postings under `out`. Every entry below
     name_root is in the catalog; bodies are those of extractable files in the content roots. mounted: the tree is a folder
-    that every executor has; else it is one that Spark's file systems reach."""
+    that every executor has; else name_root is the URI of one in a store, and so are the content roots."""
     entries = list_tree(spark, name_root) if mounted else list_store(spark, name_root)
     with_derived(catalog_of_entries(entries)).write.parquet(f"{out}/catalog")
     gated = body_gate(spark.read.parquet(f"{out}/catalog"), content_roots, EXTRACTABLE)

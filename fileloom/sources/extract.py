@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fileloom.functions import text
+from fileloom.sources.listing import Store
+from fileloom.sources.tables import cut
 
 #: Extensions by the way their bodies are read.
 PLAIN = (
@@ -111,23 +114,43 @@ def extract_bodies(files: DataFrame) -> DataFrame:
     return rows.select("path", body.alias("body")).where(F.col("body").isNotNull())
 
 
-#: Bytes of files that go into one Arrow batch; a larger file is alone in its batch.
-BATCH_BYTES = 8 << 20
+#: Bytes of files that go into one Arrow batch; a larger file is alone in its batch. Bytes that a task reads about, and
+#: that opening a file counts as.
+BATCH_BYTES, TASK_BYTES, OPEN_BYTES = 8 << 20, 128 << 20, 64 << 10
 
 
-def read_files(spark: SparkSession, gated: DataFrame) -> DataFrame:
-    """path, ext, content of gated catalog rows, read by the executors from a mount that all of them have; rows are
-    spread by their paths. Files that can't be read are left out."""
+def by_even_bytes(gated: DataFrame, tasks: int | None = None) -> DataFrame:
+    """path, ext of gated(path, ext, size), dealt out so that each task has about as many bytes to read as any other: the
+    order of paths is cut where the sums of sizes pass a task's share. tasks: as many as TASK_BYTES make, and at least
+    one a core. Sums run within ranges of paths and over the ranges' totals, so nothing but a row per range is in one
+    place, and what is shuffled is paths."""
+    context = gated.sparkSession.sparkContext
+    rows = gated.select("path", "ext", (F.col("size") + OPEN_BYTES).alias("_cost"))
+    rows = cut(rows.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(F.sum("_cost").alias("_sum"))
+    total = sums.agg(F.sum("_sum")).first()[0] or 1
+    tasks = tasks or max(context.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_cost").over(within), F.lit(0))
+    rows = rows.withColumn("_before", before).join(F.broadcast(starts), "_part")
+    # The middle of a file decides: a large one is not put on top of a full share.
+    share = ((F.col("_start") + F.col("_before") + F.col("_cost") / 2) * tasks / F.lit(total)).cast("int")
+    return rows.select("path", "ext", F.least(share, F.lit(tasks - 1)).alias("_task")).repartitionById(tasks, "_task").select("path", "ext")
+
+
+def _read(gated: DataFrame, opener: Callable[[], Callable[[str], bytes]]) -> DataFrame:
+    """path, ext, content of gated rows, read where they are dealt to; those that can't be read are left out."""
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["path", "ext", "content"])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size = [], 0
+        content, rows, size = opener(), [], 0
         for path, ext in (pair for f in frames for pair in zip(f["path"], f["ext"], strict=True)):
             try:
-                with open(path, "rb") as f:
-                    rows.append((path, ext, f.read()))
+                rows.append((path, ext, content(path)))
             except OSError:
                 continue
             size += len(rows[-1][2])
@@ -136,11 +159,29 @@ def read_files(spark: SparkSession, gated: DataFrame) -> DataFrame:
                 rows, size = [], 0
         yield frame(rows)
 
-    return gated.select("path", "ext").repartition("path").mapInPandas(read, "path string, ext string, content binary")
+    return by_even_bytes(gated).mapInPandas(read, "path string, ext string, content binary")
+
+
+def _mounted(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def read_files(spark: SparkSession, gated: DataFrame) -> DataFrame:
+    """path, ext, content of gated catalog rows, read by the executors from a mount that all of them have."""
+    return _read(gated, lambda: _mounted)
 
 
 def read_store(spark: SparkSession, gated: DataFrame, root: str) -> DataFrame:
-    """read_files for paths below a root that Spark's file systems reach (listing.list_store). Of files that the gate
-    leaves out at most the content's first read is lost: the gate's paths are joined before anything is decoded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "content").join(gated.select("path", "ext"), "path").select("path", "ext", "content")
+    """read_files for paths below a root in a store (listing.list_store). Only files of gated rows are opened."""
+
+    def opener() -> Callable[[str], bytes]:
+        store = Store(root)
+
+        def content(path: str) -> bytes:
+            with store.system.open_input_stream(store.own(path)) as f:
+                return f.read()
+
+        return content
+
+    return _read(gated, opener)

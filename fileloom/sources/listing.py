@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,33 +27,74 @@ def is_skipped(name: str) -> bool:
     return name in SKIPPED or name.lower() == SKIPPED_ANY_CASE
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["parent_path", "path", "name", "size", "modified", "is_dir"]
-    for frame in frames:
-        rows = []
-        for folder in frame["path"]:
+#: Entries that are handed over at once, whatever a directory holds.
+ENTRIES_AT_ONCE = 20_000
+_NAMES = ["parent_path", "path", "name", "size", "modified", "is_dir"]
+
+
+def _frames(entries: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while rows := list(islice(entries, ENTRIES_AT_ONCE)):
+        yield pd.DataFrame(rows, columns=_NAMES).astype({"size": "int64", "is_dir": "bool"})
+
+
+def _on_mount(folder: str) -> Iterator[tuple]:
+    try:
+        entries = os.scandir(folder)
+    except PermissionError:
+        return
+    with entries:
+        for e in entries:
             try:
-                entries = list(os.scandir(folder))
-            except PermissionError:
+                info = e.stat(follow_symlinks=False)
+            except OSError:
+                continue
+            is_dir = stat.S_ISDIR(info.st_mode)
+            when = datetime.fromtimestamp(max(info.st_mtime, 0), UTC)
+            yield folder, e.path, e.name, 0 if is_dir else info.st_size, when, is_dir
+
+
+class Store:
+    """A file system by its root's URI, as each Python worker opens it. Paths are the root and what follows it, as names
+    are: not encoded as in a URI."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        self.system, base = fs.FileSystem.from_uri(root)
+        self.base = base.rstrip("/")
+
+    def own(self, path: str) -> str:
+        """The path as the file system knows it."""
+        if path != self.root and not path.startswith(self.root + "/"):
+            raise ValueError(f"{path} is not below {self.root}")
+        return self.base + path[len(self.root) :]
+
+    def entries(self, folder: str) -> Iterator[tuple]:
+        own = self.own(folder) or "/"
+        try:
+            found = self.system.get_file_info(fs.FileSelector(own))
+        except PermissionError:
+            return
+        for info in found:
+            if info.type in (fs.FileType.NotFound, fs.FileType.Unknown):
                 continue
-            for e in entries:
-                try:
-                    info = e.stat(follow_symlinks=False)
-                except OSError:
-                    continue
-                is_dir = stat.S_ISDIR(info.st_mode)
-                when = datetime.fromtimestamp(max(info.st_mtime, 0), UTC)
-                rows.append((folder, e.path, e.name, 0 if is_dir else info.st_size, when, is_dir))
-        yield pd.DataFrame(rows, columns=names).astype({"size": "int64", "is_dir": "bool"})
+            # A link is no directory of its own.
+            is_dir = info.type == fs.FileType.Directory and not (self.system.type_name == "local" and os.path.islink(info.path))
+            seconds = max((info.mtime_ns or 0) / 1e9, 0)
+            size = 0 if is_dir or info.size is None else info.size
+            yield folder, f"{folder.rstrip('/')}/{info.base_name}", info.base_name, size, datetime.fromtimestamp(seconds, UTC), is_dir
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """parent_path and the file columns of every entry below root. One round per level; a level's directories are spread
-    over the tasks. Directories that may not be read, and entries that can't be, are passed over."""
+def _levels(spark: SparkSession, root: str, entries: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:
+    """Every entry below root. One round per level; a level's directories are spread over the tasks."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = entries()
+        yield from _frames(chain.from_iterable(of(folder) for frame in frames for folder in frame["path"]))
+
     frontier, levels = spark.createDataFrame([(root,)], "path string"), None
     while True:
         # Names of one level: repartitioned so that each task gets a share of the directories.
-        level = cut(frontier.repartition("path").mapInPandas(_scan, _ENTRIES))
+        level = cut(frontier.repartition("path").mapInPandas(scan, _ENTRIES))
         if level.isEmpty():
             break
         levels = level if levels is None else levels.unionByName(level)
@@ -60,25 +103,17 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return levels if levels is not None else spark.createDataFrame([], _ENTRIES)
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """parent_path and the file columns of every entry below root, a folder that every executor has. Directories that may
+    not be read, and entries that can't be, are passed over."""
+    return _levels(spark, root, lambda: _on_mount)
+
+
 def list_store(spark: SparkSession, root: str) -> DataFrame:
-    """list_tree's columns of every file below a root that Spark's file systems reach, and of the folders that hold them
-    (an empty folder has no file to show it; a folder's time is that of its latest file). Nothing is read of the files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    top = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
-    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
-    rows = outside_skipped(rows, top)
-    parts = F.split(F.substring(F.col("path"), len(top) + 2, 1 << 30), "/")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat_ws("/", F.lit(top), F.slice(parts, 1, k)))
-    folders = rows.where(F.size(parts) > 1).select(F.explode(ups).alias("path"), "modified")
-    folders = folders.groupBy("path").agg(F.max("modified").alias("modified"))
-    found = rows.withColumn("is_dir", F.lit(False)).unionByName(
-        folders.select("path", F.expr("0L").alias("size"), "modified", F.lit(True).alias("is_dir"))
-    )
-    parent = F.regexp_extract("path", r"(?s)\A(.*)/[^/]+\z", 1)
-    return found.select(
-        parent.alias("parent_path"), "path", F.substring_index("path", "/", -1).alias("name"), "size", "modified", "is_dir"
-    )
+    """list_tree's rows for a root in a store: a URI of a file system that pyarrow opens on the executors (file, s3, gs,
+    abfs, hdfs). Names that begin with a dot or an underscore and empty folders are listed like any other; a folder that the
+    store only implies has the time 0. Paths are the root and what follows it. Nothing is read of the files."""
+    return _levels(spark, root.rstrip("/"), lambda: Store(root).entries)
 
 
 def catalog_of_entries(entries: DataFrame, first_id: int = 1) -> DataFrame:

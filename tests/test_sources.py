@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fileloom.functions import derive, text
+from fileloom.jobs import run
 from fileloom.operators import postings
 from fileloom.sources import extract, listing
 
@@ -87,6 +88,81 @@ def test_listing(spark, tmp_path):
     assert {os.path.basename(r.path): r.body for r in bodies.collect()} == {"x.txt": "data", "z.txt": "data"}
 
 
+def a_tree(root):
+    files = [
+        "a/b/x.txt", "a/.git/config", "a/NODE_modules/y.js", "a/Target/z.txt", ".hidden", "target/q", ".env.txt", "_under.txt", "_d/in.txt", "_d/_e/f.md",
+        "a/with space %41#?.txt", "a/ünï.md", ".venv/lib/x.py",
+    ]
+    for p in files:
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(f"text of {p}")
+    (root / "empty" / ".deep").mkdir(parents=True)
+    (root / "link").symlink_to(root / "a")
+    os.utime(root / ".hidden", (1000, 1000))
+
+
+def test_stores_are_listed_like_mounts(spark, tmp_path):
+    a_tree(tmp_path)
+    mounted = listing.list_tree(spark, str(tmp_path)).collect()
+    stored = listing.list_store(spark, f"file://{tmp_path}/").collect()
+    own = lambda rows, root: {(r.parent_path[len(root) :], r.path[len(root) :], r.name, r.size * (r.name != "link"), r.modified.replace(microsecond=0) if r.name != "link" else None, r.is_dir) for r in rows}
+    assert own(stored, f"file://{tmp_path}") == own(mounted, str(tmp_path)) and len(stored) == len(mounted)
+    names = {r.path[len(f"file://{tmp_path}/") :] for r in stored}
+    assert {"_d/_e/f.md", ".env.txt", "a/.git", ".venv", "empty/.deep", "link"} <= names
+    assert not any(n.startswith(("a/.git/", "a/NODE_modules/", ".venv/", "link/", "target/")) for n in names)
+    assert listing.list_store(spark, f"file://{tmp_path}/empty/.deep").collect() == []
+
+
+def test_indexes_of_mounts_and_stores_are_the_same(spark, tmp_path):
+    a_tree(tmp_path / "tree")
+    found = {}
+    for mounted, root in ((True, f"{tmp_path}/tree"), (False, f"file://{tmp_path}/tree")):
+        out = f"file://{tmp_path}/index-{mounted}"
+        run.index_tree(spark, root, [f"{root}/a", f"{root}/_d", f"{root}/.env.txt"], out, mounted=mounted)
+        tables = {t: spark.read.parquet(f"{out}/{t}").collect() for t in ("catalog", "bodies", "postings")}
+        cut = len(root) + 1
+        found[mounted] = (
+            {(r.id, r.parent_id, r.path[cut:], r.is_dir, r.ext) for r in tables["catalog"]},
+            {(r.path[cut:], r.body) for r in tables["bodies"]},
+            {(r.word, r.path[cut:]) for r in tables["postings"]},
+        )
+    assert found[True] == found[False]
+    bodies = dict(found[False][1])
+    assert bodies == {p: f"text of {p}" for p in ("a/b/x.txt", "a/Target/z.txt", "a/with space %41#?.txt", "a/ünï.md", "_d/in.txt", "_d/_e/f.md", ".env.txt")}
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_files_outside_the_gate_are_not_opened(spark, tmp_path, mounted):
+    """A file beyond the gate's size that nobody may read, and one that is gone when it is read."""
+    for name, size in (("a.txt", 10), ("big.txt", 5000), ("gone.txt", 10)):
+        (tmp_path / name).write_text("x" * size)
+    (tmp_path / "big.txt").chmod(0)
+    root = str(tmp_path) if mounted else f"file://{tmp_path}"
+    entries = listing.list_tree(spark, root) if mounted else listing.list_store(spark, root)
+    gated = listing.body_gate(derive.with_derived(listing.catalog_of_entries(entries)), [root], extract.EXTRACTABLE, most=100).cache()
+    assert gated.count() == 2
+    (tmp_path / "gone.txt").unlink()
+    # Were it opened, it would be read all the same by root: so it is made unreadable by being a folder now.
+    (tmp_path / "big.txt").unlink()
+    (tmp_path / "big.txt").mkdir()
+    files = extract.read_files(spark, gated) if mounted else extract.read_store(spark, gated, root)
+    assert [(os.path.basename(r.path), bytes(r.content)) for r in files.collect()] == [("a.txt", b"x" * 10)]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_tasks_read_even_shares_of_bytes(spark):
+    """A tenth of the files has nearly all bytes, in one stretch of the order of paths."""
+    rows = [(f"/f{k:05d}", "txt", 20_000_000 if 3000 <= k < 3400 else 10_000) for k in range(4000)]
+    dealt = extract.by_even_bytes(spark.createDataFrame(rows, "path string, ext string, size long"), tasks=20)
+    size = {p: n for p, _, n in rows}
+    per_task = dealt.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.collect_list("path").alias("p")).collect()
+    assert sorted(p for r in per_task for p in r.p) == sorted(size)
+    shares = sorted(sum(size[p] + extract.OPEN_BYTES for p in r.p) for r in per_task)
+    assert len(shares) == 20 and shares[-1] <= 1.1 * shares[10] and shares[0] >= 0.9 * shares[10]
+    assert extract.by_even_bytes(spark.createDataFrame([], "path string, ext string, size long")).collect() == []
+
+
 def test_postings_follow_bodies(spark):
     bodies = spark.createDataFrame([("a", "One two, TWO"), ("b", "two-three İx ΑΣ"), ("c", "")], "path string, body string")
     index = postings.build_postings(bodies)
