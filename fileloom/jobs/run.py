@@ -69,8 +69,12 @@ def follow_feed(feed: DataFrame, store: CatalogStore, checkpoint: str, kind: str
 
 
 def search_store(store: CatalogStore, text: str, now: datetime) -> DataFrame:
-    """Hits of a free text in what a store holds now, in order."""
-    return search(store.catalog(), store.bodies(), compile_text(text, now), now)
+    """Hits of a free text in what a store holds now, in order. Bodies are matched under their keys, where they lie: what
+    is joined to paths, and these to the catalog, is flags."""
+    q = compile_text(text, now)
+    if not q.needs_body and not any(q.terms):
+        return search(store.catalog(), None, q, now)
+    return search(store.catalog().join(store.paths(), "path", "left"), store.keyed_bodies(), q, now, key="body_key")
 
 
 def write_hits(hits: DataFrame, out: str, form: str = "paths", bounded: bool = False) -> None:

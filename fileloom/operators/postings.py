@@ -17,10 +17,10 @@ def build_postings(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.explode(F.array_distinct(words(F.col("body")))).alias("word"), "path")
 
 
-def write_postings(postings: DataFrame, folder: str, mode: str = "error") -> None:
+def write_postings(postings: DataFrame, folder: str, mode: str = "error", of: str = "path") -> None:
     """In the order of words, so that a lookup reads the files and row groups of its words alone; a frequent word takes
     several files."""
-    postings.repartitionByRange("word", "path").sortWithinPartitions("word", "path").write.mode(mode).parquet(folder)
+    postings.repartitionByRange("word", of).sortWithinPartitions("word", of).write.mode(mode).parquet(folder)
 
 
 def paths_for_word(postings: DataFrame, word: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Change logs, directory renames, feeds, hierarchy and the stream, against sequential replays."""
 
+import os
 import random
 from datetime import datetime
 
@@ -328,10 +329,10 @@ def test_stream_of_batches_equals_one_fold(spark, tmp_path):
     assert store.current() == (3, log[-1][0])
 
 
-@pytest.mark.parametrize("merge_every", [2, 100])
-def test_bodies_and_postings_of_a_store_follow(spark, tmp_path, merge_every):
-    """Created files are read whatever their size or place, bodies move along, parts are merged."""
-    store = CatalogStore(spark, f"file://{tmp_path}/store", merge_every)
+@pytest.mark.parametrize("fanout", [2, 100])
+def test_bodies_and_postings_of_a_store_follow(spark, tmp_path, fanout):
+    """Created files are read whatever their size or place, bodies move along, runs are merged."""
+    store = CatalogStore(spark, f"file://{tmp_path}/store", fanout)
     rows = [row(1, r"C:\a", True), row(2, r"C:\a\x.txt"), row(3, r"C:\k.txt")]
     store.write(0, 0, spark.createDataFrame(rows, CATALOG), spark.createDataFrame([(r"C:\a\x.txt", "first words"), (r"C:\k.txt", "kept words")], "path string, body string"))
 
@@ -355,8 +356,55 @@ def test_bodies_and_postings_of_a_store_follow(spark, tmp_path, merge_every):
     words = {(r.word, r.path) for r in store.postings().collect()}
     assert words == {(w.lower(), p) for p, b in want.items() for w in b.replace(".", " ").split()}
     assert "path_norm" in store.catalog().columns and store.current() == (5, 7)
-    kept = sorted(p.name for p in (tmp_path / "store" / "snapshot").iterdir())
-    assert kept == (["v=2", "v=4"] if merge_every == 2 else ["v=0"])
+    runs = [r.name for r in store._runs()]
+    assert len(runs) <= 3 if fanout == 2 else runs == ["0-0", "1-1", "2-2", "3-3", "4-4", "5-5"]
+    # A merge with the base leaves out the bodies that no path has any more.
+    base = store._merged(store._runs(), None)
+    keys = store._table([base], "bodies", "body_key string").select("body_key")
+    assert keys.count() == len(want) and {r.body_key for r in keys.collect()} == {r.body_key for r in store.paths().collect()}
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_a_renamed_folder_adds_no_bytes_of_bodies(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    rows = [row(1, r"C:\a", True)] + [row(10 + k, f"C:\\a\\f{k}.txt") for k in range(10_000)]
+    bodies = spark.range(10_000).selectExpr("concat(r'C:\\a\\f', id, '.txt') as path", "concat('body ', id, ' ', repeat(md5(cast(id as string)), 8)) as body")
+    store.write(0, 0, spark.createDataFrame(rows, CATALOG), bodies)
+    apply_batch(store, spark.createDataFrame([change(1, "rename", 1, r"C:\b")], CHANGES), 0, follow_renames=True)
+    part, whole = tmp_path / "store" / "runs" / "1-1", tmp_path / "store" / "runs" / "0-0"
+    assert spark.read.parquet(f"{part}/bodies").count() == spark.read.parquet(f"{part}/postings").count() == 0
+    assert size_of(part / "bodies") < 10_000 < size_of(whole / "bodies")
+    moved = {r.path: r.body[:6] for r in store.bodies().where("path like '%f7.txt' or path like '%f77.txt'").collect()}
+    assert moved == {r"C:\b\f7.txt": "body 7", r"C:\b\f77.txt": "body 7"} and store.bodies().count() == 10_000
+    (hit,) = run.search_store(store, "content:7777 ext:txt", T0).where("name = 'f7777.txt'").collect()
+    assert hit.path == r"C:\b\f7777.txt" and hit.content_match and hit.snippet.text.startswith("body 7777")
+
+
+def test_a_store_of_many_batches_stays_small(spark, tmp_path):
+    """Files under the pointers, the runs and the checkpoint folder are bounded, and merges write about what has changed."""
+    checkpoints = spark.sparkContext.getCheckpointDir() or feeds.cut(spark.range(1)) and spark.sparkContext.getCheckpointDir()
+    files = lambda: sum(len(f) for _, _, f in os.walk(checkpoints.removeprefix("file:")))
+    store = CatalogStore(spark, f"file://{tmp_path}/store", fanout=3)
+    rows = [row(k, f"C:\\k{k}.txt") for k in range(1, 2001)]
+    bodies = spark.range(1, 2001).selectExpr("concat(r'C:\\k', id, '.txt') as path", "concat('w', id) as body")
+    store.write(0, 0, spark.createDataFrame(rows, CATALOG), bodies)
+    before, log, written = files(), [], []
+    for k in range(10):
+        part = [change(2 * k + 1, "create", 5000 + k, f"C:\\n{k}.txt", False), change(2 * k + 2, "rename", 1 + k, f"C:\\m{k}.txt")]
+        log += part
+        extract = lambda new: new.selectExpr("path", "'new' as body")
+        apply_batch(store, spark.createDataFrame(part, CHANGES), k, extract, follow_renames=True)
+        written.append([r for r in store._runs() if r.hi == k + 1])
+    assert result(store.catalog()) == replay(rows, log)
+    assert {r.path: r.body for r in store.bodies().collect()} == {p: "new" if i >= 5000 else f"w{i}" for i, (_, p, _) in replay(rows, log).items()}
+    folder = tmp_path / "store"
+    assert len([p for p in (folder / "current").iterdir() if p.suffix != ".crc"]) == 2
+    assert len(list((folder / "runs").iterdir())) <= 10 and files() <= before + 2
+    # No batch has written the base again: 20 changes are no quarter of 2000 rows.
+    assert store._runs()[0].name == "0-0" and max(r.rows for runs in written for r in runs) <= 50
 
 
 def test_a_watched_store_is_searched(spark, tmp_path):
