@@ -394,6 +394,7 @@ class _Grouping:
         # A trifle wider than the largest ratio of sizes, so that rounding can't put a partner beyond the next range.
         size = F.floor(F.log(F.shiftright("meta", 32).cast("double")) / float(np.log(100 / self.how.percent) * (1 + 1e-9)))
         listed = split.where("row != h_row").withColumn("range", size.cast("int"))
+        listed = listed.join(split.where("out").select("key").distinct(), "key", "left_semi")
         places = F.explode(F.sequence(F.lit(0), 2 * parts - 1))
         smaller = listed.where("(meta & 1) = 1").select("*", places.alias("place"))
         smaller = smaller.select(
