@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: where two tokenizers of a text cut it at the same byte, which of their tokens overlap, and how
 often the corpus links each pair of tokens.
 
-1. mapInPandas encodes each text by both tokenizers and merges the cumulative byte ends of their tokens, both sorted, as
-   two pointers would: each end that comes next closes one link, between the tokens that either pointer is at, and an end
-   that both have closes a group. Emitted are a document's groups and its links, equal pairs of ids counted.
+1. mapInPandas encodes each text by both tokenizers and merges the cumulative byte ends of their tokens, both sorted, with
+   a pointer into either: each end that comes next closes one link, between the tokens that the pointers are at, and an
+   end that both have closes a group. Emitted are a document's groups and its links, equal pairs of ids counted.
 2. Spark groups all links by pair and sums the counts, takes the maxima of each id of either side, and joins counts and
    maxima back to the documents' links, which are summed up by document.
 
@@ -14,17 +14,16 @@ paths are parameters; each Python worker reads them once.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import regex
 import sentencepiece
-import tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,136 +43,156 @@ SIDE_BITS = 15
 SPACE = "▁"
 
 
-class _Known(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> list[int]:
-        found = self.encode(piece)
-        if len(piece) <= LONG:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = found
-        return found
-
-    def ids(self, pieces: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, pieces)))
-
-
 def _byte_of() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as their characters and the others as those from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-@dataclass
 class Side:
-    """A tokenizer: the tokens of a text, each token's bytes, and their lengths."""
-
-    known: _Known
-    split: object
-    tokens: list[bytes]
-
-    def __post_init__(self):
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.texts = [np.array([f"{k}{end}" for k in range(len(self.tokens))], "S7") for end in ",|;"]
+    """A tokenizer: the ids of texts (None for one that its tokens' bytes don't give back), and its tokens' lengths."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.digits = [np.array([f"{k}{end}" for k in range(len(tokens))], "S7") for end in ",|;"]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        raise NotImplementedError
+
+
+class ByteSide(Side):
+    """A byte-level vocabulary whose merges are ranked by their results' ids, on texts with a space before them."""
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        of, vocabulary = _byte_of(), model["vocab"]
+        ranks = {bytes(map(of.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= of.keys()}
+        tokens = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        super().__init__(tokens)
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(merged) or model.get("ignore_merges"):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
+        specials = {t for t in vocabulary if re.fullmatch(r"<\|.*\|>", t)}
+        self.model = tiktoken.Encoding(
+            "own", pat_str=PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in specials}, special_tokens={}
+        )
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        found = []
+        for text in texts:
+            ids = self.model.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+            # Tokens are cut out of the text's bytes: if none is missing, they are all of it.
+            whole = int(self.lengths[ids].sum()) == len(text.encode("utf-8", "surrogatepass")) + 1
+            found.append(ids if whole else None)
+        return found
 
-    def ids(self, text: str) -> list[int]:
-        return self.known.ids(self.split(text))
 
-    def bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+class PieceSide(Side):
+    """A vocabulary of pieces; the tokenizer adds the space itself. Where no piece holds a space after another character,
+    merges don't cross a space after one: the text is encoded from run of spaces to run of spaces, and these are
+    remembered, as the bytes of their ids, or None if their tokens don't give them back."""
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        byte = self.model.is_byte
+        super().__init__([bytes([int(p[3:5], 16)]) if byte(i) else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(pieces)])
+        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) and SPACE in pieces
+        self.split = re.compile(r" +[^ ]*" if apart else r"(?s).+").findall
+        self.alone = [pieces.index(SPACE)] if SPACE in pieces else []
+        self.known: dict[str, bytes | None] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        split = [self.split(" " + text) for text in texts]
+        missing = list({piece for pieces in split for piece in pieces if piece not in self.known})
+        # The space that begins a run is the one that the tokenizer adds; it adds none to an empty text.
+        for piece, ids in zip(missing, self.model.encode([p[1:] for p in missing], num_threads=1), strict=True):
+            ids = ids if len(piece) > 1 else self.alone
+            whole = b"".join(map(self.tokens.__getitem__, ids)) == piece.encode("utf-8", "surrogatepass")
+            self.known[piece] = np.array(ids, "<u2").tobytes() if whole else None
+        found: list[np.ndarray | None] = []
+        for pieces in split:
+            try:
+                found.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u2").astype(np.int64))
+            except TypeError:
+                found.append(None)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        for piece in missing:
+            if len(piece) > LONG:
+                self.known.pop(piece, None)
+        return found
 
 
 @cache
-def byte_side(path: str = BYTE_VOCABULARY) -> Side:
-    """Of texts with a space before them. Merges don't cross pre-tokens, so these are encoded one by one, and remembered."""
-    model = tokenizers.Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    of, vocabulary = _byte_of(), model.get_vocab(with_added_tokens=True)
-    tokens = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        tokens[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-    split = regex.compile(PATTERN).findall
-    return Side(_Known(lambda piece: model.encode(piece, add_special_tokens=False).ids), lambda text: split(" " + text), tokens)
+def byte_side(path: str = BYTE_VOCABULARY) -> ByteSide:
+    return ByteSide(path)
 
 
 @cache
-def piece_side(path: str = PIECE_VOCABULARY) -> Side:
-    """The tokenizer adds the space itself. Where no piece of the vocabulary holds a space after another character, merges
-    don't cross a space after one: the text is encoded from run of spaces to run of spaces, and these are remembered."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-    tokens = [
-        bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(pieces)
-    ]
-    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) or SPACE not in pieces:
-        return Side(_Known(lambda piece: model.encode(piece, num_threads=1)), lambda text: [text], tokens)
-    alone = [pieces.index(SPACE)]
-    # The space that begins a run is the one that the tokenizer adds.
-    encode = lambda piece: model.encode(piece[1:], num_threads=1) if len(piece) > 1 else alone
-    return Side(_Known(encode), lambda text: split(" " + text), tokens) if (split := re.compile(r" +[^ ]*").findall) else None
-
-
-def merge_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The links of two rows of tokens of the same bytes, given by their cumulative ends (ascending, the last one equal):
-    where each link ends, the places of its tokens, and whether it ends a group. Of the ends in order, each closes a link."""
-    ends = np.union1d(a, b)
-    x, y = np.searchsorted(a, ends), np.searchsorted(b, ends)
-    return ends, x, y, (a[x] == ends) & (b[y] == ends)
-
-
-def _digits(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, shared: np.ndarray, sides: tuple[Side, Side]) -> tuple[np.ndarray, np.ndarray]:
+def piece_side(path: str = PIECE_VOCABULARY) -> PieceSide:
+    return PieceSide(path)
+
+
+def merge_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The links of two rows of tokens of the same bytes, given by their cumulative ends (each ascending, the last ones
+    equal): where each link ends, the places of its tokens, and whether either of them ends there. The two rows are merged
+    into one; each end in it closes a link, and moves the pointers of the sides that it is an end of."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")  # two ascending runs: a merge
+    ends, of_a = both[order], order < len(a)
+    first = np.concatenate([[True], ends[1:] != ends[:-1]])
+    at = np.flatnonzero(first)
+    up_a, up_b = np.cumsum(of_a), np.cumsum(~of_a)
+    x, y = up_a[at] - of_a[at], up_b[at] - ~of_a[at]
+    twice = np.concatenate([~first[1:], [False]])[at]
+    return ends[at], x, y, of_a[at], ~of_a[at] | twice
+
+
+def _groups(ids: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, sides: tuple[Side, Side]) -> tuple[np.ndarray, np.ndarray]:
     """`a1,a2|b1;` for all groups, as texts of fixed width padded with zero bytes, and the place of each group's end."""
-    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-    up_a, up_b = np.searchsorted(group_a, np.arange(len(shared)), "right"), np.searchsorted(group_b, np.arange(len(shared)), "right")
-    out = np.empty(len(a) + len(b), "S7")
+    closes = ends_a & ends_b
+    group = np.cumsum(closes) - closes
+    last_a, last_b = x[closes], y[closes]
+    out = np.empty(len(ids[0]) + len(ids[1]), "S7")
     # A token comes after the first side's tokens up to its group's end, and the second side's of the groups before.
-    at_a = np.arange(len(a)) + np.concatenate([[0], up_b])[group_a]
-    at_b = np.arange(len(b)) + up_a[group_b]
-    for at, own, up, side, end in ((at_a, a, up_a, sides[0], 1), (at_b, b, up_b, sides[1], 2)):
-        out[at] = side.texts[0][own]
-        out[at[up - 1]] = side.texts[end][own[up - 1]]
-    return out, up_a + up_b
+    before = np.concatenate([[0], last_b + 1])
+    at_a = np.arange(len(ids[0])) + before[group[ends_a]]
+    at_b = np.arange(len(ids[1])) + (last_a + 1)[group[ends_b]]
+    for at, own, last, side, end in ((at_a, ids[0], last_a, sides[0], 1), (at_b, ids[1], last_b, sides[1], 2)):
+        out[at] = side.digits[0][own]
+        out[at[last]] = side.digits[end][own[last]]
+    return out, last_a + last_b + 2
 
 
-def align_texts(texts: list[str], sides: tuple[Side, Side]) -> list[tuple]:
+def align_texts(texts: list[str | None], sides: tuple[Side, Side]) -> list[tuple]:
     """n_a, n_b, n_groups, n_links, groups_sha256, pairs, counts of each text; pairs: codes of linked ids, ascending."""
     found: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-    rows, ids, ends = [], ([], []), ([], [])
-    base = 0
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        data = b" " + text.encode("utf-8", "surrogatepass")
-        pair = [side.ids(text) for side in sides]
-        if any(side.bytes(own) != data for side, own in zip(sides, pair, strict=True)):
-            continue
-        for j in (0, 1):
-            own = np.array(pair[j], np.int64)
-            ids[j].append(own)
-            ends[j].append(base + np.cumsum(sides[j].lengths[own]))
-        base += len(data)
-        rows.append((k, len(pair[0]), len(pair[1]), base))
+    some = [k for k, text in enumerate(texts) if text]
+    encoded = zip(some, *(side.encode([texts[k] for k in some]) for side in sides), strict=True)
+    rows = [(k, a, b) for k, a, b in encoded if a is not None and b is not None]
     if not rows:
         return found
-    a, b = (np.concatenate(x) for x in ids)
-    ends_a, ends_b = (np.concatenate(x) for x in ends)
+    ids = np.concatenate([a for _, a, _ in rows]), np.concatenate([b for _, _, b in rows])
     # One merge for all: texts end where both sides do.
-    link_ends, x, y, closes = merge_ends(ends_a, ends_b)
-    codes = a[x] << SIDE_BITS | b[y]
-    shared = link_ends[closes]
-    digits, group_ends = _digits(a, b, ends_a, ends_b, shared, sides)
-    last = np.array([r[3] for r in rows])
-    upto = np.searchsorted(link_ends, last) + 1
-    groups = np.searchsorted(shared, last) + 1
+    ends, x, y, ends_a, ends_b = merge_ends(*(np.cumsum(side.lengths[own]) for side, own in zip(sides, ids, strict=True)))
+    codes = ids[0][x] << SIDE_BITS | ids[1][y]
+    digits, group_ends = _groups(ids, x, y, ends_a, ends_b, sides)
+    # The link with which each text's tokens end, and the groups up to it.
+    last = np.cumsum([len(a) for _, a, _ in rows]) - 1
+    upto = np.searchsorted(x, last, "right")
+    groups = np.cumsum(ends_a & ends_b)[upto - 1]
     link_at = group_at = 0
-    for (k, n_a, n_b, _), links, until in zip(rows, upto.tolist(), groups.tolist(), strict=True):
-        text = digits[group_ends[group_at - 1] if group_at else 0 : group_ends[until - 1]].tobytes().replace(b"\0", b"")
-        pairs, counts = np.unique(codes[link_at:links], return_counts=True)
+    for (k, a, b), links, until in zip(rows, upto.tolist(), groups.tolist(), strict=True):
+        text = digits[group_ends[group_at - 1] if group_at else 0 : group_ends[until - 1]].tobytes().translate(None, b"\0")
+        own = np.sort(codes[link_at:links])
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        counts = np.diff(np.append(starts, len(own)))
         digest = hashlib.sha256(text[:-1]).hexdigest()
-        found[k] = (n_a, n_b, until - group_at, links - link_at, digest, pairs.astype(np.int32), counts.astype(np.int32))
+        found[k] = (len(a), len(b), until - group_at, links - link_at, digest, own[starts].astype(np.int32), counts.astype(np.int32))
         link_at, group_at = links, until
     return found
 
