@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: The folder of the job that is under way, if it removes its intermediate tables.
+_JOB: ContextVar[str | None] = ContextVar("job", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tables_folder(spark: SparkSession) -> str:
+    return _JOB.get() or shared_dir(spark)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the operators that run within this are removed at its end: what they return has to be written
+    elsewhere by then."""
+    folder = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    token = _JOB.set(folder)
+    try:
+        yield
+    finally:
+        _JOB.reset(token)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages don't compute it anew, and survive the
     loss of the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,7 +72,7 @@ class Tables:
     """Intermediate tables of one job, by name, in one folder. Those that nothing reads any more can be removed."""
 
     def __init__(self, spark: SparkSession, job: str):
-        self.spark, self.folder = spark, f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, f"{tables_folder(spark)}/{job}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -51,8 +80,7 @@ class Tables:
 
     def remove(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.folder}/{name}")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -28,6 +28,8 @@ LEVEL = 3
 #: in its beginning; the sizes of all blocks are added.
 BLOCK = 4096
 THRESHOLD = 0.3
+#: Part of its bytes that prose takes when it is compressed, at the least.
+PROSE = 0.25
 FOLDS = 5
 
 
@@ -62,19 +64,20 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return found
 
 
-def _features(text: str | None, compressors) -> tuple[float, float, float]:
-    """1, the normalised difference (above 0: nearer to the good texts), how far a text is repetition beyond what prose
-    compresses to; both shrink towards 0 as a text gets too short to tell."""
+def _features(text: str | None, compressors) -> tuple[float, float]:
+    """1, the normalised difference of compressed sizes (above 0: nearer to the good texts), which shrinks towards 0 as a
+    text gets too short to tell. With the good dictionary a block counts as PROSE of its bytes at least: no prose gets
+    smaller, and what repetition alone saves speaks for the bad side."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
-        return 1.0, 0.0, 0.0
+        return 1.0, 0.0
     good = bad = 0
     for at in range(0, len(data), BLOCK):
         block = data[at : at + BLOCK]
-        good += len(compressors[0].compress(block))
+        good += max(len(compressors[0].compress(block)), PROSE * len(block))
         bad += len(compressors[1].compress(block))
     known = len(data) / (len(data) + 100.0)
-    return 1.0, known * (bad - good) / (bad + good), known * max(0.0, 1.0 - 4.0 * min(good, bad) / len(data))
+    return 1.0, known * (bad - good) / (bad + good)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -127,7 +130,7 @@ def fit_quality(
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     prior = float(np.log(share / (1 - share)))
     # Every other text for the dictionaries, the rest for the calibration.
-    model = QualityModel(_train_dictionary(texts[1][::2]), _train_dictionary(texts[0][::2]), (prior, 0.0, 0.0))
+    model = QualityModel(_train_dictionary(texts[1][::2]), _train_dictionary(texts[0][::2]), (prior, 0.0))
     rest = [(t, q) for q in (0, 1) for t in texts[q][1::2]]
     if not texts[0][1::2] or not texts[1][1::2]:
         return model
@@ -148,7 +151,7 @@ def _score(spark: SparkSession, model: QualityModel, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors, w = _compressors(shared.value), np.array(shared.value.weights)
         for texts in batches:
-            x = np.array([_features(t, compressors) for t in texts]).reshape(-1, 3)
+            x = np.array([_features(t, compressors) for t in texts]).reshape(-1, 2)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return score(text)

@@ -18,9 +18,11 @@ from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import quote, unquote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
@@ -30,6 +32,8 @@ CHUNK = 256 * 1024
 MIN_BYTES = 0
 #: Digests of repeated payloads that may be broadcast (some 20 MB), the most frequent first; more are joined by a shuffle.
 KNOWN_ROWS = 100_000
+#: Bits of the filter that tells which rows that join is for (8 MB, whatever there is of digests), and bits of a digest.
+BLOOM_BITS, HASHES = 1 << 26, 4
 _RECORD, _NO_RECORD = "<urn:page:%s>", "<urn:page-without-id>"
 _VERSION = b"WARC/1.1\r\n"
 #: Fixed date: a rewritten archive is the same, byte for byte.
@@ -81,11 +85,35 @@ def _sha1_32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
+def _positions(sha1: Column, bits: int) -> list[Column]:
+    return [F.conv(F.substring(sha1, 1 + 8 * k, 8), 16, 10).cast("long") % bits for k in range(HASHES)]
+
+
+def _maybe_among(digests: DataFrame, sha1: Column) -> Column:
+    """False for a digest that is none of digests(q_sha1), by a Bloom filter of BLOOM_BITS, which is all that is gathered."""
+    at = digests.select(F.explode(F.array(*_positions(F.col("q_sha1"), BLOOM_BITS))).alias("at"))
+    words = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    table = np.zeros(BLOOM_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = digests.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = shared.value
+        for hexadecimal in batches:
+            raw = np.frombuffer(bytes.fromhex("".join(hexadecimal)), ">u4").reshape(-1, 5)[:, :HASHES]
+            places = raw.astype(np.uint64) % np.uint64(64 * len(words))
+            yield pd.Series((words[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).all(axis=1))
+
+    return maybe(sha1)
+
+
 def _marked(rows: DataFrame, again: DataFrame) -> DataFrame:
     """rows(page_id, number, url, payload, sha1) with refers_to, and without the payloads of those that refer.
 
-    again(r_sha1, first, n): the digests that repeat. The most frequent are broadcast, so that their payloads are not
-    shuffled; the rest, if there are more, have few rows each."""
+    again(r_sha1, first, n): the digests that repeat. The most frequent are broadcast. If there are more, only rows whose
+    digest may be one of these, by a Bloom filter, are joined by a shuffle; all others, those of unique payloads first,
+    stay where they are read."""
     total = again.count()
     most = again if total <= KNOWN_ROWS else materialise(again.orderBy(F.desc("n"), "r_sha1").limit(KNOWN_ROWS), "most-repeated")
     rows = rows.join(F.broadcast(most.select("r_sha1", "first")), F.col("sha1") == F.col("r_sha1"), "left")
@@ -97,11 +125,12 @@ def _marked(rows: DataFrame, again: DataFrame) -> DataFrame:
 
     rows = refer(rows)
     if total > KNOWN_ROWS:
-        rest = again.join(most.select("r_sha1"), "r_sha1", "left_anti").select(F.col("r_sha1").alias("q_sha1"), F.col("first").alias("q_first"))
-        # Rows that are known already spread by their number.
-        key = F.when(F.col("r_sha1").isNull(), F.col("sha1")).otherwise(F.concat_ws("-", "r_sha1", "page_id"))
-        rows = rows.join(rest, key == F.col("q_sha1"), "left")
-        rows = refer(rows.withColumns({"r_sha1": F.coalesce("r_sha1", "q_sha1"), "first": F.coalesce("first", "q_first")}))
+        rest = again.join(F.broadcast(most.select("r_sha1")), "r_sha1", "left_anti")
+        rest = materialise(rest.select(F.col("r_sha1").alias("q_sha1"), F.col("first").alias("q_first")), "less-repeated")
+        rows = rows.withColumn("_maybe", F.col("r_sha1").isNull() & _maybe_among(rest, F.col("sha1")))
+        found = rows.where("_maybe").join(rest, F.col("sha1") == F.col("q_sha1"), "left")
+        found = refer(found.withColumns({"r_sha1": F.col("q_sha1"), "first": F.col("q_first")})).drop("q_sha1", "q_first")
+        rows = rows.where("not _maybe").unionByName(found).drop("_maybe")
     return rows
 
 
@@ -111,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     Of records whose payloads (html in UTF-8, null: empty) are equal and have min_bytes or more, that with the smallest
     page_id is the response and the others revisit it. Equal payloads are found by their digests: a count per digest
     with partial sums, of slim (page_id, digest) rows. Payloads stay where they are read, but for those of digests that
-    repeat less than the KNOWN_ROWS most frequent do.
+    repeat less than the KNOWN_ROWS most frequent do (and one in some hundreds that a Bloom filter takes for one).
     """
     rows = pages.select(
         F.col("page_id").cast("string").alias("page_id"),

@@ -25,3 +25,21 @@ def test_ranges_are_even_and_ordered(spark, most, monkeypatch):
         assert ranges == sorted(ranges)
     one = mixing.mix_sources(docs, ranges=1)
     assert got.exceptAll(one).isEmpty() and one.exceptAll(got).isEmpty()
+
+
+def test_a_weight_column_decides_who_is_drawn(spark):
+    """Weights of a score: the mean share that is taken follows them, the budgets don't; odd weights are the least."""
+    weight = F.when(F.col("id") % 4 == 0, 5.0).when(F.col("id") % 4 == 1, 1.0).when(F.col("id") % 4 == 2, 0.2)
+    docs = spark.range(8_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("one two three four "), F.col("id")).alias("text"), F.expr("if(id < 4000, 'a', 'b')").alias("source"), weight.alias("score")
+    )
+    rows = mixing.mix_sources(docs, share=0.5, weight=F.col("score")).collect()
+    plain = mixing.mix_sources(docs, share=0.5).collect()
+    assert {(r.source_size, r.target) for r in rows} == {(r.source_size, r.target) for r in plain}
+    for source, target in {(r.doc_id < 4000, r.target) for r in rows}:
+        own = [r for r in rows if (r.doc_id < 4000) == source]
+        assert abs(sum(r.taken for r in own) - target) <= 1
+        taken = [sum(r.taken for r in own if r.doc_id % 4 == k) / sum(r.size for r in own if r.doc_id % 4 == k) for k in range(4)]
+        assert taken[0] >= taken[1] >= taken[2] > taken[3] + 0.02 and taken[3] < 0.05
+        assert source or taken[0] > taken[1] + 0.1 > taken[2] + 0.2
+        assert {r.weight for r in own if r.doc_id % 4 == 3} == {mixing.LEAST_WEIGHT}
