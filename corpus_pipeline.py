@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fileloom.llm import decontam, jaccard, mixing, quality, rules
-from fileloom.llm.common import materialise, table
+from fileloom.llm.common import Tables, job, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{i}")
-    return docs
+    """What the mix takes of each document of sf_dir that all stages keep. Each stage's result is written before the next
+    one reads it, and then what the stage and the one before it have written is removed, but for what the result of the
+    last stage still reads.
+
+    Rows that repeat id and text, and similar texts, leave one row (that with the smallest id, null last). Null, empty and
+    wordless texts go with the rules. A null lang or source is a value like any other, a null id a document like any
+    other. Without labels the classifier keeps all, without benchmark items the decontamination does. Columns that are
+    not read are carried along, whatever their names, up to the mix. Empty tables: an empty result; reruns agree."""
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with job(spark):
+            docs = tables.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        tables.remove(f"stage-{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier's dictionaries have no SQL.
