@@ -17,10 +17,16 @@ def build_postings(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.explode(F.array_distinct(words(F.col("body")))).alias("word"), "path")
 
 
+#: Bytes of a row group of postings: a lookup reads those of its words, and a filter of each says which words it has not.
+GROUP_BYTES = 8 << 20
+
+
 def write_postings(postings: DataFrame, folder: str, mode: str = "error", of: str = "path") -> None:
-    """In the order of words, so that a lookup reads the files and row groups of its words alone; a frequent word takes
-    several files."""
-    postings.repartitionByRange("word", of).sortWithinPartitions("word", of).write.mode(mode).parquet(folder)
+    """In the order of words, so that a lookup reads the files and row groups of its words alone, and none for most words
+    that are not there (a Bloom filter for each row group); a frequent word takes several files."""
+    writer = postings.repartitionByRange("word", of).sortWithinPartitions("word", of).write.mode(mode)
+    writer = writer.option("parquet.bloom.filter.enabled#word", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.option("parquet.block.size", GROUP_BYTES).parquet(folder)
 
 
 def paths_for_word(postings: DataFrame, word: str) -> DataFrame:
