@@ -193,6 +193,7 @@ _SEARCHES: dict[str, tuple[str, bool, dict, str]] = {
         _hits("NOT is_dir AND ext = 'pdf' AND " + _DAY.format(7), [_plain("the")], ["the"]),
     ),
     "N4_literal": ("n:x sort:size", True, {}, _hits(atoms=[_plain("n:x"), _plain("sort:size")], terms=["n:x"])),
+    "N4_literal_path": (r"c:\docs\en que", True, {}, _hits(atoms=[_plain(r"c:\docs\en"), _plain("que")], terms=[r"c:\docs\en", "que"])),
     "O1_O2_score": ("en|src3 count:40", False, {}, _hits(atoms=[_either(_plain("en"), _plain("src3"))], terms=["en", "src3"], limit=40)),
     "O3_sort_size": ("ext:pdf sort:size count:15", False, {},
                      _hits("NOT is_dir AND ext = 'pdf'", order="size DESC, name, id", limit=15)),
@@ -237,6 +238,19 @@ def _with_snippet(hits: str, terms: list[str]) -> str:
 
 _ALL = "id, name, path, body, score, name_match, path_match, content_match"
 _WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(body, '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: x <> ''))"
+_FOLDED = r"""WITH e AS (
+        SELECT *, CASE event_type WHEN 'click' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
+               user_id || '-' || event_id || '.txt' AS name
+        FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error')
+      ), base AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM e WHERE kind <> 'rename')
+        WHERE n = 1 AND kind = 'create'
+      ), moved AS (
+        SELECT user_id, max(event_id) AS event_id, max_by(name, event_id) AS name FROM e WHERE kind = 'rename' GROUP BY user_id
+      )
+      SELECT b.user_id AS id, CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS name,
+             'C:\u\' || CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS path, b.ts AS modified
+      FROM base b LEFT JOIN moved m USING (user_id)"""
 _CHANGED = """, ch AS (
   SELECT doc_id AS seq, path, 'new ' || lang AS body FROM named JOIN files ON files.id = doc_id WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id + 1000000, path, CASE WHEN doc_id % 12 = 0 THEN NULL ELSE 'newer ' || source END
@@ -341,19 +355,6 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
         CASE WHEN event_type IN ('signup', 'purchase') THEN ts END AS modified,
         CASE WHEN event_type IN ('signup', 'purchase') THEN 0 END AS attributes
         FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error')""",
-    "L1_J6_fold_changes": r"""WITH e AS (
-        SELECT *, CASE event_type WHEN 'click' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
-               user_id || '-' || event_id || '.txt' AS name
-        FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error')
-      ), base AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM e WHERE kind <> 'rename')
-        WHERE n = 1 AND kind = 'create'
-      ), moved AS (
-        SELECT user_id, max(event_id) AS event_id, max_by(name, event_id) AS name FROM e WHERE kind = 'rename' GROUP BY user_id
-      )
-      SELECT b.user_id AS id, CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS name,
-             'C:\u\' || CASE WHEN m.event_id > b.event_id THEN m.name ELSE b.name END AS path, b.ts AS modified
-      FROM base b LEFT JOIN moved m USING (user_id)""",
     "L4_L5_store": r"""WITH e AS (
         SELECT *, CASE event_type WHEN 'click' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
                user_id || '-' || event_id || '.txt' AS name
@@ -382,6 +383,11 @@ ORACLE_SQL: dict[str, str] = {k: v[3] for k, v in _SEARCHES.items()} | {
     "A2_X3_postings": _CATALOG + f"SELECT word, count(*) AS paths FROM (SELECT unnest({_WORDS}) AS word FROM bodies) GROUP BY word",
     "J2_word_lookup": _CATALOG + f"SELECT id, name FROM full_cat WHERE list_contains({_WORDS}, 'the')",
     "J2_all_words": _CATALOG + f"SELECT path FROM bodies WHERE list_has_all({_WORDS}, ['the', 'that', 'onon'])",
+    "L1_J6_fold_changes": _FOLDED,
+    "L4_file_state": _FOLDED,
+    "J2_all_words_in_blocks": _CATALOG + f"SELECT path FROM bodies WHERE list_has_all({_WORDS}, ['the', 'that', 'onon'])",
+    "A2_blocks": _CATALOG + f"""SELECT word, n // 256 AS block, min(n) AS first, max(n) AS last, count(*) AS many
+        FROM (SELECT n, unnest({_WORDS}) AS word FROM (SELECT body, row_number() OVER (ORDER BY path) - 1 AS n FROM bodies)) GROUP BY ALL""",
     "T18_contains_all": _CATALOG + """SELECT path FROM bodies WHERE contains(lower(body), 'the') AND contains(lower(body), 'thing')
         AND contains(lower(body), 're.')""",
     "T17_names_with_prefix": _CATALOG + "SELECT id, name FROM cat WHERE starts_with(lower(name), 'read')",

@@ -12,12 +12,13 @@ from fileloom.jobs import sinks
 from fileloom.jobs.compile import compile_query, compile_text
 from fileloom.jobs.oracle import ORACLE_SQL as _SQL
 from fileloom.jobs.oracle import SEARCHES
-from fileloom.operators import events, hierarchy, match, postings, rank
+from fileloom.operators import blocks, events, hierarchy, match, postings, rank
 from fileloom.operators.search import search
+from fileloom.schema import CHANGES
 from fileloom.sources import adapters, extract, feeds, listing
 from fileloom.sources.adapters import NOW
 from fileloom.sources.tables import new_folder, table
-from fileloom.streaming import catalog_stream
+from fileloom.streaming import catalog_stream, file_state
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -267,6 +268,16 @@ def _fold(spark, folder):
     return events.fold_changes(none, adapters.change_log(spark, folder)).select("id", "name", "path", "modified")
 
 
+@_register("L4_file_state")
+def _file_state(spark, folder):
+    """The change log through the stateful stream."""
+    home = new_folder(spark, "file-state")
+    adapters.change_log(spark, folder).write.parquet(f"{home}/log")
+    log = spark.readStream.schema(CHANGES).parquet(f"{home}/log")
+    file_state.follow_files(log, f"{home}/rows", f"{home}/checkpoint", once=True).awaitTermination()
+    return file_state.current_files(spark, f"{home}/rows").select("id", "name", "path", "modified")
+
+
 def _folder_renames(spark, folder):
     """Renames of language folders, twice for some, after which files are created under the old paths."""
     dirs = adapters.directories(table(spark, folder, "documents")).where("path rlike r'^C:.docs.[a-z]+$'")
@@ -314,6 +325,19 @@ def _all_words(spark, folder):
     return postings.paths_for_all_words(index, ["the", "that", "onon"])
 
 
+@_register("A2_blocks")
+def _blocks(spark, folder):
+    """Spans of 256 numbers, so that the tables' frequent words are split as those of a large index are."""
+    return blocks.build_blocks(adapters.bodies(spark, folder), 256)[1].select("word", "block", "first", "last", "many")
+
+
+@_register("J2_all_words_in_blocks")
+def _all_words_in_blocks(spark, folder):
+    index = new_folder(spark, "blocks")
+    blocks.write_blocks(adapters.bodies(spark, folder), index, 256)
+    return blocks.paths_with_all_words(*blocks.read_blocks(spark, index), ["the", "that", "onon"])
+
+
 @_register("T18_contains_all")
 def _contains_all(spark, folder):
     return postings.contains_all(adapters.bodies(spark, folder), ["The", "thing", "re."]).select("path")
