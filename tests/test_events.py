@@ -302,7 +302,10 @@ def test_rows_that_depend_on_void_rows(spark):
         assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == watch_replay(catalog, rows, 50)
 
 
-def test_full_paths(spark):
+@pytest.mark.parametrize("levels,size", [(64, 1 << 25), (3, 1 << 25), (64, -1)])
+def test_full_paths(spark, levels, size, monkeypatch):
+    monkeypatch.setattr(hierarchy, "LEVELS", levels)
+    monkeypatch.setattr(hierarchy, "BROADCAST_BYTES", size)
     root = 5
     chain = [(1000 + k, 1000 + k - 1 if k else root, f"d{k}") for k in range(40)]
     rows = [(root, root, "."), (1, root, "a"), (2, 1, "b"), (3, 2, "c.txt"), (4, 77, "orphan"), (6, 6, "self"), (7, 1, ""), (8, 7, "x"), (9, None, "top"), *chain, (11, 12, "p"), (12, 11, "q")]
@@ -314,6 +317,15 @@ def test_full_paths(spark):
     assert got[11].count("\\") == 512 and got[11].endswith("q\\p")
 
 
+def test_many_directories_under_one_parent(spark):
+    """Their level meets them where they lie: no name and no path of another level is shuffled with them."""
+    nodes = spark.range(100, 30_100).selectExpr("id", "if(id = 100, 5L, if(id < 20100, 100L, id - 20000)) as parent", "concat('n', id) as name")
+    got = {r.id: r.path for r in hierarchy.full_paths(nodes, "C:").collect()}
+    assert len(got) == 30_000 and got[101] == "C:\\n100\\n101" and got[20_200] == "C:\\n100\\n200\\n20200"
+    plan = hierarchy.full_paths(nodes, "C:")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "array<string>" not in plan
+
+
 def test_stream_of_batches_equals_one_fold(spark, tmp_path):
     rows, log = random_case(7)
     store = CatalogStore(spark, f"file://{tmp_path}/store")
