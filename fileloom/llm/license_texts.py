@@ -161,17 +161,25 @@ signalling:signaling utilisation:utilization whilst:while wilful:willful
 """.split()
 )
 
+#: Beginnings of pairs of words, and what they are taken for.
+EQUIVALENT_PAIRS = {
+    "copyright owner": "copyright holder",
+    "sub licens": "sublicens",
+    "non commercial": "noncommercial",
+    "per cent": "percent",
+}
+
 #: Digests (licenses.text_digest) of whole texts that are too long to stand here, as their publishers give them; where a text
 #: goes on after "END OF TERMS AND CONDITIONS" with how to apply it, also of the text up to there.
 DIGESTS = {
-    "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847": "Apache-2.0",
-    "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87": "Apache-2.0",
+    "81e9b74a977a0320a7f1118705e033ed557f3f7d1e88cac937c574ad075941aa": "Apache-2.0",
+    "b0552a470b35ebc6a8191e79a1840fa5a6ae46978f1b8a1dbb6eb94002fbbeb2": "Apache-2.0",
     "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
     "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
-    "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60": "GFDL-1.2",
-    "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826": "GFDL-1.3",
-    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
-    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "e95f3dff719462796ef7252f03266f551dc5e4b6ef9bd3209a2b2c9b56da8355": "GFDL-1.2",
+    "03d8dc3193f17e9e73a84f91a9755a2c1af0c7fd4aebd472322335503a5b97a0": "GFDL-1.3",
+    "d98bca1875592c382caba655043aec268528bc17c9d7c0a9e892b953378effa6": "GPL-1.0",
+    "9679cb8f8a7c25e849b925136d793d1bec010b8b9270e6ba898e2cefcb3e1f6d": "GPL-1.0",
     "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
     "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
     "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
@@ -181,6 +189,6 @@ DIGESTS = {
     "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
     "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
     "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
-    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
-    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+    "286531471d44d2304f376f72d62a3573a9a54a8693a2d7cc3c3ed45fd567e8c5": "MPL-1.1",
+    "d93233202a0668a0f31517049a3528a401f8f1f11163fb748b48624e00a39a1c": "MPL-2.0",
 }

@@ -17,21 +17,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .license_texts import DIGESTS, EQUIVALENT, LICENSES, NOTICES
+from .license_texts import DIGESTS, EQUIVALENT, EQUIVALENT_PAIRS, LICENSES, NOTICES
 
 KNOWN_ROWS = 100_000
 #: Fixed pattern: a line that states a copyright, not a sentence about one.
 COPYRIGHT_LINE = r"^[\s#*/;.\-]*(copyright\s*(\(c\)|©|[0-9<\[{])|\(c\)|©)"
 
-_COPYRIGHT = re.compile(COPYRIGHT_LINE)
+#: Fixed pattern: such a line and those that go on with it, which follow at once and are set in by four places or more.
+CONTINUED = (
+    r"(?m)(^[ \t]{0,3}[#*/;.\-]*[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|\(c\)|©)[^\n]*)(?:\n[ \t]{4,}[^ \t\n\r\f\v][^\n]*)+"
+)
+
+_COPYRIGHT, _CONTINUED = re.compile(COPYRIGHT_LINE), re.compile(CONTINUED)
 _WORD = re.compile(r"[^\W_]+")
 
 
+def one_spelling(words: str) -> str:
+    """Words that are written as one, apart, or with a hyphen, and pairs of words that mean the same, in one way."""
+    for apart, together in EQUIVALENT_PAIRS.items():
+        if apart in words:
+            words = re.sub(f"(^| ){apart}", rf"\1{together}", words)
+    return words
+
+
 def canonical_lines(text: str | None) -> list[str]:
-    """The lines that hold words and are not copyright lines: lower-case words in their first spelling, one space apart."""
+    """The lines that hold words and are not copyright lines, nor go on with one: lower-case words in their first spelling,
+    one space apart. Pairs of words are left to one_spelling, since a text may break its lines within one."""
     found = []
-    for line in (text or "").split("\n"):
-        line = line.lower()
+    for line in _CONTINUED.sub(r"\1", (text or "").lower()).split("\n"):
         words = _WORD.findall(line)
         if words and not _COPYRIGHT.match(line):
             found.append(" ".join([EQUIVALENT.get(w, w) for w in words]))
@@ -44,7 +57,7 @@ def digest(text: str) -> str:
 
 def text_digest(text: str | None) -> str:
     """Independent of how the text is broken into lines."""
-    return digest(" ".join(canonical_lines(text)))
+    return digest(one_spelling(" ".join(canonical_lines(text))))
 
 
 KNOWN = "digest string, kind string, license string"
@@ -80,8 +93,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lines = [], []
         for text in batch.column("text"):
             found = canonical_lines(text.as_py())
-            texts.append(digest(" ".join(found)))
-            lines.append([digest(x) for x in dict.fromkeys(found)])
+            texts.append(digest(one_spelling(" ".join(found))))
+            lines.append([digest(x) for x in dict.fromkeys(map(one_spelling, found))])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), pa.array(texts), pa.array(lines, pa.list_(pa.string()))],
             names=["doc_id", "row", "digest", "lines"],

@@ -110,19 +110,25 @@ FROM b
 """
 
 
+def _spelt(words: str) -> str:
+    for apart, together in licenses.EQUIVALENT_PAIRS.items():
+        words = f"regexp_replace({words}, '(^| ){apart}', '\\1{together}', 'g')"
+    return words
+
+
 OP1_SQL = rf"""
 WITH known AS (
   SELECT * FROM (VALUES {{known}}) AS t(digest, kind, license)
 ), l AS (
   SELECT rid, doc_id, list_filter(list_transform(
-           list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower(x)),
+           list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '{licenses.CONTINUED}', '\1', 'g'), chr(10)),
                        lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')),
            lambda x: array_to_string(list_transform(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+'),
              lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.EQUIVALENT.items())} ELSE w END), ' ')),
          lambda x: x <> '') AS ls
   FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
 ), d AS (
-  SELECT rid, doc_id, sha256(array_to_string(ls, ' ')) AS digest, list_distinct(list_transform(ls, lambda x: sha256(x))) AS ds FROM l
+  SELECT rid, doc_id, sha256({_spelt("array_to_string(ls, ' ')")}) AS digest, list_distinct(list_transform(ls, lambda x: sha256({_spelt('x')}))) AS ds FROM l
 ), n AS (
   SELECT rid, string_agg(license, ',' ORDER BY license) AS notices
   FROM (SELECT DISTINCT u.rid, k.license FROM (SELECT rid, unnest(ds) AS h FROM d) u JOIN known k ON k.kind = 'line' AND k.digest = u.h)

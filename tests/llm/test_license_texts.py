@@ -42,3 +42,17 @@ def test_known_tables_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(1, mit), (2, "text\nAll rights reserved."), (3, None)]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: (None, "all-rights-reserved"), 3: (None, "")}
+
+
+def test_spellings_of_several_words_and_wrapped_notices(spark):
+    """Variants of known texts as they are found; and texts that only look alike."""
+    mit = next(t for t, n in license_texts.LICENSES.items() if n == "MIT" and "sublicense" in t)
+    bsd = license_texts._BSD_HEAD + license_texts._BSD_3 + license_texts._BSD_TAIL
+    wrapped = "Copyright (c) 2001-2020, The Very Long Name of a Foundation\n                         and of its many contributors\n    in all their places\n"
+    texts = {
+        1: (mit.replace("sublicense", "sub-license"), "MIT"), 2: (mit.replace("sublicense", "sub license"), "MIT"), 3: (mit.replace("copyright holder", "copyright owner").replace("COPYRIGHT HOLDER", "Copyright\nOwner"), "MIT"),
+        4: (wrapped + bsd, "BSD-3-Clause"), 5: (" * " + wrapped.replace("\n  ", "\n\t\t\t\t") + bsd, "BSD-3-Clause"), 6: (wrapped.replace("\n  ", "\n\n  ") + bsd, None),
+        7: (wrapped.replace("Copyright (c)", "Copyrighted by") + bsd, None), 8: (mit.replace("sublicense", "relicense"), None),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()} == {k: n for k, (_, n) in texts.items()}

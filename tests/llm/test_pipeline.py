@@ -24,5 +24,5 @@ def test_stages_keep_columns_and_only_remove_rows(spark):
 
 def test_queries_and_sql_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
