@@ -17,6 +17,8 @@ from fileloom.sources.tables import cut
 CREATE_BIT, DELETE_BIT, RENAME_NEW_BIT = 0x100, 0x200, 0x2000
 #: Places that rows of a batch ask for and that may be broadcast to the catalog (some 50 MB); more are joined by a shuffle.
 ASKED_ROWS = 200_000
+#: Ranges of seq that the rows of one place are dealt to.
+PARTS = 64
 
 
 def _change(df: DataFrame, **columns: Column) -> DataFrame:
@@ -37,6 +39,32 @@ def journal_changes(rows: DataFrame) -> DataFrame:
     )
 
 
+def _in_parts(deeds: DataFrame) -> DataFrame:
+    """deeds with part: PARTS ranges of seq, so that the rows of a place that a batch names again and again are not in one
+    task."""
+    low, high = deeds.agg(F.min("seq"), F.max("seq")).first()
+    part = F.lit(0) if low is None else ((F.col("seq") - low) * PARTS / F.lit(high - low + 1)).cast("int")
+    return deeds.withColumn("part", part)
+
+
+def _before(deeds: DataFrame, last: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """deeds(at, part, seq, turn, ...) with the last value (that is not null) and the sum of these columns over the rows of
+    the same place before each: within its part by a window, of the parts before by a window over their totals."""
+    when = F.struct("seq", "turn")
+    own = Window.partitionBy("at", "part").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.max_by(v, F.when(v.isNotNull(), when)).alias(f"_{c}") for c, v in last.items()]
+    totals = deeds.groupBy("at", "part").agg(*totals, *[F.sum(v).alias(f"_{c}") for c, v in sums.items()])
+    # A row for each part of a place.
+    parts = Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"_{c}", ignorenulls=True).over(parts).alias(f"c_{c}") for c in last]
+    carried = totals.select("at", "part", *carried, *[F.sum(f"_{c}").over(parts).alias(f"c_{c}") for c in sums])
+    within = {c: F.last(v, ignorenulls=True).over(own) for c, v in last.items()} | {c: F.sum(v).over(own) for c, v in sums.items()}
+    rows = deeds.withColumns(within).join(carried, ["at", "part"])
+    rows = rows.withColumns({c: F.coalesce(c, f"c_{c}") for c in last})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) + F.coalesce(f"c_{c}", F.lit(0)) for c in sums})
+    return rows.drop(*[f"c_{c}" for c in [*last, *sums]])
+
+
 def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
     """For each delete and rename what is at its place then: `from`, the row that put it there, or id, by the catalog.
     else: whether, if that row put nothing there after all, something earlier may be there."""
@@ -45,12 +73,17 @@ def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
     deeds = deeds.union(deeds.selectExpr("at", "seq", "0", "put"))
     deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_at", "seq", "1", "seq"))
     deeds = deeds.union(rows.where("kind = 'create'").selectExpr("at", "seq", "1", "seq"))
-    earlier = Window.partitionBy("at").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    deed = F.when(F.col("turn") >= 0, F.struct("put"))
-    taken = F.count(F.when((F.col("turn") == 0) & F.col("put").isNull(), 1))
-    deeds = deeds.withColumns({"last": F.last(deed, ignorenulls=True).over(earlier), "taken": taken.over(earlier)})
-    since = Window.partitionBy("at", "taken").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    asked = deeds.withColumn("puts", F.count("put").over(since)).where("turn = -1")
+    deeds = _in_parts(deeds)
+    take = (F.col("turn") == 0) & F.col("put").isNull()
+    deeds = _before(
+        deeds,
+        {"last": F.when(F.col("turn") >= 0, F.struct("put"))},
+        {"taken": F.when(take, 1).otherwise(0), "puts": F.when(F.col("put").isNotNull(), 1).otherwise(0)},
+    )
+    # Of the puts, those since the last time that something was taken away.
+    deeds = _before(deeds, {"puts_then": F.when(take, F.struct("puts"))}, {})
+    puts = F.col("puts") - F.coalesce("puts_then.puts", F.lit(0))
+    asked = deeds.where("turn = -1").withColumn("puts", puts)
     return asked.join(here, "at", "left").select(
         "seq",
         F.col("last.put").alias("from"),
