@@ -15,8 +15,8 @@ from fileloom.operators.query import Query
 from fileloom.schema import CATALOG, SNIPPET
 from fileloom.sources.tables import cut
 
-#: Candidates whose paths may be broadcast to the bodies (some 100 MB at most); hits whose paths go into one condition.
-FEW_PATHS, FEW_HITS = 500_000, 1000
+#: Candidates whose paths may be broadcast to the bodies, and their bytes; hits whose paths go into one condition.
+FEW_PATHS, FEW_BYTES, FEW_HITS = 500_000, 64 << 20, 1000
 HIT_COLUMNS = [*CATALOG.names, "score", "name_match", "path_match", "content_match", "snippet"]
 
 
@@ -49,7 +49,8 @@ def _of_candidates(bodies: DataFrame, rows: DataFrame, q: Query, key: str) -> Da
     if not filters.conditions(q):
         return bodies
     paths = rows.select(key)
-    return bodies.join(F.broadcast(paths), key, "left_semi") if paths.limit(FEW_PATHS + 1).count() <= FEW_PATHS else bodies
+    n, size = paths.limit(FEW_PATHS + 1).agg(F.count("*"), F.sum(F.octet_length(key))).first()
+    return bodies.join(F.broadcast(paths), key, "left_semi") if n <= FEW_PATHS and (size or 0) <= FEW_BYTES else bodies
 
 
 def matched(
