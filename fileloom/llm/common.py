@@ -78,6 +78,11 @@ class Tables:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def free_shuffles(self) -> None:
+        """Spark removes the shuffle files of jobs that are over when the driver has collected what stands for them, which
+        may take as long as the whole job: now they go at once."""
+        self.spark._jvm.System.gc()
+
     def remove(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.folder}/{name}")

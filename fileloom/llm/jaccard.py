@@ -423,15 +423,18 @@ class _Grouping:
         postings = self.save(self.sets.select("row", "n", "low").mapInArrow(_postings(shared, below, how), POSTING), "postings")
         members = self.members(postings, "members")
         tables.remove("postings", "frequent")
+        tables.free_shuffles()
         self.merge(self.verified(self.star_pairs(members), "hub"), "hub")
         split = self.outside(members, "outside")
         tables.remove("members")
+        tables.free_shuffles()
         self.merge(self.verified(self.rest_pairs(split.where(f"many <= {LONG}")), "rest"), "rest")
 
         far = split.where(f"many > {LONG}")
         far = far.join(far.where("out").select("key").distinct(), "key", "left_semi").select("row").distinct()
         far = self.save(self.sets.select("row", "doc_id", "th", "n").join(far, "row", "left_semi"), "far")
         tables.remove("outside")
+        tables.free_shuffles()
         if not far.isEmpty():
             self.refine(far)
 
