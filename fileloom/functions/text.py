@@ -72,9 +72,14 @@ def _markup_text(c: Column) -> Column:
     return helper(c)
 
 
-def with_markup_text(df: DataFrame, markup: str, name: str) -> DataFrame:
+def with_markup_text(df: DataFrame, markup: str, name: str, tags_first: bool = False) -> DataFrame:
     """df with the text of a markup column, in one pass: only rows with numbered entities or a bare `&`, which are few,
-    are sent to Python; for the others it gets a null."""
+    are sent to Python; for the others it gets a null.
+
+    tags_first: all rows by the built-in expressions, which take the tags out before they look for entities. An open
+    entity then swallows the spaces of the tags in it too, and numbered entities are unknown ones."""
+    if tags_first:
+        return df.withColumn(name, simple_markup_text(F.col(markup)))
     odd = F.coalesce(F.col(markup).rlike(_ODD_MARKUP), F.lit(False))
     text = F.when(odd, _markup_text(F.when(odd, F.col(markup)))).otherwise(simple_markup_text(F.col(markup)))
     return df.withColumn(name, text)

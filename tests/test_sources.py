@@ -2,11 +2,13 @@ import io
 import os
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fileloom.functions import derive, text
 from fileloom.jobs import run
+from fileloom.jobs.queries import ORACLE_SQL, QUERIES
 from fileloom.operators import postings
 from fileloom.sources import extract, listing
 
@@ -40,6 +42,22 @@ def test_markup_ways_agree(spark):
     assert got[4] == "AT y" and got[6] == "&lt;" and got[2] == "x var a = 1 0; y"
 
 
+@pytest.mark.parametrize("html", ["<title>der&am</title><style>p{m:0}</style><script>var t='</p>';track(1);</script>x", "a&&&#65;b", "AT&T<b>x</b>;y", "&am&amp;x;", "a&lt</p>;b", None])
+def test_registered_markup_as_its_sql(spark, tmp_path, html):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, html), (2, "<p>a &amp; b")], "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    pages = duckdb.sql(f"SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")  # noqa: F841
+    want = duckdb.sql(ORACLE_SQL["S4b_X1_markup_text"]).fetchall()
+    assert sorted(map(tuple, QUERIES["S4b_X1_markup_text"](spark, folder).collect())) == sorted(want)
+
+
+def test_tags_in_an_open_entity(spark):
+    """The searched tool's own way, which extraction keeps: a tag in an open entity leaves its space."""
+    df = spark.createDataFrame([("der&am</title>track();x",)], "m string")
+    assert text.with_markup_text(df, "m", "t").first().t == "der x"
+    assert text.with_markup_text(df, "m", "t", tags_first=True).first().t == "derx"
+
+
 def _office(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
