@@ -7,12 +7,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileloom import schema
 
 CONTEXT = 80
+#: Rows that a worker turns into Python values at once.
+PIECE_ROWS = 256
 #: The entities that are known by name.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 _ODD_MARKUP = r"&(?![A-Za-z]+;)"
@@ -64,12 +67,16 @@ def _entity(name: str) -> str:
 
 
 def _markup_text(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def helper(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for markup in batches:
-            yield markup.map(lambda m: None if m is None else markup_text(m))
-
-    return helper(c)
+    @F.arrow_udf("string")
+    def helper(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # A row at a time out of the batch and a piece of them back: most rows are null.
+        for batch in batches:
+            for at in range(0, len(batch), PIECE_ROWS):
+                piece = batch.slice(at, PIECE_ROWS)
+                yield pa.array([markup_text(m.as_py()) if m.is_valid else None for m in piece], pa.string())
+
+    # A filter on the text does not make it again.
+    return helper.asNondeterministic()(c)
 
 
 def with_markup_text(df: DataFrame, markup: str, name: str, tags_first: bool = False) -> DataFrame:

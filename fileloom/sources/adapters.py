@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from datetime import datetime
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fileloom.functions.text import PIECE_ROWS
 from fileloom.schema import CATALOG, CHANGES
 from fileloom.sources.tables import table
 
@@ -88,15 +89,18 @@ def office_files(rows: DataFrame) -> DataFrame:
     """path, ext, content of rows(path, ext, text): each text as the main part of an archive, with a part beside it that
     holds none of the document's text."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            contents = []
-            for ext, text in zip(frame["ext"], frame["text"], strict=True):
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr("docProps/app.xml", "<Properties>none</Properties>")
-                    archive.writestr(_PARTS[ext], f"<?xml version='1.0'?><r><t>{escape(text, quote=False)}</t></r>")
-                contents.append(data.getvalue())
-            yield pd.DataFrame({"path": frame["path"], "ext": frame["ext"], "content": contents})
-
-    return rows.select("path", "ext", "text").mapInPandas(pack, "path string, ext string, content binary")
+    def packed(ext: str, text: str) -> bytes:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("docProps/app.xml", "<Properties>none</Properties>")
+            archive.writestr(_PARTS[ext], f"<?xml version='1.0'?><r><t>{escape(text, quote=False)}</t></r>")
+        return data.getvalue()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                paths, exts, texts = batch.slice(at, PIECE_ROWS).columns
+                contents = [packed(ext.as_py(), text.as_py()) for ext, text in zip(exts, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([paths, exts, pa.array(contents, pa.binary())], names=["path", "ext", "content"])
+
+    return rows.select("path", "ext", "text").mapInArrow(pack, "path string, ext string, content binary")

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,23 +75,37 @@ def utf16_text(data: bytes) -> str:
     return data[2 : 2 + (len(data) - 2) // 2 * 2].decode(order, "replace")
 
 
+#: Characters of bodies that a worker holds as Python values at once, but for a larger body.
+PIECE_BYTES = 1 << 20
+
+
+def _body(ext: str, data: bytes) -> str | None:
+    if ext == "pdf":
+        return pdf_text(data)
+    return office_text(ext, data) if ext in OFFICE else utf16_text(data)
+
+
+def bodies_in_pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Bodies of batches (ext, content), null for null. Values are taken from a batch one by one and handed back in
+    pieces, so that a worker holds no more than a piece beside the batch."""
+    for exts, contents in batches:
+        out, size = [], 0
+        for ext, data in zip(exts, contents, strict=True):
+            out.append(_body(ext.as_py(), data.as_py()) if data.is_valid else None)
+            size += len(out[-1] or "")
+            if size >= PIECE_BYTES:
+                yield pa.array(out, pa.string())
+                out, size = [], 0
+        yield pa.array(out, pa.string())
+
+
 def _by_helper(kind: Column, content: Column) -> Column:
-    @F.pandas_udf("string")
-    def helper(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for exts, contents in batches:
-            out = []
-            for ext, data in zip(exts, contents, strict=True):
-                if data is None:
-                    out.append(None)
-                elif ext == "pdf":
-                    out.append(pdf_text(bytes(data)))
-                elif ext in OFFICE:
-                    out.append(office_text(ext, bytes(data)))
-                else:
-                    out.append(utf16_text(bytes(data)))
-            yield pd.Series(out, dtype=object)
-
-    return helper(kind, content)
+    @F.arrow_udf("string")
+    def helper(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from bodies_in_pieces(batches)
+
+    # Else the filter on bodies is pushed below, and every file is read twice by twice the workers.
+    return helper.asNondeterministic()(kind, content)
 
 
 def extract_bodies(files: DataFrame) -> DataFrame:

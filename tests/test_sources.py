@@ -1,8 +1,10 @@
 import io
 import os
+import tracemalloc
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,31 @@ def _office(parts):
     return out.getvalue()
 
 
+def test_every_file_is_read_once(spark):
+    rows = spark.createDataFrame([("a", "pdf", b"(x)"), ("b", "html", b"&#65;")], "path string, ext string, content binary")
+    plan = extract.extract_bodies(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("helper(") == 2
+
+
+@pytest.mark.parametrize("ext", ["pdf", "docx", "txt"])
+def test_bodies_are_made_in_pieces(ext):
+    """A worker holds a piece of a batch's bodies, not all of them."""
+    plain = "word \u00e9 " * 4_000
+    made = {"pdf": f"%PDF ({plain})".encode(), "docx": _office([("word/document.xml", f"<w>{plain}</w>")]), "txt": ("\ufeff" + plain).encode("utf-16-le")}
+    contents = pa.array([made[ext], None] * 400, pa.binary())
+    tracemalloc.start()
+    try:
+        rows = pieces = 0
+        for part in extract.bodies_in_pieces(iter([(pa.array([ext] * 800), contents)])):
+            rows, pieces = rows + len(part), pieces + 1
+            assert all(v.is_valid == (k % 2 == 0) for k, v in enumerate(part, rows - len(part)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # All bodies are 22 MB or more.
+    assert rows == 800 and pieces > 5 and peak < 8e6
+
+
 def test_extract(spark):
     files = {
         "bom.txt": b"\xef\xbb\xbfhello", "bad.txt": b"a\xff", "le.md": "\ufeffab\uac00".encode("utf-16-le"), "be.md": b"\xfe\xff\x00a\xd8\x00",
