@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -30,27 +31,18 @@ def rtf_text(c: Column) -> Column:
     return text.collapse_spaces(F.regexp_replace(c, r"\\(?:(\\)|[A-Za-z]* ?)|[{}]", "$1"))
 
 
+#: A literal up to the first closing parenthesis or the end, and a backslash with the byte that it hides.
+_LITERAL, _HIDDEN = re.compile(rb"\(((?:[^\\)]++|\\.)*+\\?)", re.DOTALL), re.compile(rb"\\(.)", re.DOTALL)
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\ufffd]")
+
+
 def pdf_text(data: bytes) -> str:
     """Literals in parentheses, each up to the first closing one, then the printable characters of the whole file."""
-    out, at = [], data.find(b"(")
-    while at >= 0:
-        at += 1
-        literal = bytearray()
-        while at < len(data) and data[at] != 0x29:
-            if data[at] == 0x5C and at + 1 < len(data):
-                at += 1
-            literal.append(data[at])
-            at += 1
-        out.append(" " + literal.decode("latin-1"))
-        at = data.find(b"(", at + 1)
-    runs = "".join(c for c in data.decode("utf-8", "replace") if c != "\ufffd" and not _control(c))
+    out = [" " + _HIDDEN.sub(rb"\1", m[1]).decode("latin-1") for m in _LITERAL.finditer(data)]
+    runs = _CONTROL.sub("", data.decode("utf-8", "replace"))
     return " ".join(("".join(out) + " " + runs).split())
 
 
-def _control(c: str) -> bool:
-    return c < " " or "\x7f" <= c <= "\x9f"
-
-
 def _wanted(ext: str, part: str) -> bool:
     if ext == "docx":
         return part == "word/document.xml" or part.endswith("/document.xml")

@@ -93,6 +93,19 @@ def test_bodies_are_made_in_pieces(ext):
     assert rows == 800 and pieces > 5 and peak < 8e6
 
 
+@pytest.mark.parametrize("data", [b"", b"(", b"(a", b"(a\\", b"(a\\)b", b"a)(b(c)d)(e)", b"(\\\\)x", b"(a\nb)\xff\xc2\x85c", b"((((" * 9, b"(" + b"\\x" * 50_000])
+def test_pdf_literals(data):
+    out, at = "", data.find(b"(")
+    while at >= 0:
+        at, literal = at + 1, b""
+        while at < len(data) and data[at : at + 1] != b")":
+            at += data[at : at + 1] == b"\\" and at + 1 < len(data)
+            literal, at = literal + data[at : at + 1], at + 1
+        out, at = out + " " + literal.decode("latin-1"), data.find(b"(", at + 1)
+    runs = "".join(c for c in data.decode("utf-8", "replace") if c != "\ufffd" and not (c < " " or "\x7f" <= c <= "\x9f"))
+    assert extract.pdf_text(data) == " ".join(f"{out} {runs}".split())
+
+
 def test_extract(spark):
     files = {
         "bom.txt": b"\xef\xbb\xbfhello", "bad.txt": b"a\xff", "le.md": "\ufeffab\uac00".encode("utf-16-le"), "be.md": b"\xfe\xff\x00a\xd8\x00",
