@@ -2,12 +2,12 @@
 
 Paths are numbered in their order. A block holds a word's numbers from one span of them, as differences, with the first and
 the last: so a word that every body has is split over many rows, however many bodies there are, and no row holds more
-than SPAN numbers. Bodies that lie together have numbers of one span, so most of a block comes together within a task,
-before the shuffle."""
+than SPAN numbers. Bodies with the numbers of one chunk of a span are brought together, and their words are put in order in
+one task."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +19,69 @@ from fileloom.sources.listing import numbered
 
 #: Numbers of paths that a block may hold.
 SPAN = 1 << 16
+#: Numbers whose bodies' words are put in order at once, in one task.
+CHUNK = 1 << 12
+
+
+def _blocks(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of rows(chunk, n, words) that come in the order of n, with whole chunks."""
+
+    def of_chunk(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        ns, lists = table["n"].to_numpy(), table["words"]
+        codes = lists.combine_chunks().flatten().dictionary_encode()
+        ns = np.repeat(ns, lists.combine_chunks().value_lengths().fill_null(0).to_numpy())
+        order = np.argsort(codes.indices.to_numpy(), kind="stable")
+        code, ns = codes.indices.to_numpy()[order], ns[order]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        ends = np.append(starts[1:], len(ns))[: len(starts)]
+        deltas = np.diff(ns, prepend=0)
+        deltas[starts] = 0
+        found = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ns)), pa.int32()), pa.array(deltas, pa.int32()))
+        columns = [codes.dictionary.take(pa.array(code[starts])), ns[starts] // span, ns[starts], ns[ends - 1], ends - starts]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), found], names=["word", "block", "first", "last", "many", "deltas"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if low < high and chunks[low] != at:
+                    if held:
+                        yield of_chunk(held)
+                    held, at = [], chunks[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield of_chunk(held)
+
+    return run
 
 
 def build_blocks(bodies: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """numbers(path, n), n from 0 on, and blocks(word, block, first, last, many, deltas) of bodies(path, body)."""
-    rows = numbered(bodies.select("path", F.array_distinct(words(F.col("body"))).alias("words")), "path", 0)
-    rows = rows.withColumnRenamed("id", "n")
-    own = rows.select(F.explode("words").alias("word"), "n")
-    block = F.floor(F.col("n") / span).alias("block")
-    found = own.groupBy("word", block).agg(F.sort_array(F.collect_list("n")).alias("ns"))
-    deltas = F.transform("ns", lambda n, i: F.when(i > 0, n - F.element_at("ns", F.greatest(i, F.lit(1)))).otherwise(F.lit(0)).cast("int"))
-    return rows.select("path", "n"), found.select(
-        "word", "block", F.element_at("ns", 1).alias("first"), F.element_at("ns", -1).alias("last"), F.size("ns").cast("long").alias("many"), deltas.alias("deltas")
-    )
+    """numbers(path, n), n from 0 on, and blocks(word, block, first, last, many, deltas) of bodies(path, body).
+
+    What is shuffled is bodies, by their chunk of numbers, not a row for each word of each body. Only where a span is
+    larger than a chunk are a word's lists of its chunks put together by a second shuffle."""
+    rows = numbered(bodies.select("path", "body"), "path", 0).withColumnRenamed("id", "n")
+    of_span = -(-span // CHUNK)
+    chunk = F.floor(F.col("n") / span) * of_span + F.floor(F.col("n") % span / CHUNK)
+    placed = rows.select(chunk.alias("chunk"), "n", "body").repartition("chunk").sortWithinPartitions("n")
+    placed = placed.select("chunk", "n", F.array_distinct(words(F.col("body"))).alias("words"))
+    found = placed.mapInArrow(_blocks(span), "word string, block long, first long, last long, many long, deltas array<int>")
+    if of_span > 1:
+        parts = F.sort_array(F.collect_list(F.struct("first", "last", "many", "deltas")))
+        found = found.groupBy("word", "block").agg(parts.alias("parts"))
+        before = lambda i: F.element_at("parts", F.greatest(i, F.lit(1))).last
+        joined = lambda p, i: F.when(i == 0, p.deltas).otherwise(
+            F.concat(F.array((p.first - before(i)).cast("int")), F.slice(p.deltas, F.lit(2), F.size(p.deltas)))
+        )
+        many = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p.many)
+        found = found.select(
+            "word", "block", F.element_at("parts", 1)["first"].alias("first"), F.element_at("parts", -1)["last"].alias("last"),
+            many.alias("many"), F.flatten(F.transform("parts", joined)).alias("deltas"),
+        )
+    return rows.select("path", "n"), found
 
 
 def write_blocks(bodies: DataFrame, folder: str, span: int = SPAN) -> None:

@@ -129,14 +129,16 @@ def catalog_of_entries(entries: DataFrame, first_id: int = 1) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, first: int) -> DataFrame:
     """df with id: consecutive numbers in the order of key, by range partitions and their counts, not in one task."""
-    parts = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    # The number of a partition, and below it 33 bits of a row's place in it.
+    place = F.monotonically_increasing_id()
+    parts = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", place))
+    parts = parts.withColumns({"_part": F.shiftright("_at", 33), "_n": F.col("_at").bitwiseAND((1 << 33) - 1)})
     counts = parts.groupBy("_part").count()
     # One row per partition.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_part").orderBy(key)
-    numbered = parts.withColumn("_n", F.row_number().over(within)).join(F.broadcast(starts), "_part")
-    return numbered.withColumn("id", F.col("_start") + F.col("_n") + F.lit(first - 1)).drop("_part", "_n", "_start")
+    rows = parts.join(F.broadcast(starts), "_part")
+    return rows.withColumn("id", F.col("_start") + F.col("_n") + F.lit(first)).drop("_at", "_part", "_n", "_start")
 
 
 def outside_skipped(listing: DataFrame, root: str) -> DataFrame:

@@ -8,6 +8,18 @@ import pytest
 from fileloom.operators import blocks, postings
 
 
+def test_no_row_a_word_is_shuffled(spark):
+    bodies = spark.createDataFrame([("a", "x y"), ("b", "y")], "path string, body string")
+    plan = blocks.build_blocks(bodies, 256)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and plan.count("Exchange hashpartitioning(chunk") == 1
+
+
+@pytest.mark.parametrize("span", [256, 1000, 1 << 16])
+def test_spans_of_several_chunks(spark, span, monkeypatch):
+    monkeypatch.setattr(blocks, "CHUNK", 70)
+    test_blocks_against_the_long_form(spark, span)
+
+
 @pytest.mark.parametrize("span", [4, 64, 1 << 16])
 def test_blocks_against_the_long_form(spark, span):
     rng = random.Random(span)
