@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fileloom.functions.text import words
 from fileloom.sources.listing import numbered
+from fileloom.sources.tables import cut, scratch
 
 #: Numbers of paths that a block may hold.
 SPAN = 1 << 16
@@ -85,11 +86,13 @@ def build_blocks(bodies: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFr
 
 
 def write_blocks(bodies: DataFrame, folder: str, span: int = SPAN) -> None:
-    """numbers and blocks under the folder, blocks in the order of words."""
-    numbers, blocks = build_blocks(bodies, span)
-    numbers.write.parquet(f"{folder}/numbers")
-    ordered = blocks.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write
-    ordered.option("parquet.bloom.filter.enabled#word", "true").parquet(f"{folder}/blocks")
+    """numbers and blocks under the folder, blocks in the order of words. They are written down before they are ordered:
+    the ranges of words are found by a pass over them, which would make them once more."""
+    with scratch(bodies.sparkSession):
+        numbers, blocks = build_blocks(bodies, span)
+        numbers.write.parquet(f"{folder}/numbers")
+        ordered = cut(blocks).repartitionByRange("word", "block").sortWithinPartitions("word", "block").write
+        ordered.option("parquet.bloom.filter.enabled#word", "true").parquet(f"{folder}/blocks")
 
 
 def read_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

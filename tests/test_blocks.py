@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fileloom.operators import blocks, postings
 
@@ -14,6 +15,29 @@ def test_no_row_a_word_is_shuffled(spark):
     assert "explode" not in plan and plan.count("Exchange hashpartitioning(chunk") == 1
 
 
+def test_written_blocks_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(body):
+        made.add(1)
+        return body
+
+    bodies = spark.createDataFrame([(f"p{k}", f"x w{k}") for k in range(300)], "path string, body string")
+    numbers = blocks.build_blocks
+
+    def counted(df, span):
+        of, found = numbers(df, span)
+        return of, found.withColumn("word", seen.asNondeterministic()("word"))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(blocks, "build_blocks", counted)
+        blocks.write_blocks(bodies, str(tmp_path / "index"), 256)
+    found = blocks.read_blocks(spark, str(tmp_path / "index"))
+    assert made.value == found[1].count() == 302
+    assert [r.path for r in blocks.paths_with_all_words(*found, ["x", "w7"]).collect()] == ["p7"]
+
+
 @pytest.mark.parametrize("span", [256, 1000, 1 << 16])
 def test_spans_of_several_chunks(spark, span, monkeypatch):
     monkeypatch.setattr(blocks, "CHUNK", 70)
