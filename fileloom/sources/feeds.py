@@ -39,94 +39,71 @@ def journal_changes(rows: DataFrame) -> DataFrame:
     )
 
 
-def _in_parts(deeds: DataFrame) -> DataFrame:
-    """deeds with part: PARTS ranges of seq, so that the rows of a place that a batch names again and again are not in one
-    task."""
-    low, high = deeds.agg(F.min("seq"), F.max("seq")).first()
+def _in_parts(deeds: DataFrame, rows: DataFrame) -> DataFrame:
+    """deeds with part: PARTS ranges of the rows' seq, so that the rows of a place that a batch names again and again are
+    not in one task."""
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     part = F.lit(0) if low is None else ((F.col("seq") - low) * PARTS / F.lit(high - low + 1)).cast("int")
     return deeds.withColumn("part", part)
 
 
-def _before(deeds: DataFrame, last: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
-    """deeds(at, part, seq, turn, ...) with the last value (that is not null) and the sum of these columns over the rows of
-    the same place before each: within its part by a window, of the parts before by a window over their totals."""
-    when = F.struct("seq", "turn")
-    own = Window.partitionBy("at", "part").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    totals = [F.max_by(v, F.when(v.isNotNull(), when)).alias(f"_{c}") for c, v in last.items()]
-    totals = deeds.groupBy("at", "part").agg(*totals, *[F.sum(v).alias(f"_{c}") for c, v in sums.items()])
+def _puts(rows: DataFrame) -> DataFrame:
+    """For each creation and rename whose place is asked for later: taken, the seq of the next row that takes away what is
+    there (a delete, or a rename of it), and id and dir of what a creation puts there. Within its part by a window, of
+    the parts after by a window over their first takes."""
+    none = ["cast(null as bigint) as id", "cast(null as boolean) as dir"]
+    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("at", "seq", "0 as turn", "seq as take", *none)
+    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_at", "seq", "1", "cast(null as bigint)", *none))
+    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("at", "seq", "1", "cast(null as bigint)", "id", "coalesce(is_dir, false)"))
+    deeds = _in_parts(deeds.where("at is not null"), rows)
+    own = Window.partitionBy("at", "part").orderBy(F.desc("seq"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
     # A row for each part of a place.
-    parts = Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.last(f"_{c}", ignorenulls=True).over(parts).alias(f"c_{c}") for c in last]
-    carried = totals.select("at", "part", *carried, *[F.sum(f"_{c}").over(parts).alias(f"c_{c}") for c in sums])
-    within = {c: F.last(v, ignorenulls=True).over(own) for c, v in last.items()} | {c: F.sum(v).over(own) for c, v in sums.items()}
-    rows = deeds.withColumns(within).join(carried, ["at", "part"])
-    rows = rows.withColumns({c: F.coalesce(c, f"c_{c}") for c in last})
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) + F.coalesce(f"c_{c}", F.lit(0)) for c in sums})
-    return rows.drop(*[f"c_{c}" for c in [*last, *sums]])
-
-
-def _asked(rows: DataFrame, here: DataFrame) -> DataFrame:
-    """For each delete and rename what is at its place then: `from`, the row that put it there, or id, by the catalog.
-    else: whether, if that row put nothing there after all, something earlier may be there."""
-    # What a row does to a place: puts there (the row's own seq), or takes away (null); turn -1 asks what is there.
-    deeds = rows.where("kind in ('delete', 'rename')").selectExpr("at", "seq", "-1 as turn", "cast(null as bigint) as put")
-    deeds = deeds.union(deeds.selectExpr("at", "seq", "0", "put"))
-    deeds = deeds.union(rows.where("kind = 'rename'").selectExpr("new_at", "seq", "1", "seq"))
-    deeds = deeds.union(rows.where("kind = 'create'").selectExpr("at", "seq", "1", "seq"))
-    deeds = _in_parts(deeds)
-    take = (F.col("turn") == 0) & F.col("put").isNull()
-    deeds = _before(
-        deeds,
-        {"last": F.when(F.col("turn") >= 0, F.struct("put"))},
-        {"taken": F.when(take, 1).otherwise(0), "puts": F.when(F.col("put").isNotNull(), 1).otherwise(0)},
-    )
-    # Of the puts, those since the last time that something was taken away.
-    deeds = _before(deeds, {"puts_then": F.when(take, F.struct("puts"))}, {})
-    puts = F.col("puts") - F.coalesce("puts_then.puts", F.lit(0))
-    asked = deeds.where("turn = -1").withColumn("puts", puts)
-    return asked.join(here, "at", "left").select(
-        "seq",
-        F.col("last.put").alias("from"),
-        F.when(F.col("last").isNull(), F.col("old.id")).alias("id"),
-        F.when(F.col("last").isNull(), F.col("old.is_dir")).alias("dir"),
-        F.expr("puts > 1 or taken = 0 and old is not null").alias("else"),
-    )
-
-
-def _void(asked: DataFrame) -> DataFrame:
-    """seq of rows that ask for a place where nothing is, or where only such a row would have put something."""
-    links = asked.selectExpr("seq", "if(`else`, null, `from`) as to", "`from` is null and id is null as void")
-    while not links.where("to is not null and not void").isEmpty():
-        step = links.selectExpr("seq as p_seq", "to as p_to", "void as p_void")
-        links = links.join(step, F.col("to") == F.col("p_seq"), "left")
-        links = cut(links.selectExpr("seq", "p_to as to", "void or coalesce(p_void, false) as void"))
-    return links.where("void").select("seq")
-
-
-def _resolved(rows: DataFrame, here: DataFrame, ids: DataFrame) -> DataFrame:
+    parts = Window.partitionBy("at").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = deeds.groupBy("at", "part").agg(F.min("take").alias("first"))
+    later = later.select("at", "part", F.min("first").over(parts).alias("later"))
+    puts = deeds.withColumn("next", F.min("take").over(own)).where("take is null").join(later, ["at", "part"])
+    return puts.select("seq", "id", "dir", F.coalesce("next", "later").alias("taken")).where("taken is not null")
+
+
+def _there(puts: DataFrame, held: DataFrame) -> DataFrame:
+    """seq of the rows at whose place something is.
+
+    What a row puts somewhere is taken by one row, so the renames are a forest. At a row's place something is if the catalog
+    (held) or a creation put it there, or a rename at whose own place something was: so are all rows that such a one leads
+    to. They are marked by pointer doubling, over the renames alone that lead to a row of which it isn't known yet."""
+    sure = cut(puts.where("id is not null").select(F.col("taken").alias("seq")).union(held.select("seq")).distinct())
+    links = puts.where("id is null").select("seq", F.col("taken").alias("to"))
+    links = links.join(sure.select(F.col("seq").alias("to")), "to", "left_anti")
+    links = cut(links.join(sure.select("seq", F.lit(True).alias("live")), "seq", "left"))
+    found = links.where("live").select("to").distinct()
+    steps = links.where("live is null").select("seq", "to")
+    while not steps.isEmpty():
+        reached = steps.join(found.select(F.col("to").alias("seq")), "seq", "left_semi").select("to")
+        found = cut(found.union(reached).distinct())
+        steps = cut(steps.join(steps.select(F.col("seq").alias("to"), F.col("to").alias("next")), "to").select("seq", F.col("next").alias("to")))
+    return sure.union(found.select("to"))
+
+
+def _resolved(rows: DataFrame, held: DataFrame) -> DataFrame:
     """rows with id and dir of what each is about (whether it is a directory); rows that are about nothing are left out.
-    ids(seq, new_id): of the creations; here(at, old): what the catalog has at a place."""
-    while True:
-        asked = cut(_asked(rows, here))
-        # A void row does nothing, and what it would have put elsewhere is not there.
-        void = cut(_void(asked))
-        if void.isEmpty():
-            break
-        rows = cut(rows.join(void, "seq", "left_anti"))
-    # from: the row whose file this is; a creation is its own.
-    created = rows.where("kind = 'create'").join(ids, "seq")
-    created = created.selectExpr("seq", "cast(null as bigint) as `from`", "new_id as id", "coalesce(is_dir, false) as dir")
-    links = asked.select("seq", "from", "id", "dir").unionByName(created)
-    while not links.where("id is null and `from` is not null").isEmpty():
-        step = links.select(F.col("seq").alias("p_seq"), *[F.col(c).alias(f"p_{c}") for c in ("from", "id", "dir")])
-        links = links.join(step, F.col("from") == F.col("p_seq"), "left").select(
-            "seq",
-            F.when(F.col("id").isNull() & F.col("p_id").isNull(), F.col("p_from")).alias("from"),
-            F.coalesce("id", "p_id").alias("id"),
-            F.coalesce("dir", "p_dir").alias("dir"),
-        )
-        links = cut(links)
-    return cut(rows.join(links.select("seq", "id", "dir"), "seq").where("id is not null"))
+    Creations have their ids; held(seq, old): what the catalog has at the place of the first row that takes it."""
+    puts = cut(_puts(rows))
+    # A rename from where nothing is puts nothing anywhere.
+    done = puts.where("id is not null").unionByName(puts.where("id is null").join(_there(puts, held), "seq", "left_semi"))
+    last = done.groupBy(F.col("taken").alias("seq")).agg(F.max(F.struct("seq", "id", "dir")).alias("last"))
+    own = lambda c: F.when(F.col("last").isNull(), F.col(f"old.{c}")).otherwise(F.col(f"last.{c}")).alias(c)
+    # from: the rename that put it there.
+    asked = cut(last.join(held, "seq", "full_outer").select("seq", F.col("last.seq").alias("from"), own("id"), own("dir")))
+    known = asked.where("id is not null").select("seq", "id", "dir")
+    links = asked.where("id is null").selectExpr("seq", "`from`", "false as known")
+    while not links.where("not known").isEmpty():
+        step = links.selectExpr("seq as p_seq", "`from` as p_from", "known as p_known")
+        links = links.join(step, F.col("from") == F.col("p_seq"), "left")
+        links = cut(links.selectExpr("seq", "coalesce(p_from, `from`) as `from`", "known or coalesce(p_known, true) as known"))
+    moved = links.select(F.col("seq").alias("m_seq"), "from").join(known, F.col("from") == F.col("seq")).select("m_seq", "id", "dir")
+    created = rows.where("kind = 'create'").withColumn("dir", F.coalesce("is_dir", F.lit(False)))
+    asking = rows.where("kind in ('delete', 'rename')").drop("id").join(known.union(moved), "seq")
+    return cut(created.unionByName(asking))
 
 
 def _as_changes(rows: DataFrame) -> DataFrame:
@@ -162,24 +139,33 @@ def _first_cover(names: FolderNames, rows: DataFrame, catalog: DataFrame) -> int
     return last.where("coalesce(there, true)").agg(F.min("cover")).first()[0]
 
 
-def _piece(rows: DataFrame, catalog: DataFrame, ids: DataFrame) -> tuple[DataFrame, int | None]:
+def _placed(rows: DataFrame, names: FolderNames) -> DataFrame:
+    """rows with the locations of their paths: the paths themselves where no directory is renamed."""
+    if not names.inside:
+        return rows.withColumns({"at": F.col("path"), "new_at": F.col("new_path")})
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+    before = F.col("seq") - 1
+    return cut(rows.withColumns({"at": location_of(shared, F.col("path"), before), "new_at": location_of(shared, F.col("new_path"), F.col("seq"))}))
+
+
+def _held(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """seq, old: what the catalog has at a place, for the first row that takes it away."""
+    first = cut(rows.where("kind in ('delete', 'rename')").groupBy("at").agg(F.min("seq").alias("seq")))
+    first = F.broadcast(first) if first.count() <= ASKED_ROWS else first
+    held = catalog.where("id is not null").select(F.col("path").alias("at"), "id", F.col("is_dir").alias("dir")).join(first, "at")
+    return cut(held.groupBy("seq").agg(F.min(F.struct("id", "dir")).alias("old")))
+
+
+def _piece(rows: DataFrame, catalog: DataFrame) -> tuple[DataFrame, int | None]:
     """The rows that do something, resolved, up to the seq at which the batch has to be cut (null: all of them)."""
-    context = rows.sparkSession.sparkContext
     known, end = _renames(rows, "is_dir"), None
     while True:
         if len(known) > events.MOST_RENAMES:
             end = known[events.MOST_RENAMES - 1][0]
             known, rows = known[: events.MOST_RENAMES], rows.where(F.col("seq") <= end)
         names = FolderNames(known)
-        shared = context.broadcast(names)
-        before = F.col("seq") - 1
-        placed = rows.withColumns({"at": location_of(shared, F.col("path"), before), "new_at": location_of(shared, F.col("new_path"), F.col("seq"))})
-        placed = cut(placed)
-        wanted = placed.where("kind != 'create'").select("at").distinct()
-        wanted = F.broadcast(wanted) if wanted.count() <= ASKED_ROWS else wanted
-        here = catalog.select(F.col("path").alias("at"), "id", "is_dir").join(wanted, "at", "left_semi")
-        here = cut(here.groupBy("at").agg(F.min(F.struct("id", "is_dir")).alias("old")))
-        found = _resolved(placed, here, ids)
+        placed = _placed(rows, names)
+        found = _resolved(placed, _held(placed, catalog))
         dirs = _renames(found, "dir")
         if dirs == known:
             break
@@ -197,17 +183,19 @@ def watcher_changes(rows: DataFrame, catalog: DataFrame, first_id: int) -> DataF
     by the batch's directory renames, which are taken from the watcher's own marks first, and then from what was found at
     their paths, until both agree: one round more for each level of renamed directories that the watcher has not marked,
     however many renames there are. At a location, what is there is decided by the last earlier row that put something
-    there (a creation, or a rename to it) or took it away, else by the catalog. A file that is renamed again and again is
-    followed to its creation by pointer doubling, and so are rows that depend on one that does nothing. Of several catalog
-    rows with a path the smallest id counts.
+    there (a creation, or a rename to it) or took it away, else by the catalog. Each row meets the next one that takes what
+    it puts, once; which renames do nothing, and to which creation a file that is renamed again and again goes back, is
+    then found by pointer doubling over the renames that it concerns. Of several catalog rows with a path the smallest id
+    counts.
 
     The batch is cut, and what follows meets the catalog with all changes so far, only after MOST_RENAMES directory
     renames, and after a rename onto a directory in which something still is, where a path may lead to either."""
     rows = cut(rows.where("kind != 'modify' and (kind != 'rename' or new_path is not null)"))
-    ids = cut(numbered(rows.where("kind = 'create'").select("seq"), "seq", first_id).withColumnRenamed("id", "new_id"))
+    created = numbered(rows.where("kind = 'create'"), "seq", first_id)
+    rows = cut(rows.where("kind != 'create'").withColumn("id", F.lit(None).cast("long")).unionByName(created))
     found = None
     while True:
-        part, end = _piece(rows, catalog, ids)
+        part, end = _piece(rows, catalog)
         part = _as_changes(part)
         found = part if found is None else found.unionByName(part)
         if end is None:

@@ -303,6 +303,23 @@ def test_rows_that_depend_on_void_rows(spark):
         assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == watch_replay(catalog, rows, 50)
 
 
+def test_a_tree_of_renames_from_nowhere_takes_no_pass_over_the_batch_for_each_level(spark, monkeypatch):
+    """Two renames lead to each place, and neither brings anything; or one leaf has a file, which goes all the way up."""
+    taken = {}
+    for levels in (2, 7):
+        nodes = range(2**levels - 1, 1, -1)
+        rows = [(1000 - k, "rename", f"C:\\t{k}", f"C:\\t{k // 2}", False, 0, T0) for k in nodes]
+        rows += [(1001, "delete", "C:\\t1", None, False, 0, T0), (1002, "create", "C:\\t1", None, False, 1, T0), (1003, "rename", "C:\\t1", "C:\\t1", False, 0, T0), (1004, "delete", "C:\\t1", None, False, 0, T0)]
+        for catalog in ({}, {f"C:\\t{2**levels - 2}": 3}):
+            table = spark.createDataFrame([row(i, p) for p, i in catalog.items()], CATALOG)
+            with monkeypatch.context() as m:
+                cuts, _ = counted_cuts(m)
+                got = feeds.watcher_changes(spark.createDataFrame(rows, WATCHER), table, 50)
+                assert sorted((r.seq, r.kind, r.id, r.path) for r in got.collect()) == watch_replay(catalog, rows, 50)
+            taken[levels, len(catalog)] = len(cuts)
+    assert taken[7, 0] <= taken[2, 0] + 6 and taken[7, 1] <= taken[2, 1] + 10
+
+
 @pytest.mark.parametrize("levels,size", [(64, 1 << 25), (3, 1 << 25), (64, -1)])
 def test_full_paths(spark, levels, size, monkeypatch):
     monkeypatch.setattr(hierarchy, "LEVELS", levels)
